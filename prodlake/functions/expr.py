@@ -85,18 +85,19 @@ def title_case(col: Column) -> Column:
     return F.array_join(capital, "")
 
 
-def _exact_product(x: Column, factor: float) -> tuple[Column, Column]:
-    """``x * factor`` as an unevaluated sum of two doubles (Dekker's product)."""
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rounding_error(x: Column, factor: float) -> Column:
+    """What ``x * factor`` loses to rounding, exactly (Dekker's product)."""
     splitter = 134217729.0  # 2**27 + 1
-    product = x * F.lit(factor)
-    scaled = x * F.lit(splitter)
-    x_high = scaled - (scaled - x)
-    x_low = x - x_high
-    f_scaled = factor * splitter
-    f_high = f_scaled - (f_scaled - factor)
+    f_high = factor * splitter - (factor * splitter - factor)
     f_low = factor - f_high
-    error = ((x_high * f_high - product) + x_high * f_low + x_low * f_high) + x_low * f_low
-    return product, error
+    x_high = x * splitter - (x * splitter - x)
+    x_low = x - x_high
+    return ((x_high * f_high - x * factor) + x_high * f_low + x_low * f_high) + x_low * f_low
 
 
 def fixed_point(value: Column, places: int = 1) -> Column:
@@ -105,31 +106,41 @@ def fixed_point(value: Column, places: int = 1) -> Column:
     ``format_string`` rounds the shortest decimal form half up, which differs on
     ties: 0.25 must print as 0.2 and 1.15 (in binary just below) as 1.1.
     """
-    product, error = _exact_product(F.abs(value), float(10**places))
-    floor = F.floor(product).cast("double")
-    fraction = product - floor
-    up = (fraction > 0.5) | (
-        (fraction == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(floor, F.lit(2.0)) == 1)))
-    )
-    units = (floor + F.when(up, 1.0).otherwise(0.0)).cast("decimal(38,0)").cast("string")
+    factor = float(10**places)
+
+    def units(x: Column) -> Column:
+        floor = F.floor(x * factor).cast("double")
+        over = x * factor - floor - 0.5
+        lost = _rounding_error(x, factor)
+        odd = F.pmod(floor, F.lit(2.0)) == 1
+        up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & odd)))
+        return (floor + up.cast("double")).cast("decimal(38,0)").cast("string")
+
+    def with_point(digits: Column) -> Column:
+        padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(places + 1)), F.lit("0"))
+        return F.regexp_replace(padded, f"(\\d{{{places}}})$", ".$1") if places else padded
+
     sign = F.when(value < 0, "-").otherwise("")
-    if places == 0:
-        return F.concat(sign, units)
-    digits = F.lpad(units, F.greatest(F.length(units), F.lit(places + 1)), F.lit("0"))
-    whole = F.substr(digits, F.lit(1), F.length(digits) - places)
-    return F.concat(sign, whole, F.lit("."), F.right(digits, F.lit(places)))
+    return F.concat(sign, _bind(_bind(F.abs(value), units), with_point))
 
 
 def humanize(value: Column, suffix: str = "", places: int = 1) -> Column:
     """Short magnitude text: 1.2K, 3.4M, 5.6B; a dash for null and NaN."""
-    number = value.cast("double")
-    size = F.abs(number)
-    divisor = (
-        F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).when(size >= 1e3, 1e3).otherwise(1.0)
-    )
-    unit = F.when(size >= 1e9, "B").when(size >= 1e6, "M").when(size >= 1e3, "K").otherwise("")
-    text = F.concat(fixed_point(number / divisor, places), unit, F.lit(suffix))
-    return F.when(number.isNull() | F.isnan(number), "—").otherwise(text)
+
+    def scaled(divisor: float, unit: str):
+        return lambda x: F.concat(fixed_point(x / divisor, places), F.lit(unit + suffix))
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        return (
+            F.when(size.isNull() | F.isnan(size), "—")
+            .when(size >= 1e9, scaled(1e9, "B")(x))
+            .when(size >= 1e6, scaled(1e6, "M")(x))
+            .when(size >= 1e3, scaled(1e3, "K")(x))
+            .otherwise(scaled(1.0, "")(x))
+        )
+
+    return _bind(value.cast("double"), text)
 
 
 def short_name(name: Column, identifier: Column, length: int = 20) -> Column:

@@ -48,7 +48,7 @@ def write_table(
     writer.parquet(path)
 
 
-def scan_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def scan_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """``schema`` saves the footer read that infers it and keeps partition values typed."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
