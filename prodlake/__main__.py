@@ -2,7 +2,7 @@
 
 import argparse
 
-from prodlake.plans import pipeline
+from prodlake.plans import stages
 from prodlake.session import get_spark
 
 
@@ -10,10 +10,10 @@ def main() -> None:
     parser = argparse.ArgumentParser(prog="prodlake", description="Run the batch pipeline.")
     parser.add_argument("--raw", required=True, help="folder with the raw CSV feeds")
     parser.add_argument("--root", required=True, help="folder of the tables")
-    parser.add_argument("--stage", choices=["all", *pipeline.STAGES], default="all")
+    parser.add_argument("--stage", choices=["all", *stages.STAGES], default="all")
     args = parser.parse_args()
     spark = get_spark()
-    for table, rows in pipeline.run(spark, args.raw, args.root, args.stage).items():
+    for table, rows in stages.run(spark, args.raw, args.root, args.stage).items():
         print(f"{table:<36} {rows:>14,}")
     spark.stop()
 

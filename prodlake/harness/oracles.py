@@ -755,12 +755,12 @@ _TEXTS = {
                  CROSS JOIN (SELECT unnest(['O', 'G']) AS g))""",
         "production",
     ),
-    # pipeline
-    "pipeline_bronze": _counts(_BRONZE),
-    "pipeline_silver": _counts(_SILVER),
-    "pipeline_gold": _counts(_GOLD),
-    "pipeline_forecast": _counts(_FORECAST_ROWS),
-    "pipeline_counts": _counts({**_BRONZE, **_SILVER, **_GOLD, **_FORECAST_ROWS}),
+    # stages
+    "stage_bronze": _counts(_BRONZE),
+    "stage_silver": _counts(_SILVER),
+    "stage_gold": _counts(_GOLD),
+    "stage_forecast": _counts(_FORECAST_ROWS),
+    "stage_counts": _counts({**_BRONZE, **_SILVER, **_GOLD, **_FORECAST_ROWS}),
 }
 
 ORACLES = {name: sql(text) for name, text in _TEXTS.items()}

@@ -15,7 +15,7 @@ from prodlake import schemas
 from prodlake.functions import decline, expr
 from prodlake.harness import bindings as bind
 from prodlake.operators import clean, forecast, kpi, portfolio, quality, ranking
-from prodlake.plans import pipeline
+from prodlake.plans import stages
 from prodlake.session import scratch_path
 from prodlake.sources import feeds, tables
 from prodlake.sources.tables import TablePaths
@@ -622,10 +622,10 @@ def decline_profile(spark, sf_dir):
     return forecast.decline_profile(wells, "2018-01-01", 72)
 
 
-# --- pipeline ----------------------------------------------------------------------------
+# --- stages ------------------------------------------------------------------------------
 
 # Tables of the stages that already ran, per session and data folder, so that each
-# pipeline query runs (and times) only its own stage.
+# stage query runs (and times) only its own stage.
 _STAGED: dict[tuple[str, str], tuple[TablePaths, str, set[str]]] = {}
 
 
@@ -633,14 +633,14 @@ def _staged(spark: SparkSession, sf_dir: str, stage: str) -> tuple[TablePaths, s
     """Folders in which every stage before ``stage`` has run."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        root = scratch_path(spark, "pipeline")
+        root = scratch_path(spark, "staged")
         for feed in feeds.FEEDS.values():
             _feed_on_disk(spark, sf_dir, feed, f"{root}/raw")
         _STAGED[key] = (TablePaths(f"{root}/tables"), f"{root}/raw", set())
     paths, raw_dir, done = _STAGED[key]
-    for earlier in pipeline.STAGES[: pipeline.STAGES.index(stage)]:
+    for earlier in stages.STAGES[: stages.STAGES.index(stage)]:
         if earlier not in done:
-            pipeline.run(spark, raw_dir, paths.root, earlier)
+            stages.run(spark, raw_dir, paths.root, earlier)
             done.add(earlier)
     return paths, raw_dir
 
@@ -648,17 +648,17 @@ def _staged(spark: SparkSession, sf_dir: str, stage: str) -> tuple[TablePaths, s
 def _stage_query(stage: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths, raw_dir = _staged(spark, sf_dir, stage)
-        return counts_frame(spark, pipeline.run(spark, raw_dir, paths.root, stage))
+        return counts_frame(spark, stages.run(spark, raw_dir, paths.root, stage))
 
     return run
 
 
-for _stage in pipeline.STAGES:
-    QUERIES[f"pipeline_{_stage}"] = _stage_query(_stage)
+for _stage in stages.STAGES:
+    QUERIES[f"stage_{_stage}"] = _stage_query(_stage)
 
 
 @query
-def pipeline_counts(spark, sf_dir):
+def stage_counts(spark, sf_dir):
     """All stages into a fresh root."""
     _, raw_dir = _staged(spark, sf_dir, "bronze")
-    return counts_frame(spark, pipeline.run(spark, raw_dir, scratch_path(spark, "root"), "all"))
+    return counts_frame(spark, stages.run(spark, raw_dir, scratch_path(spark, "root"), "all"))

@@ -5,7 +5,7 @@ Unlike the KPI tables these leave out null keys and treat the sum of nothing as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodlake.functions import expr
@@ -239,7 +239,8 @@ def forecast_slice(forecast: DataFrame, entity_type: str, entity_id: str) -> Dat
     chosen = forecast.filter(
         (F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)
     )
-    start = chosen.agg(F.min("forecast_month").alias("m")).scalar()
+    whole = Window.partitionBy("entity_type", "entity_id")  # one row per forecast month
+    start = F.min("forecast_month").over(whole)
     return chosen.withColumn("forecast_start", start).orderBy("forecast_month")
 
 
@@ -293,9 +294,8 @@ def r2_histogram(quality: DataFrame, bins: int = 30) -> DataFrame:
     )
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
     position = F.floor((F.col("r2_score") - low) * bins / (high - low)).cast("int")
-    counts = scores.groupBy(F.least(position, F.lit(bins - 1)).alias("bin")).agg(
-        F.count("*").alias("wells")
-    )
+    inside = F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0))
+    counts = scores.groupBy(inside.alias("bin")).agg(F.count("*").alias("wells"))
     width = (high - low) / bins
     frame = quality.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(counts, "bin", "left").select(

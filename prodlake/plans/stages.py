@@ -5,10 +5,15 @@ Stages meet only in stored tables, so each can run, and be run again, on its own
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from prodlake import schemas
 from prodlake.operators import clean, forecast, kpi
+from prodlake.session import checkpoint_root
 from prodlake.sources import feeds
 from prodlake.sources.tables import TablePaths, scan_table, write_table, written_rows
 
@@ -23,24 +28,44 @@ def _store(
     return written_rows(spark, paths.of(table))
 
 
+def _side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], int]]) -> dict[str, int]:
+    """Run independent table builds at the same time, so that the last tasks of one
+    leave no executor idle.  Results come in the order of ``jobs``."""
+    with ThreadPoolExecutor(max_workers=len(jobs) or 1) as pool:
+        in_thread = inheritable_thread_target(spark)
+        running = {name: pool.submit(in_thread(job)) for name, job in jobs.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def run_bronze(spark: SparkSession, paths: TablePaths, raw_dir: str) -> dict[str, int]:
-    return feeds.ingest_all(spark, raw_dir, paths)
+    """Land every feed whose file is present."""
+    found = feeds.present(spark, raw_dir)
+    return _side_by_side(
+        spark,
+        {
+            feed.table: lambda feed=feed, path=path: feeds.ingest(spark, feed, path, paths)
+            for feed, path in found
+        },
+    )
 
 
 def run_silver(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
-    """Wells, then flaring, then production, which needs the wells."""
+    """Wells and flaring first; production needs the wells."""
 
     def raw(table: str) -> DataFrame:
         return scan_table(spark, paths.of(table))
 
-    counts = {
-        "silver_wells": _store(
-            spark, paths, "silver_wells", clean.clean_wells(raw("bronze_well_metadata"))
-        ),
-        "silver_flaring": _store(
-            spark, paths, "silver_flaring", clean.clean_flaring(raw("bronze_flaring"))
-        ),
-    }
+    counts = _side_by_side(
+        spark,
+        {
+            "silver_wells": lambda: _store(
+                spark, paths, "silver_wells", clean.clean_wells(raw("bronze_well_metadata"))
+            ),
+            "silver_flaring": lambda: _store(
+                spark, paths, "silver_flaring", clean.clean_flaring(raw("bronze_flaring"))
+            ),
+        },
+    )
     wells = scan_table(spark, paths.of("silver_wells"), schemas.SILVER_WELLS)
     production = clean.enrich_production(
         clean.clean_production(raw("bronze_well_production")), wells
@@ -65,7 +90,13 @@ def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
         "gold_ethane_dry_gas": lambda: kpi.ethane_dry_gas(production),
         "gold_well_summary": lambda: kpi.well_summary(production),
     }
-    return {table: _store(spark, paths, table, build()) for table, build in kpis.items()}
+    return _side_by_side(
+        spark,
+        {
+            table: lambda table=table, build=build: _store(spark, paths, table, build())
+            for table, build in kpis.items()
+        },
+    )
 
 
 def run_forecast(
@@ -80,6 +111,7 @@ def run(spark: SparkSession, raw_dir: str, root: str, stage: str = "all") -> dic
     """Run one stage or all of them; returns rows per written table."""
     if stage != "all" and stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}, expected one of {('all', *STAGES)}")
+    checkpoint_root(spark)  # fail before any work if the cluster names no shared folder
     paths = TablePaths(root)
     jobs = {
         "bronze": lambda: run_bronze(spark, paths, raw_dir),
