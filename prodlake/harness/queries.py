@@ -404,6 +404,7 @@ over_kpi("flaring_percentiles", bind.flaring, portfolio.flaring_percentiles)
 over_kpi("flaring_kpis", _tiered, portfolio.flaring_kpis)
 over_kpi("tier_distribution", _tiered, portfolio.tier_distribution)
 over_kpi("tier_summary", _tiered, portfolio.tier_summary)
+over_kpi("tier_report", _tiered, lambda t: portfolio.tier_report(portfolio.tier_summary(t)))
 over_kpi(
     "top10_flaring", _tiered,
     lambda d: portfolio.top_n(d, "total_flared_gas_mcf", 10, "operator").withColumn(
@@ -606,6 +607,8 @@ over_kpi(
     "forecast_summary", _forecast,
     lambda f: portfolio.forecast_summary(f.withColumn("r2_score", F.round("r2_score", 6))),
 )
+over_kpi("forecast_report", _forecast, lambda f: portfolio.forecast_report(portfolio.forecast_summary(f)))
+over_kpi("model_card", _forecast, lambda f: portfolio.model_card(f, "operator", OPERATOR))
 over_kpi("operator_forecast_top", _forecast, portfolio.operator_forecast_top)
 
 

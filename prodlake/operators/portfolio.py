@@ -175,6 +175,16 @@ def tier_summary(tiered: DataFrame) -> DataFrame:
     )
 
 
+def tier_report(summary: DataFrame) -> DataFrame:
+    """The tier summary as shown: volumes as short text."""
+    return summary.select(
+        F.col("volume_category").alias("Tier"),
+        F.col("operators").alias("# Operators"),
+        expr.humanize(F.col("total_flared")).alias("Total Flared"),
+        expr.humanize(F.col("avg_flared")).alias("Avg per Operator"),
+    )
+
+
 def commodity_split_top_n(ethane: DataFrame, n: int = 14) -> DataFrame:
     """Operators with the largest liquid plus dry total."""
     return (
@@ -265,6 +275,29 @@ def forecast_summary(forecast: DataFrame) -> DataFrame:
     )
 
 
+def forecast_report(summary: DataFrame) -> DataFrame:
+    """The forecast summary as shown: volumes as short text, four decimals of the fit."""
+    return summary.select(
+        F.col("entity_type").alias("Type"),
+        F.col("entity_id").alias("Entity"),
+        F.col("model_type").alias("Model"),
+        expr.fixed_point(F.col("r2_score"), 4).alias("R²"),
+        expr.humanize(F.col("forecast_oil_bbl")).alias("Forecast Oil"),
+        expr.humanize(F.col("forecast_gas_mcf")).alias("Forecast Gas"),
+    )
+
+
+def model_card(forecast: DataFrame, entity_type: str, entity_id: str) -> DataFrame:
+    """Model, fit quality, initial rate and decline of one entity, as text."""
+    first = forecast_slice(forecast, entity_type, entity_id).limit(1)
+    return first.select(
+        expr.title_case(F.col("model_type")).alias("model"),
+        expr.fixed_point(F.col("r2_score"), 4).alias("r2_score"),
+        expr.humanize(F.col("qi")).alias("initial_rate"),
+        F.concat(expr.fixed_point(F.col("di"), 4), F.lit("/month")).alias("decline_rate"),
+    )
+
+
 def operator_forecast_top(forecast: DataFrame, n: int = 12) -> DataFrame:
     totals = (
         forecast.filter(F.col("entity_type") == "operator")
