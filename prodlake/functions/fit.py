@@ -31,6 +31,8 @@ MODELS = ("exponential", "hyperbolic", "harmonic")
 _LOG_DI = np.linspace(np.log(DI_BOUNDS[0]), np.log(DI_BOUNDS[1]), 97)
 _B_GRID = np.concatenate([[B_BOUNDS[0], 0.05], np.arange(0.1, 0.95, 0.1), [0.95, B_BOUNDS[1]]])
 _CHUNK = 256
+_FIRST_STEPS, _LAST_STEPS = 20, 60
+_STALLED = 5  # steps without progress after which a series counts as settled
 
 FIT_TYPE = StructType(
     [StructField("model", StringType())]
@@ -44,9 +46,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def _shape(t, log_di, b):
     """Curve for ``qi = 1`` and the base ``1 + b di t``; ``b = 0`` is the exponential."""
     decline = np.exp(log_di)[:, None] * t
-    base = 1.0 + b[:, None] * decline
-    power = np.where(b == 0, 1.0, b)[:, None]
-    return np.where(b[:, None] == 0, np.exp(-decline), np.exp(-np.log1p(base - 1.0) / power)), base
+    if not b.any():  # one call never mixes the exponential with the other models
+        return np.exp(-decline), np.ones_like(decline)
+    growth = b[:, None] * decline
+    return np.exp(-np.log1p(growth) / b[:, None]), 1.0 + growth
 
 
 def _best_qi(q, f, qi_max):
@@ -54,12 +57,16 @@ def _best_qi(q, f, qi_max):
 
 
 def _polish(q, w, t, qi_max, log_di, b, low, high, free_b, steps):
-    """Damped Gauss-Newton on (ln di, b) with ``qi`` eliminated; a step must lower the error."""
+    """Damped Gauss-Newton on (ln di, b) with ``qi`` eliminated; a step must lower the error.
+
+    Returns ``[qi, log_di, b, sse]`` as rows of one array, and which series have settled.
+    """
     f, base = _shape(t, log_di, b)
     f = f * w
     qi = _best_qi(q, f, qi_max)
     sse = ((q - qi[:, None] * f) ** 2).sum(1)
     damping = np.full(len(q), 1e-3)
+    stalled = np.zeros(len(q), dtype=int)
     for _ in range(steps):
         decline = np.exp(log_di)[:, None] * t
         model = qi[:, None] * f
@@ -96,14 +103,28 @@ def _polish(q, w, t, qi_max, log_di, b, low, high, free_b, steps):
         new_qi = _best_qi(q, new_f, qi_max)
         new_sse = ((q - new_qi[:, None] * new_f) ** 2).sum(1)
         better = new_sse < sse
-        if not better.any() and (damping > 1e8).all():
-            break
+        progress = better & (sse - new_sse > 1e-14 * sse)
+        stalled = np.where(progress, 0, stalled + 1)
         keep = better[:, None]
         log_di, b = np.where(better, new_log_di, log_di), np.where(better, new_b, b)
         qi, sse = np.where(better, new_qi, qi), np.where(better, new_sse, sse)
         f, base = np.where(keep, new_f, f), np.where(keep, new_base, base)
         damping = np.clip(np.where(better, damping * 0.2, damping * 6.0), 1e-12, 1e10)
-    return qi, log_di, b, sse
+        if (stalled >= _STALLED).all():
+            break
+    return np.array([qi, log_di, b, sse]), stalled >= _STALLED
+
+
+def _finish(q, w, t, qi_max, log_di, b, low, high, free_b):
+    """Polish all series, then go on with those that need more steps."""
+    found, settled = _polish(q, w, t, qi_max, log_di, b, low, high, free_b, _FIRST_STEPS)
+    more = np.flatnonzero(~settled)
+    if len(more):
+        found[:, more], _ = _polish(
+            q[more], w[more], t, qi_max[more], found[1, more], found[2, more],
+            low[more], high[more], free_b, _LAST_STEPS,
+        )
+    return found
 
 
 def _grid(q, w, t, qi_max, b_values):
@@ -121,26 +142,28 @@ def _fit_fixed_b(q, w, t, qi_max, b_value):
     low = _LOG_DI[np.maximum(cell - 1, 0)]
     high = _LOG_DI[np.minimum(cell + 1, len(_LOG_DI) - 1)]
     b = np.full(len(q), b_value)
-    return _polish(q, w, t, qi_max, _LOG_DI[cell], b, low, high, False, 40)[:3]
+    return _finish(q, w, t, qi_max, _LOG_DI[cell], b, low, high, False)[:3]
 
 
 def _fit_free_b(q, w, t, qi_max):
     """Start once on every grid value of ``b``, then finish the three best of them."""
     starts = len(_B_GRID)
     cell = _grid(q, w, t, qi_max, _B_GRID).argmin(2)
-
-    def run(rows, log_di, b, steps):
-        low = np.full(len(rows), _LOG_DI[0])
-        high = np.full(len(rows), _LOG_DI[-1])
-        return _polish(q[rows], w[rows], t, qi_max[rows], log_di, b, low, high, True, steps)
-
     rows = np.repeat(np.arange(len(q)), starts)
-    _, log_di, b, sse = run(rows, _LOG_DI[cell].ravel(), np.tile(_B_GRID, len(q)), 8)
-    best = np.argsort(sse.reshape(len(q), starts), axis=1, kind="stable")[:, :3]
+    low, high = np.full(len(rows), _LOG_DI[0]), np.full(len(rows), _LOG_DI[-1])
+    begun, _ = _polish(
+        q[rows], w[rows], t, qi_max[rows], _LOG_DI[cell].ravel(), np.tile(_B_GRID, len(q)),
+        low, high, True, 8,
+    )
+    best = np.argsort(begun[3].reshape(len(q), starts), axis=1, kind="stable")[:, :3]
     picked = (best + np.arange(len(q))[:, None] * starts).ravel()
-    qi, log_di, b, sse = run(rows[picked], log_di[picked], b[picked], 60)
-    top = sse.reshape(len(q), 3).argmin(1) + np.arange(len(q)) * 3
-    return qi[top], log_di[top], b[top]
+    rows = rows[picked]
+    found = _finish(
+        q[rows], w[rows], t, qi_max[rows], begun[1, picked], begun[2, picked],
+        low[picked], high[picked], True,
+    )
+    top = found[3].reshape(len(q), 3).argmin(1) + np.arange(len(q)) * 3
+    return found[:3, top]
 
 
 def _r_squared(q, w, predicted):
