@@ -50,22 +50,47 @@ def operator_oil_gas(production: DataFrame) -> DataFrame:
     )
 
 
-def operator_performance(
-    production: DataFrame, flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def _performance(oil_gas: DataFrame, flaring: DataFrame, one_task_rows: int) -> DataFrame:
     flared = flaring.select("operator", F.col("total_flared_gas_mcf").alias("total_flaring_mcf"))
-    joined = (
-        operator_oil_gas(production)
-        .join(flared, "operator", "left")
-        .withColumn(
-            "flaring_intensity_ratio",
-            expr.safe_ratio(F.col("total_flaring_mcf"), F.col("total_gas_mcf")),
-        )
+    joined = oil_gas.join(flared, "operator", "left").withColumn(
+        "flaring_intensity_ratio",
+        expr.safe_ratio(F.col("total_flaring_mcf"), F.col("total_gas_mcf")),
     )
     ranked = global_rank(joined, "total_oil_bbl", "production_rank", one_task_rows)
     return schemas.conform(ranked, schemas.GOLD_OPERATOR_PERFORMANCE)
 
 
+def operator_performance(
+    production: DataFrame, flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    return _performance(operator_oil_gas(production), flaring, one_task_rows)
+
+
+def operator_month_rollup(production: DataFrame) -> DataFrame:
+    """Production summed over wells, in the shape of production itself.
+
+    ``flaring_intensity``, ``ethane_dry_gas`` and ``basin_production_trends`` only sum over
+    wells, so they give the same tables from this roll-up as from the facts.
+    """
+    return production.groupBy(
+        "operator", "shale_play", "production_month", "production_year", "oil_and_gas_group"
+    ).agg(F.sum("production").alias("production"), F.count("production").alias("reports"))
+
+
+def operator_performance_from_rollup(
+    rollup: DataFrame, wells: DataFrame, flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """Operator performance from the roll-up and the well summary, without the facts."""
+    counts = wells.groupBy("operator").agg(F.count_distinct("api_number").alias("well_count"))
+    oil = F.sum(commodity_value(OIL))
+    totals = _of(rollup, OIL, GAS).groupBy("operator").agg(
+        oil.alias("total_oil_bbl"),
+        (oil / F.sum(commodity_value(OIL, "reports"))).alias("avg_monthly_production"),
+        F.sum(commodity_value(GAS)).alias("total_gas_mcf"),
+    )
+    return _performance(totals.join(counts, "operator", "left"), flaring, one_task_rows)
+
+
 def flaring_ratio(production: DataFrame, flaring: DataFrame) -> DataFrame:
     """Flared volume as a percentage of gas production; null without gas."""
     gas = operator_gas_rollup(production, "total_gas_production_mcf")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prodlake import schemas
 from prodlake.operators import clean, forecast, kpi
-from prodlake.session import checkpoint_root
+from prodlake.session import checkpoint_root, scratch_path
 from prodlake.sources import feeds
 from prodlake.sources.tables import TablePaths, scan_table, write_table, written_rows
 
@@ -81,22 +81,42 @@ def silver_production(spark: SparkSession, paths: TablePaths) -> DataFrame:
 
 
 def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
+    """Five tables from two passes over the facts.
+
+    One pass makes the well summary, the other a roll-up over wells (operators times months,
+    so small against the facts) that the remaining tables are built from.
+    """
     production = silver_production(spark, paths)
     flaring = scan_table(spark, paths.of("silver_flaring"), schemas.SILVER_FLARING)
-    kpis = {
-        "gold_operator_performance": lambda: kpi.operator_performance(production, flaring),
-        "gold_basin_production_trends": lambda: kpi.basin_production_trends(production),
-        "gold_flaring_intensity": lambda: kpi.flaring_intensity(production, flaring),
-        "gold_ethane_dry_gas": lambda: kpi.ethane_dry_gas(production),
-        "gold_well_summary": lambda: kpi.well_summary(production),
-    }
-    return _side_by_side(
+    rollup_path = scratch_path(spark, "operator_months")
+
+    def store(table: str, build: Callable[[], DataFrame]) -> Callable[[], int]:
+        return lambda: _store(spark, paths, table, build())
+
+    def write_rollup() -> int:
+        write_table(kpi.operator_month_rollup(production), rollup_path)
+        return 0
+
+    counts = _side_by_side(
         spark,
         {
-            table: lambda table=table, build=build: _store(spark, paths, table, build())
-            for table, build in kpis.items()
+            "rollup": write_rollup,
+            "gold_well_summary": store("gold_well_summary", lambda: kpi.well_summary(production)),
         },
     )
+    del counts["rollup"]
+    rollup = scan_table(spark, rollup_path)
+    wells = scan_table(spark, paths.of("gold_well_summary"), schemas.GOLD_WELL_SUMMARY)
+    builds = {
+        "gold_operator_performance": lambda: kpi.operator_performance_from_rollup(
+            rollup, wells, flaring
+        ),
+        "gold_basin_production_trends": lambda: kpi.basin_production_trends(rollup),
+        "gold_flaring_intensity": lambda: kpi.flaring_intensity(rollup, flaring),
+        "gold_ethane_dry_gas": lambda: kpi.ethane_dry_gas(rollup),
+    }
+    jobs = {table: store(table, build) for table, build in builds.items()}
+    return {**_side_by_side(spark, jobs), **counts}
 
 
 def run_forecast(
