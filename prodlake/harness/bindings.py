@@ -221,9 +221,9 @@ def landed(raw: DataFrame) -> DataFrame:
 
 
 def decline_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per well ``qi`` from its balance; ``di`` and ``b`` depend on the play only.
+    """Per well ``qi`` from the logarithm of its balance; ``di`` and ``b`` by play only.
 
-    Sums over an operator or a play are then exact curves of the same family, so the
+    The logarithm keeps values off rounding ties.  Sums over an operator or a play are then exact curves of the same family, so the
     true forecast of every level is known in closed form.
     """
     region = F.col("r_regionkey")
@@ -233,7 +233,7 @@ def decline_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("operator"),
         F.col("r_name").alias("shale_play"),
         F.col("r_name").alias("basin"),
-        (F.lit(1000.0) + F.col("s_acctbal") / 7).alias("qi"),
+        (F.log(F.col("s_acctbal") + 1100) * 1000).alias("qi"),
         (F.lit(0.03) + F.lit(0.02) * region).alias("di"),
         F.when(region == 0, 0.0).when(region == 4, 1.0).otherwise(0.1 + 0.2 * region).alias("b"),
     )

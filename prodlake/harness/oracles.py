@@ -207,7 +207,7 @@ CTES = {
     # --- noise-free decline series and their true future
     "parameters": """
         SELECT CAST(s_suppkey AS VARCHAR) AS api_number, s_name AS well_name, n_name AS operator,
-               r_name AS shale_play, CAST(1000 AS DOUBLE) + s_acctbal / CAST(7 AS DOUBLE) AS qi,
+               r_name AS shale_play, ln(s_acctbal + 1100) * 1000 AS qi,
                CAST(0.03 AS DOUBLE) + CAST(0.02 AS DOUBLE) * r_regionkey AS di,
                CASE r_regionkey WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 4 THEN CAST(1 AS DOUBLE)
                     ELSE CAST(0.1 AS DOUBLE) + CAST(0.2 AS DOUBLE) * r_regionkey END AS b
@@ -756,7 +756,7 @@ _TEXTS = {
         """SELECT api_number, well_name, operator, CAST(DATE '2018-01-01' + to_months(t) AS DATE) AS production_month,
                   shale_play, shale_play AS basin, g AS oil_and_gas_group,
                   round(q / pow(1 + bb * di * t, 1 / bb)
-                        * CASE WHEN qi > 1800 AND t >= 24 AND t < 30
+                        * CASE WHEN qi > 8500 AND t >= 24 AND t < 30
                                THEN CASE g WHEN 'O' THEN CAST(1.5 AS DOUBLE) ELSE CAST(1.25 AS DOUBLE) END
                                ELSE 1 END, 2) AS production
            FROM (SELECT *, CASE g WHEN 'O' THEN qi ELSE 4 * qi END AS q,

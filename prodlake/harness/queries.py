@@ -619,7 +619,7 @@ def decline_profile(spark, sf_dir):
         "api_number", "well_name", "operator", "shale_play", "basin",
         F.col("qi").alias("qi_oil"), F.col("di").alias("di_oil"), (F.col("b") * 0.5 + 0.3).alias("b_oil"),
         (F.col("qi") * 4).alias("qi_gas"), F.col("di").alias("di_gas"), (F.col("b") * 0.5 + 0.4).alias("b_gas"),
-        F.when(F.col("qi") > 1800, 24).alias("workover_month"),
+        F.when(F.col("qi") > 8500, 24).alias("workover_month"),
         F.lit(1.5).alias("workover_oil"), F.lit(1.25).alias("workover_gas"),
     )
     return forecast.decline_profile(wells, "2018-01-01", 72)
