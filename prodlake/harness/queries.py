@@ -271,17 +271,17 @@ over_production("distinct_wells", lambda p: p.select("api_number").distinct())
 
 @query
 def operator_quarterly(spark, sf_dir):
-    return quality.operator_quarterly(spark, bind.production(spark, sf_dir))
+    return quality.operator_quarterly(bind.production(spark, sf_dir))
 
 
 @query
 def avg_yoy_growth(spark, sf_dir):
-    return quality.avg_yoy_growth(spark, _trends(spark, sf_dir))
+    return quality.avg_yoy_growth(_trends(spark, sf_dir))
 
 
 @query
 def top5_flaring_intensity(spark, sf_dir):
-    return quality.top5_flaring_intensity(spark, _intensity(spark, sf_dir))
+    return quality.top_flaring_intensity(_intensity(spark, sf_dir))
 
 
 # --- KPI tables --------------------------------------------------------------------------

@@ -4,47 +4,40 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Runs against the view that `prodlake.sources.tables.register_views` creates.
-OPERATOR_QUARTERLY_SQL = """
-SELECT operator, production_year, production_quarter, oil_and_gas_group,
-       ROUND(SUM(production), 2) AS total_production,
-       COUNT(DISTINCT api_number) AS active_wells
-FROM {production}
-GROUP BY operator, production_year, production_quarter, oil_and_gas_group
-ORDER BY operator, production_year, production_quarter
-"""
-
-AVG_YOY_GROWTH_SQL = """
-SELECT shale_play, oil_and_gas_group, ROUND(AVG(yoy_growth_pct), 2) AS avg_yoy_growth_pct
-FROM {trends}
-WHERE yoy_growth_pct IS NOT NULL
-GROUP BY shale_play, oil_and_gas_group
-ORDER BY shale_play, oil_and_gas_group
-"""
-
-TOP5_FLARING_SQL = """
-SELECT operator, ROUND(flaring_intensity_ratio, 2) AS flaring_pct, flaring_category, flaring_rank
-FROM {flaring}
-WHERE flaring_intensity_ratio IS NOT NULL
-ORDER BY flaring_rank, operator
-LIMIT 5
-"""
-
-
-def operator_quarterly(spark: SparkSession, production: DataFrame) -> DataFrame:
-    return spark.sql(OPERATOR_QUARTERLY_SQL, production=production)
+def operator_quarterly(production: DataFrame) -> DataFrame:
+    """Quarterly total and number of producing wells per operator and commodity."""
+    quarter = ["operator", "production_year", "production_quarter"]
+    return (
+        production.groupBy(*quarter, "oil_and_gas_group")
+        .agg(
+            F.round(F.sum("production"), 2).alias("total_production"),
+            F.count_distinct("api_number").alias("active_wells"),
+        )
+        .orderBy(*quarter, "oil_and_gas_group")
+    )
 
 
-def avg_yoy_growth(spark: SparkSession, trends: DataFrame) -> DataFrame:
-    return spark.sql(AVG_YOY_GROWTH_SQL, trends=trends)
+def avg_yoy_growth(trends: DataFrame) -> DataFrame:
+    """Mean yearly growth per play and commodity, months without a value left out."""
+    series = ["shale_play", "oil_and_gas_group"]
+    mean = F.round(F.avg("yoy_growth_pct"), 2).alias("avg_yoy_growth_pct")
+    known = trends.filter(F.col("yoy_growth_pct").isNotNull())
+    return known.groupBy(*series).agg(mean).orderBy(*series)
 
 
-def top5_flaring_intensity(spark: SparkSession, flaring: DataFrame) -> DataFrame:
-    return spark.sql(TOP5_FLARING_SQL, flaring=flaring)
+def top_flaring_intensity(flaring: DataFrame, n: int = 5) -> DataFrame:
+    """The operators that flare the largest share of their gas."""
+    known = flaring.filter(F.col("flaring_intensity_ratio").isNotNull())
+    return known.orderBy("flaring_rank", "operator").limit(n).select(
+        "operator",
+        F.round("flaring_intensity_ratio", 2).alias("flaring_pct"),
+        "flaring_category",
+        "flaring_rank",
+    )
 
 
 def rows_per(df: DataFrame, column: str) -> DataFrame:

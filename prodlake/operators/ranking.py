@@ -9,6 +9,8 @@ of rows in the ranges before.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,37 +18,28 @@ from prodlake.session import checkpointed
 
 ONE_TASK_ROWS = 100_000
 RANGE_ROWS = 1_000_000
+MAX_RANGES = 4096
 
 
 def value_offsets(df: DataFrame, column: str, rows: int, descending: bool = False) -> DataFrame:
     """Distinct non-null values with ``n`` rows each and ``before`` rows ahead of them.
 
-    ``df`` must give the same rows whenever it is computed (a table or a checkpoint).
+    The values are range partitioned and stored once, as another run of the partitioning
+    could cut the ranges elsewhere.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    # At most a few thousand cut points reach the driver; any choice of them is correct.
-    ranges = min(max(16, rows // RANGE_ROWS), 4096)
-    cuts = values.agg(
-        F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10 * ranges)
-    ).first()[0]
-    bounds = F.lit(sorted(set(cuts or [])))
-    value = F.col(column)
-    ahead = F.filter(bounds, lambda cut: cut > value if descending else cut < value)
-    ranged = values.withColumn("_range", F.size(ahead))
     order = F.col(column).desc() if descending else F.col(column).asc()
-
-    # One row per range, so this window and its broadcast are bounded by `ranges`.
-    sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_size"))
-    shifted = sizes.select(
-        "_range",
-        F.coalesce(
-            F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_shift"),
+    ranges = min(max(16, rows // RANGE_ROWS), MAX_RANGES)
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    ranged = checkpointed(
+        values.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())
     )
+    # One number per range reaches the driver, at most MAX_RANGES.
+    sizes = dict(ranged.groupBy("_range").agg(F.sum("n")).collect())
+    starts = list(accumulate((sizes.get(i, 0) for i in range(ranges)), initial=0))
+    start = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("_range") + 1)
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(shifted), "_range").select(
-        column, "n", (F.col("_shift") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")
+    return ranged.select(
+        column, "n", (start + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")
     )
 
 
@@ -60,20 +53,13 @@ def global_rank(
         return stable.withColumn(
             out, F.rank().over(Window.orderBy(F.col(column).desc_nulls_last()))
         )
-    offsets = value_offsets(stable, column, rows, descending=True).select(
-        F.col(column).alias("_value"), "before"
-    )
-    ranked = stable.where(F.col(column).isNotNull()).join(
-        offsets, F.col(column) == F.col("_value"), "left"
-    )
-    known = stable.where(F.col(column).isNotNull()).count()
-    return (
-        ranked.withColumn(out, (F.col("before") + 1).cast("int"))
-        .drop("_value", "before")
-        .unionByName(
-            stable.where(F.col(column).isNull()).withColumn(out, F.lit(known + 1).cast("int"))
-        )
+    known = stable.where(F.col(column).isNotNull())
+    offsets = value_offsets(stable, column, rows, descending=True).drop("n")
+    ranked = known.join(offsets, column).select(
+        *stable.columns, (F.col("before") + 1).cast("int").alias(out)
     )
+    last = F.lit(known.count() + 1).cast("int").alias(out)
+    return ranked.unionByName(stable.where(F.col(column).isNull()).select("*", last))
 
 
 def percentiles(

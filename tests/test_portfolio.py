@@ -126,11 +126,11 @@ def test_profile_of_timestamps(spark):
     assert rows(quality.dq_null_profile(frame), "*") == [(1, 0)]
 
 
-def test_sql_reports(spark):
+def test_period_reports(spark):
     facts = production(spark, [fact("a", t, "O", t + 1) for t in range(13)])
-    quarters = quality.operator_quarterly(spark, facts).collect()
+    quarters = quality.operator_quarterly(facts).collect()
     assert [(r.production_year, r.production_quarter, r.total_production) for r in quarters][:2] == [
         (2018, "Q1", 6.0), (2018, "Q2", 15.0),
     ]
-    growth = quality.avg_yoy_growth(spark, kpi.basin_production_trends(facts)).collect()
+    growth = quality.avg_yoy_growth(kpi.basin_production_trends(facts)).collect()
     assert [tuple(r) for r in growth] == [("P", "O", 1200.0)]
