@@ -26,6 +26,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # of all words
 LIMIT = 2.0  # times a source's own words
 BLOCK = 4096  # documents of one flight
+LONGEST = 256  # documents of a block that are settled first
 SEED = 7
 _CLOSE = 1e-9
 
@@ -56,18 +57,43 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT)
     return per.select("source", "rank", "documents", "source_size", target.alias("target"))
 
 
+def _settle_longest(p: np.ndarray, s: np.ndarray, draws: Iterator[float]) -> None:
+    """Settle the longest documents while many others can make up for them.
+
+    The direction is the unit vector of the document projected on the null space of both
+    constraints, so that all open documents share the opposite move.
+    """
+    for i in range(min(len(p), LONGEST)):
+        while 0 < p[i] < 1:
+            open_ = np.flatnonzero((p > 0) & (p < 1))
+            if len(open_) < 4:
+                return
+            off = s[open_] - s[open_].mean()
+            u = np.where(open_ == i, 1.0, 0.0) - 1 / len(open_)
+            if off.any():
+                u -= off * (s[i] - s[open_].mean()) / (off @ off)
+            if abs(u[open_ == i][0]) < 1e-6:
+                break  # it outweighs all others together
+            now, d = p[open_], np.where(np.abs(u) < 1e-12, 1e-12, u)
+            up = np.where(d > 0, (1 - now) / d, -now / d).min()
+            down = np.where(d > 0, now / d, (now - 1) / d).min()
+            moved = now + (up if next(draws) * (up + down) < down else -down) * u
+            p[open_] = np.where((moved <= _CLOSE) | (moved >= 1 - _CLOSE), np.round(moved), moved)
+
+
 def fly(part: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
     """Flight phase, in place: at most two entries of ``part`` stay strictly between 0 and 1.
 
     Three fractions always have a direction that changes neither their sum nor their sum of
     words; a random end of it, drawn so that expectations stay, settles one at least.
     """
+    draws = iter(rng.random(2 * len(part) + LONGEST).tolist())
+    part[:] = np.where((part <= _CLOSE) | (part >= 1 - _CLOSE), np.round(part), part)
+    _settle_longest(part, size, draws)
     p, s = part.tolist(), size.tolist()
-    draws = iter(rng.random(len(p) + 2).tolist())
     live: list[int] = []
     for i in range(len(p)):
-        if p[i] <= _CLOSE or p[i] >= 1 - _CLOSE:
-            p[i] = float(round(p[i]))
+        if not 0 < p[i] < 1:
             continue
         live.append(i)
         if len(live) < 3:
