@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, simhash, token_file, warc
+from . import decontaminate, langid, mixing, outliers, simhash, token_file, warc
 from .common import table
 
 
+def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("lang", "source", "row_key")
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_round_trip(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_file, op3_mixing, op7_warc, op8_decontaminate, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_token_file, op3_mixing, op7_warc, op8_decontaminate, op9_simhash, op10_language)}
 
 ORACLES: dict[str, str] = {
     "op7_warc": """
