@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, outliers, simhash, token_file, warc
+from . import decontaminate, langid, mixing, outliers, secrets, simhash, token_file, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,9 +41,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_token_file, op3_mixing, op7_warc, op8_decontaminate, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_token_file, op3_mixing, op4_secrets, op7_warc, op8_decontaminate, op9_simhash, op10_language)}
 
 ORACLES: dict[str, str] = {
+    "op4_secrets": f"""
+        WITH found AS (
+            SELECT doc_id, {secrets.duckdb_spans()} AS spans
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        )
+        SELECT doc_id,
+               CAST(len(list_filter(spans, lambda s: s.r = 0)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(spans, lambda s: s.r = 1)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(spans, lambda s: s.r = 2)) AS BIGINT) AS n_hex,
+               sha256(coalesce(array_to_string(list_transform(list_filter(spans, lambda s: s.r < 3), lambda s: concat(s.k, ':', s.s, ':', s.e)), ','), '')) AS base_sha256,
+               coalesce(array_to_string(list_transform(spans, lambda s: concat(s.k, ':', s.s, ':', s.e)), ','), '') AS spans
+        FROM found
+    """,
     "op7_warc": """
         WITH hashed AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
