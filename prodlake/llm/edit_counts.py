@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import CACHE, tokenizer_path
+from .tokens import PIECES, tokenizer_path
+from .worker import per_worker
 
 LEAF = 16  # pre-tokens
 GROWN = 8  # times LEAF: a leaf that is longer after an edit is cut up
@@ -53,7 +54,7 @@ class PieceCounts(dict):
         self._letters = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE:
+        if len(self) >= PIECES:
             self.clear()
         n = len(self._model.tokenize("".join([self._letters[b] for b in piece.encode()])))
         self[piece] = n
@@ -157,7 +158,7 @@ class Tree:
 
 def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(path)
+        counts = per_worker(("pieces", path), lambda: PieceCounts(path))
         for batch in batches:
             trees = [Tree.build(text.as_py() or "", counts) for text in batch.column(1)]
             kind = pa.list_(pa.int32())
@@ -181,7 +182,7 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def _recount(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(path)
+        counts = per_worker(("pieces", path), lambda: PieceCounts(path))
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):

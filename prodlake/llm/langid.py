@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .worker import per_worker
+
 UNDETERMINED = "und"
 SAMPLE = 2000  # labelled documents to learn from
 BUCKETS = 1 << 14
@@ -168,7 +170,7 @@ class Scorer(dict):
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE:  # between texts, so that no place is given twice
             self.clear()
         chunks = (text or "").encode().split()
         places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
@@ -182,7 +184,7 @@ class Scorer(dict):
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = per_worker(("languages", hash(model.weights.tobytes())), lambda: Scorer(model))
         for batch in batches:
             found = [scorer.predict(text.as_py()) for text in batch.column(2)]
             scores = np.array([f[1] for f in found], float)

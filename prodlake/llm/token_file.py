@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .tokens import WordEncoder, tokenizer_path
+from .worker import per_worker
 
 END_ID = 2
 SEGMENT = 1 << 17  # tokens after which a segment is closed
@@ -116,7 +117,7 @@ def _segments(path: str, end_id: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
+        encoder = per_worker(("words", path), lambda: WordEncoder(path))
         part, state = TaskContext.get().partitionId(), {"seq": 0, "first": 0}
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []

@@ -11,7 +11,8 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 400_000  # pieces; a cache is emptied when it is full
+CACHE = 300_000  # chunks or pre-tokens; a cache is emptied when it is full
+PIECES = 500_000  # words behind the chunks
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,7 +48,7 @@ class WordEncoder(dict):
                 found = tuple([token.id for token in self._tokenizer.model.tokenize(piece)])
             else:
                 found = tuple(self._tokenizer.encode(piece, add_special_tokens=False).ids)
-            if len(self._pieces) >= CACHE:
+            if len(self._pieces) >= PIECES:
                 self._pieces.clear()
             self._pieces[piece] = found
         return found
