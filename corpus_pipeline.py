@@ -2,16 +2,32 @@
 
 ``STAGES`` names its stages in order.  Each takes (spark, docs, sf_dir), works on all rows of
 ``docs`` and returns a DataFrame, which is written as Parquet and read as the next one's docs.
+All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prodlake.llm import mixing, token_file
+from prodlake.llm import decontaminate, mixing, outliers, simhash, token_file
 from prodlake.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return outliers.keep_inliers(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its sources takes it."""
     return mixing.mix_documents(docs)
@@ -23,15 +39,19 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
     ("mixing", mix),
     ("token_files", tokenize),
 ]
 
-# the outlier estimates, the flight of the sampling and the tokenizer have no SQL form
+# the outlier estimates, the fingerprints, the sampling and the tokenizer have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

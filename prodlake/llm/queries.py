@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, edit_counts, langid, mixing, outliers, secrets, simhash, token_file, warc
+from . import decontaminate, edit_counts, langid, mixing, outliers, passages, secrets, simhash, token_file, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_revision(table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_outliers, op2_token_file, op3_mixing, op4_secrets, op5_edit_counts, op7_warc, op8_decontaminate, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_outliers, op2_token_file, op3_mixing, op4_secrets, op5_edit_counts, op6_passages, op7_warc, op8_decontaminate, op9_simhash, op10_language)}
 
 ORACLES: dict[str, str] = {
     "op4_secrets": f"""
