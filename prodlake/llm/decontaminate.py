@@ -159,18 +159,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = PER_EDIT, block
     return docs.sparkSession.createDataFrame([], RESULT) if found is None else found
 
 
+def _found(items: list[tuple[int, str]], per_edit: int):
+    @F.pandas_udf("boolean")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items, per_edit)
+        for batch in texts:
+            yield pd.Series([bool(matcher.find(t)) for t in batch], dtype=bool)
+
+    return found
+
+
 def holds_item(benchmark: DataFrame, text: Column, per_edit: int = PER_EDIT, block: int = BLOCK) -> Column:
     """Whether a text holds any item; false for a null text."""
     held: Column = F.lit(False)
     for items in _blocks(benchmark, block):
-
-        @F.pandas_udf("boolean")
-        def found(texts: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
-            matcher = Matcher(items, per_edit)
-            for batch in texts:
-                yield pd.Series([bool(matcher.find(t)) for t in batch], dtype=bool)
-
-        held = held | found(text)
+        held = held | _found(items, per_edit)(text)
     return held
 
 
