@@ -1,4 +1,4 @@
-"""``python -m prodlake --raw <dir> --root <dir> [--stage ...]``"""
+"""``python -m prodlake --raw <dir> --root <dir> [--stage ...] [--top-wells N]``"""
 
 import argparse
 
@@ -11,9 +11,10 @@ def main() -> None:
     parser.add_argument("--raw", required=True, help="folder with the raw CSV feeds")
     parser.add_argument("--root", required=True, help="folder of the tables")
     parser.add_argument("--stage", choices=["all", *stages.STAGES], default="all")
+    parser.add_argument("--top-wells", type=int, help="forecast only the wells with the most oil (default: all)")
     args = parser.parse_args()
     spark = get_spark()
-    for table, rows in stages.run(spark, args.raw, args.root, args.stage).items():
+    for table, rows in stages.run(spark, args.raw, args.root, args.stage, args.top_wells).items():
         print(f"{table:<36} {rows:>14,}")
     spark.stop()
 

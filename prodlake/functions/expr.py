@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,7 @@ def share_pct(part: Column, other: Column) -> Column:
     return safe_ratio(part, part + other) * 100
 
 
+# The thresholds of the classes below.
 def flaring_category(ratio_pct: Column) -> Column:
     """Low below 5 %, Medium up to and including 15 %, otherwise High (null too)."""
     return (
@@ -106,11 +109,32 @@ def _rounding_error(x: Column, factor: float) -> Column:
     return ((x_high * f_high - x * factor) + x_high * f_low + x_low * f_high) + x_low * f_low
 
 
+def _whole(x: Column) -> Column:
+    """The exact digits of a non-negative whole double below 1e38.
+
+    A cast to decimal goes through the shortest text of the double; parts of 35 bits do not.
+    """
+    low_bits, high_bits = float(2**35), float(2**70)
+    high = F.floor(x / high_bits)
+    rest = x - high.cast("double") * high_bits
+    middle = F.floor(rest / low_bits)
+    low = F.floor(rest - middle.cast("double") * low_bits)
+
+    def exact(part: Column, unit: int) -> Column:
+        return part.cast("decimal(17,0)") * F.lit(Decimal(unit)).cast("decimal(21,0)" if unit == 1 else "decimal(22,0)")
+
+    small = low.cast("decimal(38,0)") + (middle.cast("decimal(11,0)") * F.lit(Decimal(2**35)).cast("decimal(11,0)")).cast("decimal(38,0)")
+    big = exact(high, 2**70).cast("decimal(38,0)")
+    return F.when(x < low_bits, x.cast("bigint").cast("string")).otherwise((big + small).cast("decimal(38,0)").cast("string"))
+
+
 def fixed_point(value: Column, places: int = 1) -> Column:
     """Text with ``places`` decimals, rounding the exact binary value half to even.
 
     ``format_string`` rounds the shortest decimal form half up, which differs on
-    ties: 0.25 must print as 0.2 and 1.15 (in binary just below) as 1.1.
+    ties: 0.25 must print as 0.2 and 1.15 (in binary just below) as 1.1.  From 2**52 on a double
+    is whole and prints all of its digits; infinity prints as ``inf``, values of 1e38 and more
+    in exponent form.
     """
     factor = float(10**places)
 
@@ -126,8 +150,34 @@ def fixed_point(value: Column, places: int = 1) -> Column:
         padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(places + 1)), F.lit("0"))
         return F.regexp_replace(padded, f"(\\d{{{places}}})$", ".$1") if places else padded
 
+    zeros = "." + "0" * places if places else ""
+
+    def text(x: Column) -> Column:
+        return (
+            F.when(x == float("inf"), "inf")
+            .when(x >= 1e38, x.cast("string"))
+            # below, x times the factor stays within the 53 bits of a double
+            .when(x >= 2.0**52 / factor, _bind(x, _split_text(zeros, places)))
+            .otherwise(_bind(_bind(x, units), with_point))
+        )
+
     sign = F.when(value < 0, "-").otherwise("")
-    return F.concat(sign, _bind(_bind(F.abs(value), units), with_point))
+    return F.concat(sign, _bind(F.abs(value), text))
+
+
+def _split_text(zeros: str, places: int):
+    """Whole part and decimals apart, for values whose scaled form does not fit a double."""
+
+    def text(x: Column) -> Column:
+        whole = F.when(x < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+        # a multiple of a power of two above 2**-14 here: the decimal form is exact
+        rest = F.bround((x - whole).cast("decimal(38,30)"), places)
+        carried = F.when(rest >= 1, whole + 1).otherwise(whole)
+        decimals = F.when(rest >= 1, rest - 1).otherwise(rest)
+        shown = F.substr(F.format_number(decimals, places), F.lit(2)) if places else F.lit("")
+        return F.when(x >= 2.0**52, F.concat(_whole(x), F.lit(zeros))).otherwise(F.concat(_whole(carried), shown))
+
+    return text
 
 
 def humanize(value: Column, suffix: str = "", places: int = 1) -> Column:

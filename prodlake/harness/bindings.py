@@ -148,13 +148,14 @@ def raw_production(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unreadable lengths where negative, a second row for rich wells, some wells missing."""
-    wells = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > -800)
+    """Unreadable lengths where negative, a second row for rich wells, no id for the poorest."""
+    wells = table(spark, sf_dir, "supplier")
+    api_number = F.when(F.col("s_acctbal") > -800, F.col("s_suppkey").cast("string"))
     balance = F.col("s_acctbal").cast("decimal(18,2)")
     first = wells.select(
         F.when(F.col("s_acctbal") < 0, "n/a").otherwise(balance.cast("string")).alias("SquareRootSum"),
         F.col("s_name").alias("Well Name"),
-        F.col("s_suppkey").cast("string").alias("API Number"),
+        api_number.alias("API Number"),
     )
     second = wells.filter(F.col("s_acctbal") >= 5000).select(
         (balance + F.lit(1000).cast("decimal(18,2)")).cast("string").alias("SquareRootSum"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from prodlake.harness.queries import B_GRID, DECIMALS, DI_GRID, ETHANE_THRESHOLD, OPERATOR, PLAY, QUARTERS
+from prodlake.harness.queries import B_GRID, DECIMALS, DI_GRID, ETHANE_THRESHOLD, OPERATOR, PLAY, TOP_WELLS, WELL
 
 CTES = {
     "wells_of": """
@@ -131,8 +131,9 @@ CTES = {
         FROM raw_monthly JOIN wells_of ON l_suppkey = s_suppkey""",
     "raw_wells": """
         SELECT CASE WHEN s_acctbal < 0 THEN 'n/a' ELSE CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) END
-                 AS squarerootsum, s_name AS well_name, CAST(s_suppkey AS VARCHAR) AS api_number
-        FROM supplier WHERE s_acctbal > -800
+                 AS squarerootsum, s_name AS well_name,
+               CASE WHEN s_acctbal > -800 THEN CAST(s_suppkey AS VARCHAR) END AS api_number
+        FROM supplier
         UNION ALL
         SELECT CAST(CAST(s_acctbal AS DECIMAL(18,2)) + 1000 AS VARCHAR), upper(s_name), CAST(s_suppkey AS VARCHAR)
         FROM supplier WHERE s_acctbal >= 5000""",
@@ -204,6 +205,12 @@ CTES = {
         UNION ALL
         SELECT 'basin', shale_play, production_month, SUM(oil_production), SUM(gas_production)
         FROM wide GROUP BY shale_play, production_month""",
+    "measured": """
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id ORDER BY production_month, oil_production, gas_production) - 1 AS t,
+               greatest(oil_production, 0.001) AS q
+        FROM (SELECT 'well' AS entity_type, api_number AS entity_id, production_month, oil_production, gas_production
+              FROM wide UNION ALL SELECT * FROM upper_panels)
+        QUALIFY COUNT(*) OVER (PARTITION BY entity_type, entity_id) >= 6""",
     # --- noise-free decline series and their true future
     "parameters": """
         SELECT CAST(s_suppkey AS VARCHAR) AS api_number, s_name AS well_name, n_name AS operator,
@@ -220,9 +227,9 @@ CTES = {
                CAST(DATE '1995-01-01' + to_months(t) AS DATE) AS production_month,
                qi * CASE WHEN b = 0 THEN exp(-di * t) ELSE pow(1 + b * di * t, -1 / NULLIF(b, 0)) END AS oil
         FROM parameters CROSS JOIN months""",
-    "top_decline": """
+    "top_decline": f"""
         SELECT api_number FROM (SELECT api_number, ROW_NUMBER() OVER (ORDER BY SUM(oil) DESC, api_number) AS rn
-                                FROM history GROUP BY api_number) WHERE rn <= 100""",
+                                FROM history GROUP BY api_number) WHERE rn <= {TOP_WELLS}""",
     "entities": """
         SELECT 'well' AS entity_type, api_number AS entity_id, qi, di, b
         FROM parameters WHERE api_number IN (SELECT api_number FROM top_decline)
@@ -247,16 +254,16 @@ CTES = {
 }
 
 
-def sql(text: str) -> str:
+def sql(text: str, ctes: dict[str, str] = CTES) -> str:
     """Prefix ``text`` with the building blocks it uses, in order of definition."""
     needed: set[str] = set()
     pending = [text]
     while pending:
         words = set(re.findall(r"\b[a-z_0-9]+\b", pending.pop()))
-        for name in CTES.keys() & words - needed:
+        for name in ctes.keys() & words - needed:
             needed.add(name)
-            pending.append(CTES[name])
-    chosen = ",\n".join(f"{name} AS ({CTES[name]})" for name in CTES if name in needed)
+            pending.append(ctes[name])
+    chosen = ",\n".join(f"{name} AS ({ctes[name]})" for name in ctes if name in needed)
     return f"WITH {chosen}\n{text}" if chosen else text
 
 
@@ -346,11 +353,10 @@ _FORECAST_ROWS = {
     "gold_production_forecast": """
         SELECT 24 * COUNT(*) FROM (
             SELECT api_number FROM (
-                SELECT api_number, COUNT(*) AS n,
-                       ROW_NUMBER() OVER (ORDER BY SUM(oil) DESC, api_number) AS rn
+                SELECT api_number, COUNT(*) AS n
                 FROM (SELECT api_number, well_name, operator, production_month,
                              COALESCE(SUM(production) FILTER (WHERE oil_and_gas_group = 'O'), 0) AS oil
-                      FROM silver_production GROUP BY ALL) GROUP BY api_number) WHERE rn <= 100 AND n >= 6
+                      FROM silver_production GROUP BY ALL) GROUP BY api_number) WHERE n >= 6
             UNION ALL SELECT operator FROM silver_production GROUP BY operator
               HAVING COUNT(DISTINCT production_month) >= 6
             UNION ALL SELECT shale_play FROM silver_production GROUP BY shale_play
@@ -370,9 +376,9 @@ _TEXTS = {
     "ingest_operator_well_counts": _ingested("raw_counts", "operator_well_counts.csv"),
     "ingest_shale_production": _ingested("raw_shale", "shale_play_production.csv"),
     "ingest_well_metadata": _ingested("raw_wells", "well_metadata.csv"),
-    "ingest_well_production": _ingested(
+    "ingest_well_production": "SELECT *, true AS ingest_year_is_load_year FROM (" + _ingested(
         "raw_production", "synthetic_well_production.csv", "modelled_feed"
-    ),
+    ) + ")",
     "write_overwrite": rounded("SELECT * FROM flaring", "total_flared_gas_mcf"),
     "write_partitioned": rounded(
         """SELECT production_year, COUNT(*) AS row_count,
@@ -390,6 +396,7 @@ _TEXTS = {
         "total_flared_gas_mcf total_production",
     ),
     "load_kpi_sample": rounded("SELECT * FROM ethane", _ETHANE),
+    "load_trends_sample": rounded("SELECT * FROM trends", _TRENDS),
     # cleaning
     "sanitize_columns": "SELECT * FROM raw_wells",
     "add_lineage": _ingested("raw_flaring", "flaring.csv"),
@@ -423,7 +430,8 @@ _TEXTS = {
              SELECT (SELECT COUNT(*) FROM raw_production) AS raw_rows, COUNT(*) AS clean_rows,
                     COUNT(DISTINCT api_number) AS unique_wells, COUNT(DISTINCT operator) AS unique_operators,
                     MIN(production_month) AS first_month, MAX(production_month) AS last_month,
-                    COUNT(*) FILTER (WHERE production IS NULL) AS null_productions
+                    COUNT(*) FILTER (WHERE production IS NULL) AS null_productions,
+                    (SELECT COUNT(*) FROM typed_production WHERE isnan(production) OR isinf(production)) AS non_finite
              FROM silver_facts)""",
         "retention_pct",
     ),
@@ -532,12 +540,37 @@ _TEXTS = {
            WHERE mom_growth_pct IS NOT NULL""",
         "mom_growth_pct",
     ),
-    "quarter_matrix": rounded(
-        "SELECT production_year, " + ", ".join(
-            f"""COALESCE(SUM(production) FILTER (WHERE production_year || production_quarter = '{q}'), 0.0)
-                AS "{q}\"""" for q in QUARTERS
-        ) + " FROM production WHERE oil_and_gas_group = 'O' GROUP BY production_year",
-        " ".join(QUARTERS),
+    "quarter_matrix": f"""SELECT production_year, round(coalesce(COLUMNS(* EXCLUDE production_year), 0.0), {DECIMALS}) FROM (
+        PIVOT (SELECT production_year, production_year || production_quarter AS period, production
+               FROM production WHERE oil_and_gas_group = 'O')
+        ON period USING sum(production) GROUP BY production_year)""",
+    "yoy_series": rounded(
+        """SELECT shale_play, oil_and_gas_group, production_month, yoy_growth_pct FROM trends
+           WHERE yoy_growth_pct IS NOT NULL""",
+        "yoy_growth_pct",
+    ),
+    "well_history": rounded(
+        f"""SELECT production_month, SUM(oil_production) AS oil_production, SUM(gas_production) AS gas_production
+            FROM wide WHERE api_number = '{WELL}' GROUP BY production_month""",
+        _PANEL,
+    ),
+    "operator_history": rounded(
+        f"""SELECT production_month, SUM(oil_production) AS oil_production, SUM(gas_production) AS gas_production
+            FROM wide WHERE operator = '{OPERATOR}' GROUP BY production_month""",
+        _PANEL,
+    ),
+    "distinct_plays": "SELECT DISTINCT shale_play FROM production",
+    "trends_scaled": rounded(
+        """SELECT shale_play, production_month, total_production / 1000 AS thousand_bbl FROM trends
+           WHERE oil_and_gas_group = 'O'""",
+        "thousand_bbl",
+    ),
+    "commodity_split_scaled": rounded(
+        """SELECT operator, liquid / 1000000 AS liquid_rich_millions, dry / 1000000 AS dry_gas_millions FROM (
+             SELECT operator, COALESCE(SUM(liquid_rich_production), 0) AS liquid,
+                    COALESCE(SUM(dry_gas_production), 0) AS dry FROM ethane GROUP BY operator)
+           ORDER BY liquid + dry DESC, operator LIMIT 14""",
+        "liquid_rich_millions dry_gas_millions",
     ),
     "entity_history": rounded(
         f"""SELECT production_month, SUM(oil_production) AS oil_production, SUM(gas_production) AS gas_production
@@ -593,6 +626,8 @@ _TEXTS = {
         FROM (SELECT c_mktsegment || '-' || upper(c_name) AS name FROM customer)""",
     "humanize_number": f"""SELECT o_orderkey, {_human("o_totalprice", " BBL")} AS price,
         {_human("(o_totalprice * o_totalprice)")} AS "large",
+        {_human("(o_totalprice * o_totalprice * CAST(1e17 AS DOUBLE))")} AS huge,
+        printf('%.1f', o_totalprice * o_totalprice * o_totalprice * o_totalprice) AS all_digits,
         {_human("(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 1000 END)")} AS "small" FROM orders""",
     "entity_labels": """SELECT api_number, left(COALESCE(well_name, api_number), 20) AS short_name,
         right(well_name, 6) AS tail, shale_play AS play FROM summary""",
@@ -614,7 +649,7 @@ _TEXTS = {
            WHERE oil_and_gas_group = 'O' GROUP BY shale_play, production_month""",
         "total_oil",
     ),
-    "top_wells": rounded("SELECT api_number, cum_oil FROM ranked_wells WHERE rn <= 100", "cum_oil"),
+    "top_wells": rounded(f"SELECT api_number, cum_oil FROM ranked_wells WHERE rn <= {TOP_WELLS}", "cum_oil"),
     "top3_wells": rounded(
         """SELECT api_number, well_name, SUM(production) AS cum_oil FROM production
            WHERE oil_and_gas_group = 'O' GROUP BY api_number, well_name
@@ -682,6 +717,33 @@ _TEXTS = {
                         GROUP BY entity_type, entity_id, gdi, gb)) WHERE rn = 1""",
         "qi di b r2",
     ),
+    "arps_grid_fit_measured": rounded(
+        f"""SELECT entity_type, entity_id,
+                   CASE WHEN gb = 0 THEN 'exponential' WHEN gb = 1 THEN 'harmonic' ELSE 'hyperbolic' END AS model,
+                   best_qi AS qi, gdi AS di, gb AS b, CASE WHEN tot > 0 THEN 1 - sse / tot ELSE 0 END AS r2
+            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id ORDER BY sse, gb, gdi) AS rn
+                  FROM (SELECT entity_type, entity_id, gdi, gb, any_value(best_qi) AS best_qi,
+                               SUM(pow(q - best_qi * f, 2)) AS sse, SUM(pow(q - mean, 2)) AS tot
+                        FROM (SELECT *, least(SUM(q * f) OVER cell / SUM(f * f) OVER cell,
+                                              10 * first_value(q) OVER (PARTITION BY entity_type, entity_id, gdi, gb ORDER BY t))
+                                        AS best_qi, AVG(q) OVER cell AS mean
+                              FROM (SELECT entity_type, entity_id, gdi, gb, t, q,
+                                           CASE WHEN gb = 0 THEN exp(-gdi * t)
+                                                ELSE pow(1 + gb * gdi * t, -1 / NULLIF(gb, 0)) END AS f
+                                    FROM measured
+                                    CROSS JOIN (SELECT CAST(unnest({DI_GRID}) AS DOUBLE) AS gdi)
+                                    CROSS JOIN (SELECT CAST(unnest({B_GRID}) AS DOUBLE) AS gb))
+                              WINDOW cell AS (PARTITION BY entity_type, entity_id, gdi, gb))
+                        GROUP BY entity_type, entity_id, gdi, gb)) WHERE rn = 1""",
+        "qi di b r2",
+    ),
+    "fit_against_grid": """SELECT entity_type, entity_id, g AS oil_and_gas_group, CAST(n AS INTEGER) AS months, true AS at_least_grid
+        FROM (SELECT entity_type, entity_id, COUNT(*) AS n FROM measured GROUP BY entity_type, entity_id)
+        CROSS JOIN (SELECT unnest(['O', 'G']) AS g)""",
+    "forecast_months_measured": """SELECT entity_type, entity_id, CAST(24 AS BIGINT) AS months,
+        CAST(max(production_month) + INTERVAL 1 MONTH AS DATE) AS first_month,
+        CAST(max(production_month) + INTERVAL 24 MONTH AS DATE) AS last_month, CAST(0 AS BIGINT) AS negative
+        FROM measured GROUP BY entity_type, entity_id""",
     "fitted_curve": rounded(
         """SELECT entity_type, entity_id, t, CAST(DATE '1995-01-01' + to_months(t) AS DATE) AS production_month,
                   rate AS oil_production, 4 * rate AS gas_production, rate AS oil_fitted, 4 * rate AS gas_fitted
@@ -752,20 +814,6 @@ _TEXTS = {
            WHERE entity_type = 'operator' GROUP BY entity_id ORDER BY forecast_oil_bbl DESC, entity_id LIMIT 12""",
         "forecast_oil_bbl",
     ),
-    "decline_profile": rounded(
-        """SELECT api_number, well_name, operator, CAST(DATE '2018-01-01' + to_months(t) AS DATE) AS production_month,
-                  shale_play, shale_play AS basin, g AS oil_and_gas_group,
-                  round(q / pow(1 + bb * di * t, 1 / bb)
-                        * CASE WHEN qi > 8500 AND t >= 24 AND t < 30
-                               THEN CASE g WHEN 'O' THEN CAST(1.5 AS DOUBLE) ELSE CAST(1.25 AS DOUBLE) END
-                               ELSE 1 END, 2) AS production
-           FROM (SELECT *, CASE g WHEN 'O' THEN qi ELSE 4 * qi END AS q,
-                        b * CAST(0.5 AS DOUBLE)
-                          + CASE g WHEN 'O' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END AS bb
-                 FROM parameters CROSS JOIN (SELECT CAST(unnest(range(0, 72)) AS INTEGER) AS t)
-                 CROSS JOIN (SELECT unnest(['O', 'G']) AS g))""",
-        "production",
-    ),
     # stages
     "stage_bronze": _counts(_BRONZE),
     "stage_silver": _counts(_SILVER),
@@ -774,4 +822,32 @@ _TEXTS = {
     "stage_counts": _counts({**_BRONZE, **_SILVER, **_GOLD, **_FORECAST_ROWS}),
 }
 
-ORACLES = {name: sql(text) for name, text in _TEXTS.items()}
+# What the stages store: the same texts, over the cleaned feeds in place of the bound tables.
+_CLEANED = {"production": "SELECT * FROM silver_production", "flaring": "SELECT * FROM silver_flaring"}
+_FIRST = ["wells_of", *[name for name in CTES if name.startswith(("raw_", "typed_", "silver_")) and name != "raw_shale"]]
+_STORED_CTES = {name: CTES[name] for name in _FIRST} | _CLEANED | {
+    name: text for name, text in CTES.items() if name not in _FIRST and name not in _CLEANED and name != "raw_shale"
+}
+_STORED_TEXTS = {
+    "stored_silver_wells": _TEXTS["clean_wells"],
+    "stored_silver_flaring": _TEXTS["clean_flaring"],
+    "stored_silver_production": _TEXTS["enrich_production"],
+    "stored_gold_operator_performance": _TEXTS["operator_performance"],
+    "stored_gold_basin_production_trends": _TEXTS["basin_production_trends"],
+    "stored_gold_flaring_intensity": _TEXTS["flaring_intensity"],
+    # the stage classes by its default threshold
+    "stored_gold_ethane_dry_gas": rounded(
+        """SELECT * REPLACE (CASE WHEN ethane_dry_gas_ratio > 0.3 THEN 'Liquid-Rich' ELSE 'Dry Gas' END AS basin_category)
+           FROM ethane""",
+        _ETHANE,
+    ),
+    "stored_gold_well_summary": _TEXTS["well_summary"],
+    "stored_gold_production_forecast": """SELECT entity_type, entity_id, CAST(24 AS BIGINT) AS months,
+        CAST(max(production_month) + INTERVAL 1 MONTH AS DATE) AS first_month,
+        CAST(max(production_month) + INTERVAL 24 MONTH AS DATE) AS last_month
+        FROM measured GROUP BY entity_type, entity_id""",
+}
+
+ORACLES = {name: sql(text) for name, text in _TEXTS.items()} | {
+    name: sql(text, _STORED_CTES) for name, text in _STORED_TEXTS.items()
+}

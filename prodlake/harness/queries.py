@@ -16,7 +16,7 @@ from prodlake.functions import decline, expr
 from prodlake.harness import bindings as bind
 from prodlake.operators import clean, forecast, kpi, portfolio, quality, ranking
 from prodlake.plans import stages
-from prodlake.session import scratch_path
+from prodlake.session import scratch_path, stored
 from prodlake.sources import feeds, tables
 from prodlake.sources.tables import TablePaths
 
@@ -25,8 +25,8 @@ QUERIES: dict[str, Query] = {}
 
 DECIMALS = 4
 ETHANE_THRESHOLD = 1.0  # the supplied tables hold about as much oil as gas
-OPERATOR, PLAY = "NATION_8", "EUROPE"
-QUARTERS = [f"{year}Q{quarter}" for year in range(1995, 2002) for quarter in range(1, 5)]
+OPERATOR, PLAY, WELL = "NATION_8", "EUROPE", "8"
+TOP_WELLS = 100  # of the forecast reports
 DI_GRID = [i / 100 for i in range(1, 16)]
 B_GRID = [i / 10 for i in range(11)]
 
@@ -82,7 +82,10 @@ def _ingested(table: str) -> Query:
         paths = TablePaths(scratch_path(spark, "tables"))
         feeds.ingest(spark, feed, csv_path, paths)
         landed = tables.scan_table(spark, paths.of(table))
-        return landed.drop("load_timestamp", "ingest_year")
+        if feed.partition_by_load_year:
+            same = F.col("ingest_year").cast("int") == F.year("load_timestamp")
+            landed = landed.withColumn("ingest_year_is_load_year", same).drop("ingest_year")
+        return landed.drop("load_timestamp")
 
     return run
 
@@ -142,6 +145,14 @@ def register_views(spark, sf_dir):
     )
 
 
+@query
+def load_trends_sample(spark, sf_dir):
+    """The same for a table with a date column."""
+    path = scratch_path(spark, "gold_basin_production_trends.csv")
+    _write_feed(_trends(spark, sf_dir), path)
+    return tables.read_csv_table(spark, path, schemas.GOLD_BASIN_TRENDS)
+
+
 @query
 def load_kpi_sample(spark, sf_dir):
     """A KPI table exported as CSV and read back with its enforced schema."""
@@ -246,8 +257,7 @@ def dq_null_profile(spark, sf_dir):
 
 @query
 def dq_summary(spark, sf_dir):
-    raw = _raw_production(spark, sf_dir)
-    return quality.dq_summary(raw, clean.clean_production(raw))
+    return quality.dq_summary(_raw_production(spark, sf_dir))
 
 
 @query
@@ -288,7 +298,9 @@ def top5_flaring_intensity(spark, sf_dir):
 
 
 def _performance(spark, sf_dir):
-    return kpi.operator_performance(bind.production(spark, sf_dir), bind.flaring(spark, sf_dir))
+    return kpi.operator_performance(
+        kpi.operator_oil_gas(bind.production(spark, sf_dir)), bind.flaring(spark, sf_dir)
+    )
 
 
 def _trends(spark, sf_dir):
@@ -377,14 +389,12 @@ over_production(
 # --- portfolio ---------------------------------------------------------------------------
 
 
-@query
-def portfolio_kpis(spark, sf_dir):
-    return portfolio.portfolio_kpis(_performance(spark, sf_dir), _summary(spark, sf_dir))
+over_production("portfolio_kpis", portfolio.portfolio_kpis)
 
 
 @query
 def volume_tier(spark, sf_dir):
-    return _tiered(spark, sf_dir)
+    return _tiered(spark, sf_dir).drop("_median")
 
 
 def _tiered(spark, sf_dir):
@@ -397,7 +407,11 @@ over_kpi("wells_per_play", _summary, portfolio.wells_per_play)
 over_kpi("well_portfolio", _summary, portfolio.well_portfolio)
 over_kpi("trend_slice", _trends, lambda t: portfolio.trend_slice(t, [PLAY, "ASIA"], ["O"]))
 over_kpi("growth_series", _trends, lambda t: portfolio.growth_series(t, "mom_growth_pct"))
-over_production("quarter_matrix", lambda p: portfolio.quarter_matrix(p, QUARTERS))
+over_kpi("yoy_series", _trends, lambda t: portfolio.growth_series(t, "yoy_growth_pct"))
+over_production("quarter_matrix", portfolio.quarter_matrix)
+over_production("well_history", lambda p: portfolio.entity_history(p, "well", WELL))
+over_production("operator_history", lambda p: portfolio.entity_history(p, "operator", OPERATOR))
+over_production("distinct_plays", lambda p: quality.distinct_values(p, "shale_play"))
 over_production("entity_history", lambda p: portfolio.entity_history(p, "basin", PLAY))
 over_production("operator_drilldown", lambda p: portfolio.operator_drilldown(p, OPERATOR))
 over_kpi("flaring_percentiles", bind.flaring, portfolio.flaring_percentiles)
@@ -407,11 +421,25 @@ over_kpi("tier_summary", _tiered, portfolio.tier_summary)
 over_kpi("tier_report", _tiered, lambda t: portfolio.tier_report(portfolio.tier_summary(t)))
 over_kpi(
     "top10_flaring", _tiered,
-    lambda d: portfolio.top_n(d, "total_flared_gas_mcf", 10, "operator").withColumn(
+    lambda d: portfolio.top_n(d.drop("_median"), "total_flared_gas_mcf", 10, "operator").withColumn(
         "operator_label", expr.title_case(F.col("operator"))
     ),
 )
 over_kpi("commodity_split_top_n", _ethane, lambda e: portfolio.commodity_split_top_n(e, 14))
+over_kpi(
+    "commodity_split_scaled", _ethane,
+    lambda e: portfolio.commodity_split_top_n(e, 14).select(
+        "operator",
+        (F.col("liquid_rich_production") / 1e6).alias("liquid_rich_millions"),
+        (F.col("dry_gas_production") / 1e6).alias("dry_gas_millions"),
+    ),
+)
+over_kpi(
+    "trends_scaled", _trends,
+    lambda t: t.filter(F.col("oil_and_gas_group") == "O").select(
+        "shale_play", "production_month", (F.col("total_production") / 1e3).alias("thousand_bbl")
+    ),
+)
 over_kpi("liquid_share_by_year", _ethane, portfolio.liquid_share_by_year)
 
 
@@ -432,6 +460,8 @@ def humanize_number(spark, sf_dir):
         "o_orderkey",
         expr.humanize(price, " BBL").alias("price"),
         expr.humanize(price * price).alias("large"),
+        expr.humanize(price * price * 1e17).alias("huge"),
+        expr.fixed_point(price * price * price * price, 1).alias("all_digits"),
         expr.humanize(F.when(F.col("o_orderstatus") != "P", price / 1000)).alias("small"),
     )
 
@@ -456,7 +486,7 @@ over_production("monthly_wide_panel", forecast.monthly_wide_panel)
 over_production("operator_monthly", forecast.operator_monthly)
 over_production("play_monthly", forecast.play_monthly)
 over_production("play_monthly_oil", forecast.play_monthly_oil)
-over_production("top_wells", forecast.top_wells)
+over_production("top_wells", lambda p: forecast.top_wells(p, TOP_WELLS))
 over_production("top3_wells", forecast.top_named_wells)
 over_production("top_wells_semi", lambda p: forecast.top_well_panel(p, 20))
 over_production("entity_panel", lambda p: forecast.entity_panel(p, 20))
@@ -505,7 +535,7 @@ def r2_histogram(spark, sf_dir):
     return portfolio.r2_histogram(scores)
 
 
-def _decline_panel(spark, sf_dir, top_n: int | None = 100):
+def _decline_panel(spark, sf_dir, top_n: int | None = TOP_WELLS):
     return forecast.entity_panel(bind.decline_production(spark, sf_dir), top_n)
 
 
@@ -543,6 +573,43 @@ def arps_grid_fit(spark, sf_dir):
     return forecast.arps_grid_fit(series, "oil", DI_GRID, B_GRID)
 
 
+def _measured_series(spark, sf_dir):
+    """All entities of the measured production, gaps and noise included."""
+    return forecast.entity_series(forecast.entity_panel(bind.production(spark, sf_dir)))
+
+
+@query
+def arps_grid_fit_measured(spark, sf_dir):
+    return forecast.arps_grid_fit(_measured_series(spark, sf_dir), "oil", DI_GRID, B_GRID)
+
+
+@query
+def fit_against_grid(spark, sf_dir):
+    """Whether the fit of measured oil and gas explains at least as much as the best grid cell."""
+    series = stored(_measured_series(spark, sf_dir), "series")
+    fitted = forecast.arps_fit(forecast.fit_series(series)).select("entity_type", "entity_id", "oil_and_gas_group", "months", "r2")
+    grids = None
+    for group, value in (("O", "oil"), ("G", "gas")):
+        grid = forecast.arps_grid_fit(series, value, DI_GRID, B_GRID).select(
+            F.col("entity_type").alias("_type"), F.col("entity_id").alias("_id"), F.lit(group).alias("_group"), F.col("r2").alias("_r2")
+        )
+        grids = grid if grids is None else grids.union(grid)
+    same = (F.col("entity_type") == F.col("_type")) & (F.col("entity_id") == F.col("_id")) & (F.col("oil_and_gas_group") == F.col("_group"))
+    return fitted.join(grids, same).select(
+        "entity_type", "entity_id", "oil_and_gas_group", "months", (F.col("r2") >= F.col("_r2") - 1e-9).alias("at_least_grid")
+    )
+
+
+@query
+def forecast_months_measured(spark, sf_dir):
+    """Which months the forecast of measured production covers, per entity."""
+    table = forecast.forecast_table(bind.production(spark, sf_dir))
+    return table.groupBy("entity_type", "entity_id").agg(
+        F.count("*").alias("months"), F.min("forecast_month").alias("first_month"), F.max("forecast_month").alias("last_month"),
+        F.count_if((F.col("forecast_oil_bbl") < 0) | (F.col("forecast_gas_mcf") < 0)).alias("negative"),
+    )
+
+
 @query
 def fitted_curve(spark, sf_dir):
     return forecast.fitted_curve(_decline_fits(spark, sf_dir))
@@ -577,12 +644,12 @@ def forecast_calendar(spark, sf_dir):
 
 
 def _forecast(spark, sf_dir):
-    return forecast.forecast_table(bind.decline_production(spark, sf_dir))
+    return forecast.forecast_table(bind.decline_production(spark, sf_dir), top_n=TOP_WELLS)
 
 
 def _forecast_level(level: str) -> Query:
     return lambda spark, sf_dir: rounded(
-        forecast.forecast_table(bind.decline_production(spark, sf_dir), levels=(level,))
+        forecast.forecast_table(bind.decline_production(spark, sf_dir), 24, TOP_WELLS, (level,))
     )
 
 
@@ -612,19 +679,6 @@ over_kpi("model_card", _forecast, lambda f: portfolio.model_card(f, "operator",
 over_kpi("operator_forecast_top", _forecast, portfolio.operator_forecast_top)
 
 
-@query
-def decline_profile(spark, sf_dir):
-    """Hyperbolic profiles of every well, a workover where the balance is high."""
-    wells = bind.decline_parameters(spark, sf_dir).select(
-        "api_number", "well_name", "operator", "shale_play", "basin",
-        F.col("qi").alias("qi_oil"), F.col("di").alias("di_oil"), (F.col("b") * 0.5 + 0.3).alias("b_oil"),
-        (F.col("qi") * 4).alias("qi_gas"), F.col("di").alias("di_gas"), (F.col("b") * 0.5 + 0.4).alias("b_gas"),
-        F.when(F.col("qi") > 8500, 24).alias("workover_month"),
-        F.lit(1.5).alias("workover_oil"), F.lit(1.25).alias("workover_gas"),
-    )
-    return forecast.decline_profile(wells, "2018-01-01", 72)
-
-
 # --- stages ------------------------------------------------------------------------------
 
 # Tables of the stages that already ran, per session and data folder, so that each
@@ -660,6 +714,37 @@ for _stage in stages.STAGES:
     QUERIES[f"stage_{_stage}"] = _stage_query(_stage)
 
 
+def _stored(table: str, stage: str, schema) -> Query:
+    """What the stages leave in a table, read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "stored")
+        for feed in feeds.FEEDS.values():
+            _feed_on_disk(spark, sf_dir, feed, f"{root}/raw")
+        paths = TablePaths(f"{root}/tables")
+        for name in stages.STAGES[: stages.STAGES.index(stage) + 1]:
+            stages.run(spark, f"{root}/raw", paths.root, name)
+        return rounded(tables.scan_table(spark, paths.of(table), schema).drop("load_timestamp"))
+
+    return run
+
+
+for _table, _schema in schemas.SILVER_TABLES.items():
+    QUERIES[f"stored_{_table}"] = _stored(_table, "silver", _schema)
+for _table, _schema in schemas.KPI_TABLES.items():
+    if _table != "gold_production_forecast":
+        QUERIES[f"stored_{_table}"] = _stored(_table, "gold", _schema)
+
+
+@query
+def stored_gold_production_forecast(spark, sf_dir):
+    """Which entities and months the stored forecast holds."""
+    table = _stored("gold_production_forecast", "forecast", schemas.GOLD_FORECAST)(spark, sf_dir)
+    return table.groupBy("entity_type", "entity_id").agg(
+        F.count("*").alias("months"), F.min("forecast_month").alias("first_month"), F.max("forecast_month").alias("last_month")
+    )
+
+
 @query
 def stage_counts(spark, sf_dir):
     """All stages into a fresh root."""

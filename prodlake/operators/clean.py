@@ -61,9 +61,9 @@ def clean_flaring(raw: DataFrame) -> DataFrame:
     return schemas.conform(dedup(kept, ["operator"]), schemas.SILVER_FLARING)
 
 
-def clean_production(raw: DataFrame) -> DataFrame:
-    """Typed production rows, one per (well, month, commodity)."""
-    typed = raw.select(
+def typed_production(raw: DataFrame) -> DataFrame:
+    """Raw production with its types; what cannot be read is null."""
+    return raw.select(
         "api_number",
         "well_name",
         expr.normalize_key("operator").alias("operator"),
@@ -73,7 +73,15 @@ def clean_production(raw: DataFrame) -> DataFrame:
         "shale_play",
         "basin",
     )
-    kept = filter_not_null(typed, "api_number", "production_month", "operator")
+
+
+def clean_production(raw: DataFrame) -> DataFrame:
+    """Typed production rows, one per (well, month, commodity).
+
+    The texts "NaN" and "Infinity" are numbers and not negative, so they stay;
+    ``quality.dq_summary`` counts them.
+    """
+    kept = filter_not_null(typed_production(raw), "api_number", "production_month", "operator")
     return dedup(filter_non_negative(kept, "production"), PRODUCTION_KEY)
 
 

@@ -76,7 +76,7 @@ def top_well_panel(production: DataFrame, n: int = 100) -> DataFrame:
 
 
 def entity_panel(
-    production: DataFrame, top_n: int | None = 100, levels: tuple[str, ...] = LEVELS
+    production: DataFrame, top_n: int | None = None, levels: tuple[str, ...] = LEVELS
 ) -> DataFrame:
     """Monthly oil and gas of wells, operators and plays from one scan of the facts.
 
@@ -297,10 +297,10 @@ def forecast_entities(panel: DataFrame, n_months: int = 24) -> DataFrame:
 def forecast_table(
     production: DataFrame,
     n_months: int = 24,
-    top_n: int | None = 100,
+    top_n: int | None = None,
     levels: tuple[str, ...] = LEVELS,
 ) -> DataFrame:
-    """Forecasts of the top wells, all operators and all plays."""
+    """Forecasts of the wells (all, or the ``top_n`` with the most oil), operators and plays."""
     return forecast_entities(entity_panel(production, top_n, levels), n_months)
 
 
@@ -311,42 +311,3 @@ def forecast_band(forecast: DataFrame, width: float = 0.15) -> DataFrame:
         bounds[f"{name}_low"] = F.col(column) * (1 - width)
         bounds[f"{name}_high"] = F.col(column) * (1 + width)
     return forecast.withColumns(bounds)
-
-
-# --- profiles from parameters ------------------------------------------------
-
-
-def decline_profile(parameters: DataFrame, start_month: str, n_months: int = 72) -> DataFrame:
-    """Monthly oil and gas rows per well from its hyperbolic decline parameters.
-
-    ``parameters`` holds ``qi_oil, di_oil, b_oil, qi_gas, di_gas, b_gas`` next to the well
-    columns.  Optional ``workover_month`` (position of the first month), ``workover_oil``
-    and ``workover_gas`` multiply six months of the profile.
-    """
-    month = F.col("t")
-    workover = "workover_month" in parameters.columns
-
-    def rate(name: str) -> Column:
-        value = F.greatest(
-            decline.hyperbolic(
-                month.cast("double"), F.col(f"qi_{name}"), F.col(f"di_{name}"), F.col(f"b_{name}")
-            ),
-            F.lit(0.0),
-        )
-        if workover:
-            first = F.col("workover_month")
-            inside = (month >= first) & (month < first + 6)
-            value = value * F.when(inside, F.col(f"workover_{name}")).otherwise(1.0)
-        return F.round(value, 2)
-
-    expanded = parameters.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_months - 1))))
-    both = F.array(
-        F.struct(F.lit(OIL).alias("oil_and_gas_group"), rate("oil").alias("production")),
-        F.struct(F.lit(GAS).alias("oil_and_gas_group"), rate("gas").alias("production")),
-    )
-    return expanded.select(
-        "api_number", "well_name", "operator",
-        F.add_months(F.lit(start_month).cast("date"), month).alias("production_month"),
-        "shale_play", "basin",
-        F.inline(both),
-    )

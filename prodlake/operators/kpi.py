@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prodlake import schemas
 from prodlake.functions import expr
 from prodlake.functions.expr import GAS, OIL, commodity_value
-from prodlake.operators.ranking import ONE_TASK_ROWS, global_rank
+from prodlake.operators.ranking import global_rank
 
 WELL_ATTRIBUTES = [
     "api_number", "well_name", "operator", "well_length_ft", "shale_play", "basin",
@@ -23,10 +23,9 @@ def _of(production: DataFrame, *groups: str) -> DataFrame:
 
 
 def operator_oil_rollup(production: DataFrame) -> DataFrame:
-    return _of(production, OIL).groupBy("operator").agg(
-        F.sum("production").alias("total_oil_bbl"),
-        F.count_distinct("api_number").alias("well_count"),
-        F.avg("production").alias("avg_monthly_production"),
+    """Operators with oil rows; a projection of ``operator_oil_gas``."""
+    return operator_oil_gas(production).filter(F.col("well_count").isNotNull()).select(
+        "operator", "total_oil_bbl", "well_count", "avg_monthly_production"
     )
 
 
@@ -50,22 +49,17 @@ def operator_oil_gas(production: DataFrame) -> DataFrame:
     )
 
 
-def _performance(oil_gas: DataFrame, flaring: DataFrame, one_task_rows: int) -> DataFrame:
+def operator_performance(oil_gas: DataFrame, flaring: DataFrame) -> DataFrame:
+    """Operator totals (``operator_oil_gas`` or ``oil_gas_from_rollup``) with flaring and rank."""
     flared = flaring.select("operator", F.col("total_flared_gas_mcf").alias("total_flaring_mcf"))
     joined = oil_gas.join(flared, "operator", "left").withColumn(
         "flaring_intensity_ratio",
         expr.safe_ratio(F.col("total_flaring_mcf"), F.col("total_gas_mcf")),
     )
-    ranked = global_rank(joined, "total_oil_bbl", "production_rank", one_task_rows)
+    ranked = global_rank(joined, "total_oil_bbl", "production_rank")
     return schemas.conform(ranked, schemas.GOLD_OPERATOR_PERFORMANCE)
 
 
-def operator_performance(
-    production: DataFrame, flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    return _performance(operator_oil_gas(production), flaring, one_task_rows)
-
-
 def operator_month_rollup(production: DataFrame) -> DataFrame:
     """Production summed over wells, in the shape of production itself.
 
@@ -77,18 +71,19 @@ def operator_month_rollup(production: DataFrame) -> DataFrame:
     ).agg(F.sum("production").alias("production"), F.count("production").alias("reports"))
 
 
-def operator_performance_from_rollup(
-    rollup: DataFrame, wells: DataFrame, flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """Operator performance from the roll-up and the well summary, without the facts."""
-    counts = wells.groupBy("operator").agg(F.count_distinct("api_number").alias("well_count"))
+def oil_gas_from_rollup(rollup: DataFrame, wells: DataFrame) -> DataFrame:
+    """``operator_oil_gas`` from the roll-up and the well summary, without the facts."""
+    counts = wells.groupBy(F.col("operator").alias("_operator")).agg(
+        F.count_distinct("api_number").alias("well_count")
+    )
     oil = F.sum(commodity_value(OIL))
     totals = _of(rollup, OIL, GAS).groupBy("operator").agg(
         oil.alias("total_oil_bbl"),
         (oil / F.sum(commodity_value(OIL, "reports"))).alias("avg_monthly_production"),
         F.sum(commodity_value(GAS)).alias("total_gas_mcf"),
     )
-    return _performance(totals.join(counts, "operator", "left"), flaring, one_task_rows)
+    same = F.col("operator").eqNullSafe(F.col("_operator"))
+    return totals.join(counts, same, "left").drop("_operator")
 
 
 def flaring_ratio(production: DataFrame, flaring: DataFrame) -> DataFrame:
@@ -104,13 +99,11 @@ def flaring_ratio(production: DataFrame, flaring: DataFrame) -> DataFrame:
     )
 
 
-def flaring_intensity(
-    production: DataFrame, flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def flaring_intensity(production: DataFrame, flaring: DataFrame) -> DataFrame:
     classed = flaring_ratio(production, flaring).withColumn(
         "flaring_category", expr.flaring_category(F.col("flaring_intensity_ratio"))
     )
-    ranked = global_rank(classed, "flaring_intensity_ratio", "flaring_rank", one_task_rows)
+    ranked = global_rank(classed, "flaring_intensity_ratio", "flaring_rank")
     return schemas.conform(ranked, schemas.GOLD_FLARING_INTENSITY)
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from prodlake.functions import expr
 from prodlake.functions.expr import GAS, OIL, commodity_value
-from prodlake.operators.ranking import ONE_TASK_ROWS, percentiles
+from prodlake.operators.ranking import percentiles
+from prodlake.session import stored
 
 ENTITY_KEY = {"well": "api_number", "operator": "operator", "basin": "shale_play"}
 
+# Fixed value: the columns shown, in this order.
 PORTFOLIO_COLUMNS = [
     "well_name", "operator", "shale_play", "basin", "first_production_month",
     "last_production_month", "cumulative_oil_bbl", "cumulative_gas_mcf",
@@ -29,13 +31,22 @@ def total(value: str | Column) -> Column:
 # --- portfolio ---------------------------------------------------------------
 
 
-def portfolio_kpis(performance: DataFrame, wells: DataFrame) -> DataFrame:
-    well_count = wells.agg(F.count_distinct("api_number").alias("n")).scalar()
-    return performance.agg(
-        total("total_oil_bbl").alias("total_oil"),
-        total("total_gas_mcf").alias("total_gas"),
+def portfolio_kpis(production: DataFrame) -> DataFrame:
+    """Oil and gas totals, operators with either and wells with oil: one pass over the facts.
+
+    The facts are first summed per operator and well, so the distinct counts do not multiply them.
+    """
+    pairs = production.filter(F.col("oil_and_gas_group").isin(OIL, GAS)).groupBy("operator", "api_number").agg(
+        F.sum(commodity_value(OIL)).alias("oil"),
+        F.sum(commodity_value(GAS)).alias("gas"),
+        F.count_if(F.col("oil_and_gas_group") == OIL).alias("oil_rows"),
+    )
+    return pairs.agg(
+        total("oil").alias("total_oil"),
+        total("gas").alias("total_gas"),
         F.count_distinct("operator").alias("n_operators"),
-    ).withColumn("n_wells", well_count)
+        F.count_distinct(F.when(F.col("oil_rows") > 0, F.col("api_number"))).alias("n_wells"),
+    )
 
 
 def top_n(df: DataFrame, column: str, n: int, key: str) -> DataFrame:
@@ -92,7 +103,8 @@ def growth_series(trends: DataFrame, column: str) -> DataFrame:
 def quarter_matrix(production: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """Oil per year (rows) and year-qualified quarter (columns), 0 where there is none.
 
-    Naming the labels saves the job that looks them up.
+    The columns are the quarters that have oil (their labels, bounded by the calendar, reach
+    the driver) unless the caller names them; naming them saves the job that looks them up.
     """
     quarterly = (
         production.filter(F.col("oil_and_gas_group") == OIL)
@@ -130,25 +142,29 @@ def operator_drilldown(production: DataFrame, operator: str) -> DataFrame:
 # --- flaring -----------------------------------------------------------------
 
 
-def flaring_percentiles(
-    flaring: DataFrame, low: float = 0.33, high: float = 0.67, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    return percentiles(flaring, "total_flared_gas_mcf", {"p33": low, "p67": high}, one_task_rows)
+FLARING_POINTS = {"p33": 0.33, "p50": 0.5, "p67": 0.67}
 
 
-def volume_tier(flaring: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Adds the volume tier by percentile thresholds of the whole table."""
-    cuts = flaring_percentiles(flaring, one_task_rows=one_task_rows)
-    tier = expr.percentile_tier(
-        F.col("total_flared_gas_mcf"), cuts.select("p33").scalar(), cuts.select("p67").scalar()
-    )
-    return flaring.withColumn("volume_category", tier)
+def flaring_percentiles(flaring: DataFrame, points: dict[str, float] | None = None) -> DataFrame:
+    return percentiles(flaring, "total_flared_gas_mcf", points or {"p33": 0.33, "p67": 0.67})
+
 
+def volume_tier(flaring: DataFrame) -> DataFrame:
+    """Adds the volume tier by percentile thresholds of the whole table, and the median.
 
-def flaring_kpis(tiered: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    The input is stored once: thresholds and rows then come from the same numbers, and a row
+    that is itself the threshold keeps its tier in every run.
+    """
+    stable = stored(flaring, "flaring")
+    cuts = flaring_percentiles(stable, FLARING_POINTS)
+    low, median, high = (cuts.select(p).scalar() for p in FLARING_POINTS)
+    tier = expr.percentile_tier(F.col("total_flared_gas_mcf"), low, high)
+    return stable.withColumn("volume_category", tier).withColumn("_median", median)
+
+
+def flaring_kpis(tiered: DataFrame) -> DataFrame:
     """Totals, the largest flarer, the median and the number of High-volume operators."""
     volume = F.col("total_flared_gas_mcf")
-    median = percentiles(tiered, "total_flared_gas_mcf", {"median": 0.5}, one_task_rows)
     top = F.min(F.when(volume.isNotNull(), F.struct((-volume).alias("minus"), "operator")))
     return tiered.agg(
         total(volume).alias("total_flared"),
@@ -156,11 +172,8 @@ def flaring_kpis(tiered: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataF
         top["operator"].alias("top_flarer"),
         F.count("*").alias("n_operators"),
         F.count_if(F.col("volume_category") == "High").alias("n_high"),
-    ).select(
-        "*",
-        expr.title_case(F.col("top_flarer")).alias("top_flarer_label"),
-        median.scalar().alias("median_flared"),
-    )
+        F.max("_median").alias("median_flared"),
+    ).withColumn("top_flarer_label", expr.title_case(F.col("top_flarer")))
 
 
 def tier_distribution(tiered: DataFrame) -> DataFrame:
@@ -317,24 +330,28 @@ def r2_histogram(quality: DataFrame, bins: int = 30) -> DataFrame:
     The last bin is closed.  If all values agree the range is one unit around them.
     """
     scores = quality.dropna(subset=["r2_score"])
+    equal = F.col("low") == F.col("high")
     bounds = scores.agg(
         F.min("r2_score").alias("low"), F.max("r2_score").alias("high"),
         F.avg("r2_score").alias("mean"),
     ).select(
-        F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
-        F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
-        "mean",
+        F.struct(
+            F.when(equal, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
+            F.when(equal, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
+            "mean",
+        )
     )
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    position = F.floor((F.col("r2_score") - low) * bins / (high - low)).cast("int")
+    placed = scores.select("r2_score", bounds.scalar().alias("b"))
+    position = F.floor((F.col("r2_score") - F.col("b.low")) * bins / (F.col("b.high") - F.col("b.low"))).cast("int")
     inside = F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0))
-    counts = scores.groupBy(inside.alias("bin")).agg(F.count("*").alias("wells"))
-    width = (high - low) / bins
-    frame = quality.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = placed.groupBy(inside.alias("bin")).agg(F.count("*").alias("wells"))
+    frame = quality.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"), bounds.scalar().alias("b")
+    ).withColumn("width", (F.col("b.high") - F.col("b.low")) / bins)
     return frame.join(counts, "bin", "left").select(
         "bin",
-        (low + F.col("bin") * width).alias("bin_low"),
-        (low + (F.col("bin") + 1) * width).alias("bin_high"),
+        (F.col("b.low") + F.col("bin") * F.col("width")).alias("bin_low"),
+        (F.col("b.low") + (F.col("bin") + 1) * F.col("width")).alias("bin_high"),
         F.coalesce("wells", F.lit(0)).alias("wells"),
-        bounds.select("mean").scalar().alias("mean_r2"),
+        F.col("b.mean").alias("mean_r2"),
     )

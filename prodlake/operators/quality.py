@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from prodlake.operators import clean
+
+
 def operator_quarterly(production: DataFrame) -> DataFrame:
     """Quarterly total and number of producing wells per operator and commodity."""
     quarter = ["operator", "production_year", "production_quarter"]
@@ -55,28 +58,38 @@ def dq_null_profile(df: DataFrame) -> DataFrame:
     return df.agg(*[missing(field) for field in df.schema])
 
 
-def dq_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """Raw and clean rows, retention, distinct wells and operators, dates, null measures.
+def dq_summary(raw: DataFrame) -> DataFrame:
+    """Raw and clean rows, retention, distinct wells and operators, dates, odd measures.
 
-    The clean side is first reduced to one row per (well, operator), so the two distinct
-    counts do not multiply the facts.
+    One pass over the raw rows.  Rows that cleaning drops share one group per operator and well
+    with their count, rows that it keeps are grouped by its key, so the kept groups are
+    the clean rows and all counts add up to the raw ones.  ``non_finite`` counts raw rows whose
+    production reads as NaN or infinite.
     """
-    pairs = clean.groupBy("api_number", "operator").agg(
-        F.count("*").alias("rows"),
-        F.min("production_month").alias("first"),
-        F.max("production_month").alias("last"),
-        F.count_if(F.expr("production IS NULL")).alias("nulls"),
+    typed = clean.typed_production(raw)
+    measure = F.col("production")
+    # NaN is larger than any number, so it passes like in the cleaning
+    kept = F.col("api_number").isNotNull() & F.col("production_month").isNotNull() & F.col("operator").isNotNull() & F.coalesce(measure >= 0, F.lit(False))
+    key = [F.when(kept, F.col(c)).alias(c) for c in clean.PRODUCTION_KEY]
+    odd = F.isnan(measure) | (F.abs(measure) == float("inf"))
+    smallest = F.min(F.when(kept, F.struct(F.col("well_name"), F.col("operator"))))
+    groups = typed.groupBy(*key, kept.alias("kept")).agg(
+        F.count("*").alias("rows"), smallest["operator"].alias("operator"), F.count_if(odd).alias("odd")
     )
-    totals = pairs.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("clean_rows"),
+    pairs = groups.groupBy("api_number", "operator").agg(
+        F.sum("rows").alias("raw_rows"), F.count_if("kept").alias("clean_rows"), F.sum("odd").alias("odd"),
+        F.min("production_month").alias("first"), F.max("production_month").alias("last"),
+    )
+    return pairs.agg(
+        F.coalesce(F.sum("raw_rows"), F.lit(0)).alias("raw_rows"),
+        F.coalesce(F.sum("clean_rows"), F.lit(0)).alias("clean_rows"),
         F.count_distinct("api_number").alias("unique_wells"),
         F.count_distinct("operator").alias("unique_operators"),
         F.min("first").alias("first_month"),
         F.max("last").alias("last_month"),
-        F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_productions"),
-    )
-    raw_rows = raw.agg(F.count("*").alias("n")).scalar()
-    return totals.select(raw_rows.alias("raw_rows"), "*").withColumn(
+        F.lit(0).cast("bigint").alias("null_productions"),  # cleaning drops every null
+        F.coalesce(F.sum("odd"), F.lit(0)).alias("non_finite"),
+    ).withColumn(
         "retention_pct", F.when(F.col("raw_rows") > 0, F.col("clean_rows") / F.col("raw_rows") * 100)
     )
 

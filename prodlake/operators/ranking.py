@@ -1,89 +1,87 @@
 """Ranks and percentiles over a whole table without gathering it in one task.
 
-A window without ``partitionBy`` moves every row to one task.  That is fine for a
-table whose size has been checked, and that is what happens below
-``one_task_rows``.  Above it the distinct values are counted (combining map-side, so
-ties cost nothing), cut into ranges, ranked inside each range and shifted by the number
-of rows in the ranges before.
+A window without ``partitionBy`` would move every row to one task.  Instead the distinct
+values are counted (combining map-side, so ties cost nothing), range partitioned, ranked
+inside each range and shifted by the number of rows in the ranges before.  The number of
+ranges is the session's number of shuffle partitions; adaptive execution merges small ones.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodlake.session import checkpointed
+from prodlake.session import stored
+
+_BLOCK = 1024  # ranges whose sizes are added up together
+
 
-ONE_TASK_ROWS = 100_000
-RANGE_ROWS = 1_000_000
-MAX_RANGES = 4096
+def _range_starts(ranged: DataFrame) -> DataFrame:
+    """Rows before each range, one row per range.
+
+    Sizes are added up inside blocks of ranges, then over the blocks before; both steps are
+    spread over tasks.
+    """
+    sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_size"))
+    sizes = sizes.withColumn("_block", F.floor(F.col("_range") / _BLOCK))
+    blocks = sizes.groupBy("_block").agg(F.sum("_size").alias("_held"))
+    after = blocks.select(F.explode(F.sequence(F.col("_block") + 1, blocks.agg(F.max("_block")).scalar() + 1)).alias("_to"), "_held")
+    before = after.groupBy("_to").agg(F.sum("_held").alias("_earlier"))
+    inside = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return placed.join(before, F.col("_block") == F.col("_to"), "left").select(
+        F.col("_range").alias("_of"), (F.col("_inside") + F.coalesce("_earlier", F.lit(0))).alias("_start")
+    )
 
 
-def value_offsets(df: DataFrame, column: str, rows: int, descending: bool = False) -> DataFrame:
+def value_offsets(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """Distinct non-null values with ``n`` rows each and ``before`` rows ahead of them.
 
-    The values are range partitioned and stored once, as another run of the partitioning
-    could cut the ranges elsewhere.
+    The ranges are stored once, as another run of the partitioning could cut them elsewhere.
     """
     order = F.col(column).desc() if descending else F.col(column).asc()
-    ranges = min(max(16, rows // RANGE_ROWS), MAX_RANGES)
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranged = checkpointed(
-        values.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(
+        values.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
-    # One number per range reaches the driver, at most MAX_RANGES.
-    sizes = dict(ranged.groupBy("_range").agg(F.sum("n")).collect())
-    starts = list(accumulate((sizes.get(i, 0) for i in range(ranges)), initial=0))
-    start = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("_range") + 1)
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.select(
-        column, "n", (start + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")
-    )
+    before = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return ranged.withColumn("_inside", before).join(
+        _range_starts(ranged), F.col("_range") == F.col("_of")
+    ).select(column, "n", (F.col("_start") + F.col("_inside")).alias("before"))
+
 
+def global_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``rank()`` by ``column`` descending over the whole table; nulls last, tied.
 
-def global_rank(
-    df: DataFrame, column: str, out: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """``rank()`` by ``column`` descending over the whole table; nulls last, tied."""
-    stable = checkpointed(df)
-    rows = stable.count()
-    if rows <= one_task_rows:
-        return stable.withColumn(
-            out, F.rank().over(Window.orderBy(F.col(column).desc_nulls_last()))
-        )
-    known = stable.where(F.col(column).isNotNull())
-    offsets = value_offsets(stable, column, rows, descending=True).drop("n")
-    ranked = known.join(offsets, column).select(
-        *stable.columns, (F.col("before") + 1).cast("int").alias(out)
+    Stores ``df`` and its ranges when called; everything else waits for an action.
+    """
+    stable = stored(df, "ranked")
+    offsets = value_offsets(stable, column, descending=True)
+    known = F.coalesce(offsets.agg(F.sum("n")).scalar(), F.lit(0))
+    places = offsets.select(F.col(column).alias("_value"), "before")
+    return stable.join(places, F.col(column) == F.col("_value"), "left").select(
+        *stable.columns, (F.coalesce("before", known) + 1).cast("int").alias(out)
     )
-    last = F.lit(known.count() + 1).cast("int").alias(out)
-    return ranked.unionByName(stable.where(F.col(column).isNull()).select("*", last))
 
 
-def percentiles(
-    df: DataFrame, column: str, points: dict[str, float], one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """Exact, linearly interpolated percentiles: one row, one column per point."""
-    stable = checkpointed(df.select(column).where(F.col(column).isNotNull()))
-    rows = stable.count()
-    if rows <= one_task_rows:
-        return stable.agg(*[F.percentile(column, p).alias(name) for name, p in points.items()])
+def percentiles(df: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated percentiles: one row, one column per point.
 
-    offsets = value_offsets(stable, column, rows)
+    Stores the distinct values when called.
+    """
+    offsets = value_offsets(df, column)
+    rows = offsets.agg(F.sum("n")).scalar()
 
-    def value_at(position: int):
+    def value_at(position: Column) -> Column:
         holds = (F.col("before") <= position) & (F.col("before") + F.col("n") > position)
         return F.max(F.when(holds, F.col(column)))
 
-    aggregates = []
+    found = {}
     for name, p in points.items():
-        position = p * (rows - 1)
-        lower = int(position)
-        upper = min(lower + 1, rows - 1)
+        position = (rows - 1) * F.lit(float(p))
+        lower = F.floor(position)
         weight = position - lower
-        aggregates.append(
-            (value_at(lower) * (1 - weight) + value_at(upper) * weight).alias(name)
-        )
-    return offsets.agg(*aggregates)
+        upper = F.least(lower + 1, rows - 1)
+        found[name] = value_at(lower) * (1 - weight) + value_at(upper) * weight
+    return offsets.agg(*[value.alias(name) for name, value in found.items()])

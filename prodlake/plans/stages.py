@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prodlake import schemas
 from prodlake.operators import clean, forecast, kpi
-from prodlake.session import checkpoint_root, scratch_path
+from prodlake.session import checkpoint_root, stored
 from prodlake.sources import feeds
 from prodlake.sources.tables import TablePaths, scan_table, write_table, written_rows
 
@@ -88,13 +88,14 @@ def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
     """
     production = silver_production(spark, paths)
     flaring = scan_table(spark, paths.of("silver_flaring"), schemas.SILVER_FLARING)
-    rollup_path = scratch_path(spark, "operator_months")
 
     def store(table: str, build: Callable[[], DataFrame]) -> Callable[[], int]:
         return lambda: _store(spark, paths, table, build())
 
+    made: dict[str, DataFrame] = {}
+
     def write_rollup() -> int:
-        write_table(kpi.operator_month_rollup(production), rollup_path)
+        made["rollup"] = stored(kpi.operator_month_rollup(production), "operator_months")
         return 0
 
     counts = _side_by_side(
@@ -105,11 +106,11 @@ def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
         },
     )
     del counts["rollup"]
-    rollup = scan_table(spark, rollup_path)
+    rollup = made["rollup"]
     wells = scan_table(spark, paths.of("gold_well_summary"), schemas.GOLD_WELL_SUMMARY)
     builds = {
-        "gold_operator_performance": lambda: kpi.operator_performance_from_rollup(
-            rollup, wells, flaring
+        "gold_operator_performance": lambda: kpi.operator_performance(
+            kpi.oil_gas_from_rollup(rollup, wells), flaring
         ),
         "gold_basin_production_trends": lambda: kpi.basin_production_trends(rollup),
         "gold_flaring_intensity": lambda: kpi.flaring_intensity(rollup, flaring),
@@ -120,14 +121,17 @@ def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
 
 
 def run_forecast(
-    spark: SparkSession, paths: TablePaths, n_months: int = 24, top_n: int | None = 100
+    spark: SparkSession, paths: TablePaths, n_months: int = 24, top_n: int | None = None
 ) -> dict[str, int]:
+    """``top_n`` limits the wells to those with the most oil; by default all are forecast."""
     table = "gold_production_forecast"
     forecasts = forecast.forecast_table(silver_production(spark, paths), n_months, top_n)
     return {table: _store(spark, paths, table, forecasts)}
 
 
-def run(spark: SparkSession, raw_dir: str, root: str, stage: str = "all") -> dict[str, int]:
+def run(
+    spark: SparkSession, raw_dir: str, root: str, stage: str = "all", top_wells: int | None = None
+) -> dict[str, int]:
     """Run one stage or all of them; returns rows per written table."""
     if stage != "all" and stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}, expected one of {('all', *STAGES)}")
@@ -137,7 +141,7 @@ def run(spark: SparkSession, raw_dir: str, root: str, stage: str = "all") -> dic
         "bronze": lambda: run_bronze(spark, paths, raw_dir),
         "silver": lambda: run_silver(spark, paths),
         "gold": lambda: run_gold(spark, paths),
-        "forecast": lambda: run_forecast(spark, paths),
+        "forecast": lambda: run_forecast(spark, paths, top_n=top_wells),
     }
     counts: dict[str, int] = {}
     for name in STAGES:

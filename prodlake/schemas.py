@@ -66,6 +66,12 @@ GOLD_FORECAST = _schema(
     forecast_gas_mcf=_D, model_type=_S, r2_score=_D, qi=_D, di=_D, b_factor=_D,
 )
 
+SILVER_TABLES = {
+    "silver_wells": SILVER_WELLS,
+    "silver_flaring": SILVER_FLARING,
+    "silver_production": SILVER_PRODUCTION,
+}
+
 KPI_TABLES = {
     "gold_operator_performance": GOLD_OPERATOR_PERFORMANCE,
     "gold_basin_production_trends": GOLD_BASIN_TRENDS,

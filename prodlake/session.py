@@ -57,3 +57,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet to the scratch folder and read it back.
+
+    For the same need as ``checkpointed`` where later plans read a few columns only.  The folder
+    is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder.getParent())
+    return spark.read.schema(df.schema).parquet(path)

@@ -89,6 +89,19 @@ def test_quarters(spark):
 TIES = [0.25, 0.35, 1.15, 1250000.0, 1150000.0, 999.95, 999999.0, 0.05, -0.25, 2.5e9, 1e3, 0.0, None]
 
 
+LARGE = [2.0**52, 2.0**53, 2.0**53 + 2, 1e15, 1e15 + 0.5, 123456789012345.67, 1e18, 2.0**70 + 2.0**20, 1e22, 1.1e25, 1e30, 2.0**99, 9.9e37, 4503599627370495.5]
+
+
+def test_large_values_print_every_digit(spark):
+    for places in (0, 1, 2, 4):
+        got = evaluate(spark, LARGE, "double", lambda v: expr.fixed_point(v, places))
+        assert got == [f"{v:.{places}f}" for v in LARGE]
+        got = evaluate(spark, [-v for v in LARGE], "double", lambda v: expr.fixed_point(v, places))
+        assert got == [f"{-v:.{places}f}" for v in LARGE]
+    got = evaluate(spark, [3e28, float("inf"), float("-inf")], "double", expr.humanize)
+    assert got == ["30000000000000000000.0B", "infB", "-infB"]
+
+
 def test_humanize_ties(spark):
     got = evaluate(spark, TIES, "double", lambda v: expr.humanize(v, " BBL"))
     assert got == [python_humanize(v, " BBL") for v in TIES]

@@ -145,21 +145,6 @@ def test_curves_at_the_edges(spark):
     assert r.floored > 0 and r.flat == 2.0
 
 
-def test_profile_with_workover(spark):
-    wells = spark.createDataFrame(
-        [("w", "n", "OP", "P", "B", 100.0, 0.1, 0.5, 400.0, 0.1, 0.5, 2, 2.0, 1.5)],
-        "api_number string, well_name string, operator string, shale_play string, basin string, qi_oil double, "
-        "di_oil double, b_oil double, qi_gas double, di_gas double, b_gas double, workover_month int, "
-        "workover_oil double, workover_gas double",
-    )
-    profile = forecast.decline_profile(wells, "2018-01-01", 10)
-    assert profile.count() == 20
-    oil = dict(rows(profile.where("oil_and_gas_group = 'O'"), "production_month", "production"))
-    for t in range(10):
-        lifted = 2.0 if 2 <= t < 8 else 1.0
-        assert oil[month(t)] == pytest.approx(lifted * 100 / (1 + 0.05 * t) ** 2, abs=0.006)
-
-
 def test_fitted_curve_covers_every_month(spark):
     series = forecast.entity_series(forecast.entity_panel(production(spark, declining("a", 8)), None, ("well",)))
     got = forecast.fitted_curve(forecast.fit_series(series)).orderBy("t").collect()

@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from prodlake.harness.oracles import ORACLES
+from prodlake.harness.queries import QUERIES
 
 SF_DIR = f"/root/testdata/sf{os.environ.get('ORACLE_SF', '0.001')}"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
@@ -31,6 +32,7 @@ def ordered(rows):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -1,7 +1,7 @@
 import pytest
 
 from helpers import fact, production, rows
-from prodlake.operators import kpi, portfolio, quality
+from prodlake.operators import clean, kpi, portfolio, quality
 
 
 def flaring(spark, volumes):
@@ -9,16 +9,15 @@ def flaring(spark, volumes):
     return spark.createDataFrame(data, "operator string, total_flared_gas_mcf double")
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_tiers(spark, limit):
-    tiered = portfolio.volume_tier(flaring(spark, [1, 2, 7, 11, 20]), limit)
+def test_tiers(spark):
+    tiered = portfolio.volume_tier(flaring(spark, [1, 2, 7, 11, 20]))
     assert rows(tiered, "total_flared_gas_mcf", "volume_category") == [
         (1.0, "Low"), (11.0, "High"), (2.0, "Low"), (20.0, "High"), (7.0, "Medium"),
     ]
-    r = portfolio.flaring_kpis(tiered, limit).first()
+    r = portfolio.flaring_kpis(tiered).first()
     assert (r.total_flared, r.top_flared_volume, r.top_flarer, r.median_flared) == (41.0, 20.0, "OP 4", 7.0)
     assert (r.n_operators, r.n_high, r.top_flarer_label) == (5, 2, "Op 4")
-    cuts = portfolio.flaring_percentiles(tiered, one_task_rows=limit).first()
+    cuts = portfolio.flaring_percentiles(tiered).first()
     assert cuts.p33 == pytest.approx(3.6)
 
 
@@ -51,6 +50,20 @@ def test_quarter_matrix_is_zero_off_the_year(spark):
     assert rows(portfolio.quarter_matrix(facts, ["2018Q1", "2019Q1"]), "*") == want
 
 
+def test_quarters_follow_the_data(spark):
+    facts = production(spark, [fact("a", -250, "O", 4), fact("a", 13, "O", 6)])
+    assert rows(portfolio.quarter_matrix(facts), "production_year", "1997Q1", "2019Q1") == [(1997, 4.0, 0.0), (2019, 0.0, 6.0)]
+
+
+def test_portfolio_kpis(spark):
+    facts = production(
+        spark,
+        [fact("a", 0, "O", 4, "A"), fact("a", 1, "G", 6, "A"), fact("a", 1, "O", 1, "B"), fact("g", 0, "G", 5, "C"), fact("x", 0, "X", 9, "D")],
+    )
+    assert rows(portfolio.portfolio_kpis(facts), "total_oil", "total_gas", "n_operators", "n_wells") == [(5.0, 11.0, 3, 1)]
+    assert rows(portfolio.portfolio_kpis(facts.limit(0)), "total_oil", "n_wells") == [(0.0, 0)]
+
+
 def test_entity_history_has_both_commodities(spark):
     facts = production(spark, [fact("a", 0, "O", 4, "A", "P"), fact("b", 1, "O", 6, "A", "Q")])
     for kind, key, count in (("well", "a", 1), ("operator", "A", 2), ("basin", "Q", 1)):
@@ -113,14 +126,32 @@ def test_quality_reports(spark):
     facts = production(spark, [fact("a", 0), fact("a", 1), fact("b", 2, operator="OQ"), fact("b", 3, value=None)])
     raw = spark.createDataFrame([("a", ""), (None, "x"), ("", None), ("b", " "), ("c", "y")], "k string, v string")
     assert rows(quality.dq_null_profile(raw), "k", "v") == [(2, 2)]
-    r = quality.dq_summary(raw, facts).first()
-    assert (r.raw_rows, r.clean_rows, r.retention_pct) == (5, 4, 80.0)
-    assert (r.unique_wells, r.unique_operators, r.null_productions) == (2, 3 - 1, 1)
     assert [tuple(x) for x in quality.rows_per(facts, "api_number").collect()] == [("a", 2), ("b", 2)]
     assert [x[0] for x in quality.distinct_values(raw, "k").collect()] == ["", "a", "b", "c"]
     assert rows(quality.table_counts({"x": raw, "y": facts}), "*") == [("x", 5), ("y", 4)]
 
 
+def test_summary_is_what_cleaning_leaves(spark):
+    text = [
+        ("a", "n", "OP", "2018-01-01", "O", "5"), ("a", None, "oq ", "2018-01-01", "O", "4"), ("a", "n", "OP", "2018-01-01", "O", "5"),
+        ("a", "n", "OP", "2018-02-01", "O", "-5"), ("b", "n", "OP", "2018-13-01", "O", "5"), (None, "n", "OP", "2018-01-01", "O", "5"),
+        ("b", "n", "OR", "2018-03-01", "G", "NaN"), ("b", "n", "OR", "2018-04-01", "G", "Infinity"), ("b", "n", "OR", "2018-05-01", "G", "-Infinity"),
+        ("b", "n", None, "2018-01-01", "O", "x"),
+    ]
+    raw = spark.createDataFrame(
+        [(*t, "P", "B") for t in text],
+        "api_number string, well_name string, operator string, production_month string, oil_and_gas_group string, "
+        "production string, shale_play string, basin string",
+    )
+    kept = clean.clean_production(raw)
+    r = quality.dq_summary(raw).first()
+    assert (r.raw_rows, r.clean_rows, r.non_finite, r.null_productions) == (10, kept.count(), 3, 0) == (10, 3, 3, 0)
+    assert (r.unique_wells, r.unique_operators) == (2, kept.select("operator").distinct().count())
+    assert (r.first_month, r.last_month) == tuple(kept.selectExpr("min(production_month)", "max(production_month)").first())
+    assert r.retention_pct == 30.0
+    assert quality.dq_summary(raw.limit(0)).first().retention_pct is None
+
+
 def test_profile_of_timestamps(spark):
     frame = spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS load_timestamp, 'x' AS k")
     assert rows(quality.dq_null_profile(frame), "*") == [(1, 0)]

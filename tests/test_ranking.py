@@ -18,36 +18,47 @@ def skewed(n=3000):
     return [7.0] * (n // 3) + [None] * (n // 3) + [10 ** draw.uniform(-3, 9) for _ in range(n // 3)]
 
 
-def test_ranges_and_one_task_agree(spark):
-    data = frame(spark, skewed()).repartition(6)
-    spread = ranking.global_rank(data, "v", "r", one_task_rows=0)
-    plain = data.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
-    assert dict(spread.dtypes)["r"] == dict(plain.dtypes)["r"]
-    assert sorted(map(tuple, spread.select("id", "r").collect())) == sorted(
-        map(tuple, plain.select("id", "r").collect())
-    )
+@pytest.mark.parametrize("block", [1024, 2])
+def test_ranges_equal_a_plain_window(spark, monkeypatch, block):
+    monkeypatch.setattr(ranking, "_BLOCK", block)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep the ranges apart
+    try:
+        data = frame(spark, skewed()).repartition(6)
+        spread = ranking.global_rank(data, "v", "r")
+        plain = data.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
+        assert dict(spread.dtypes)["r"] == dict(plain.dtypes)["r"]
+        assert sorted(map(tuple, spread.select("id", "r").collect())) == sorted(
+            map(tuple, plain.select("id", "r").collect())
+        )
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_rank_of_ties_and_nulls(spark):
-    for limit in (0, 100):
-        got = ranking.global_rank(frame(spark, [3.0, 3.0, 1.0, None, None]), "v", "r", limit)
-        assert [r.r for r in got.orderBy("id").collect()] == [1, 1, 3, 4, 4]
+    got = ranking.global_rank(frame(spark, [3.0, 3.0, 1.0, None, None]), "v", "r")
+    assert [r.r for r in got.orderBy("id").collect()] == [1, 1, 3, 4, 4]
+    got = ranking.global_rank(frame(spark, [None, None]), "v", "r")
+    assert [r.r for r in got.collect()] == [1, 1]
+    assert ranking.global_rank(frame(spark, [1.0]).limit(0), "v", "r").count() == 0
 
 
-def test_ranges_are_ordered_apart(spark):
+def test_no_window_over_one_partition(spark):
     data = frame(spark, skewed(300))
-    plan = ranking.value_offsets(data, "v", 300)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    for made in (ranking.value_offsets(data, "v"), ranking.global_rank(data, "v", "r"), ranking.percentiles(data, "v", {"p": 0.5})):
+        lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "Window [" in line:
+                below = next(x for x in lines[i:] if "Exchange" in x or "Scan" in x)
+                assert "SinglePartition" not in below
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
 @pytest.mark.parametrize("values", [[1.0, 2.0, 7.0, 11.0, 20.0], [5.0], [4.0] * 10, [v for v in skewed(600) if v]])
-def test_percentiles_interpolate(spark, values, limit):
+def test_percentiles_interpolate(spark, values):
     points = {"p33": 0.33, "p50": 0.5, "p67": 0.67, "p0": 0.0, "p100": 1.0}
-    got = ranking.percentiles(frame(spark, [*values, None]), "v", points, limit).first()
+    got = ranking.percentiles(frame(spark, [*values, None]), "v", points).first()
     for name, p in points.items():
         assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
 def test_percentiles_of_nothing(spark):
-    assert ranking.percentiles(frame(spark, [None]), "v", {"p": 0.5}, 10).first()["p"] is None
+    assert ranking.percentiles(frame(spark, [None]), "v", {"p": 0.5}).first()["p"] is None

@@ -90,6 +90,20 @@ def test_csv_keeps_blanks_and_reads_empty_as_null(spark, tmp_path):
     assert rows(frame, "*") == [(" ", None), ("1", "2.50")]
 
 
+def test_a_missing_column_is_named(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("Operator,More\nx,1\n")
+    with pytest.raises(ValueError, match="TotalFlaredGas_MCf"):
+        feeds.scan_csv_strings(spark, str(tmp_path / "f.csv"), feeds.FEEDS["bronze_flaring"].columns)
+    frame = feeds.scan_csv_strings(spark, str(tmp_path / "f.csv"), ("Operator",))
+    assert rows(frame, "*") == [("x", "1")]
+
+
+def test_forecast_of_the_largest_wells_only(spark, root):
+    counts = stages.run_forecast(spark, TablePaths(root[0]), top_n=1)
+    assert counts["gold_production_forecast"] == 24 * (1 + 2 + 1)
+    stages.run_forecast(spark, TablePaths(root[0]))
+
+
 def test_overwrite_replaces_schema_and_dynamic_keeps_other_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     frame = spark.createDataFrame([(1, "a"), (2, "b")], "y int, v string")
