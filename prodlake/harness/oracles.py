@@ -560,11 +560,9 @@ _TEXTS = {
         _PANEL,
     ),
     "distinct_plays": "SELECT DISTINCT shale_play FROM production",
-    "trends_scaled": rounded(
-        """SELECT shale_play, production_month, total_production / 1000 AS thousand_bbl FROM trends
-           WHERE oil_and_gas_group = 'O'""",
-        "thousand_bbl",
-    ),
+    "trends_scaled": """SELECT shale_play, production_month,
+        CAST(CAST(total_production / 1000 AS DECIMAL(20,5)) AS VARCHAR) AS thousand_bbl FROM trends
+        WHERE oil_and_gas_group = 'O'""",
     "commodity_split_scaled": rounded(
         """SELECT operator, liquid / 1000000 AS liquid_rich_millions, dry / 1000000 AS dry_gas_millions FROM (
              SELECT operator, COALESCE(SUM(liquid_rich_production), 0) AS liquid,

@@ -437,7 +437,7 @@ over_kpi(
 over_kpi(
     "trends_scaled", _trends,
     lambda t: t.filter(F.col("oil_and_gas_group") == "O").select(
-        "shale_play", "production_month", (F.col("total_production") / 1e3).alias("thousand_bbl")
+        "shale_play", "production_month", (F.col("total_production") / 1e3).cast("decimal(20,5)").cast("string").alias("thousand_bbl")
     ),
 )
 over_kpi("liquid_share_by_year", _ethane, portfolio.liquid_share_by_year)
