@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import PIECES, tokenizer_path
+from .tokens import PIECES, byte_alphabet, tokenizer_path
 from .worker import per_worker
 
 LEAF = 16  # pre-tokens
@@ -48,10 +48,7 @@ class PieceCounts(dict):
 
         self._model = Tokenizer.from_file(path).model
         self._cut = regex.compile(PATTERN).findall
-        # the byte alphabet: printable bytes stand for themselves, the others for 256 and up
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = iter(range(256, 512))
-        self._letters = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+        self._letters = byte_alphabet()
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= PIECES:

@@ -134,8 +134,9 @@ def _segments(path: str, end_id: int, segment: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id))
+            encoded = encoder.encode(batch.column(1).to_pylist())
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                own = np.append(own, np.uint32(end_id))
                 ids.append(own)
                 doc_ids.append(doc_id)
                 ends.append((ends[-1] if ends else 0) + len(own))

@@ -7,12 +7,15 @@ encoded again.  The library encodes every new piece; tests compare whole texts w
 
 from __future__ import annotations
 
-from itertools import chain
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE = 300_000  # chunks or pre-tokens; a cache is emptied when it is full
-PIECES = 500_000  # words behind the chunks
+PIECES = 900_000  # cached words or pre-tokens; a cache is emptied when it is full
+BATCH = 1 << 25  # bytes of text that are cut into words at a time
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,50 +24,89 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder(dict):
-    """Ids of a text under a lower-casing word vocabulary that drops white space.
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others for 256 and up."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
-    Keys are the UTF-8 chunks between ASCII white space.  Sentence marks at the end of a chunk
-    are pieces of their own (the pre-tokenizer cuts between letters and marks), and an ASCII
-    word is lower-cased first, so most new chunks are known words.
+
+def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start : start + length]`` one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+
+
+class WordEncoder:
+    """Ids of texts under a lower-casing word vocabulary that drops white space.
+
+    A batch of texts is cut into chunks between ASCII white space and each distinct chunk is
+    looked up once.  Sentence marks at the end of a chunk are pieces of their own (the
+    pre-tokenizer cuts between letters and marks), so most new chunks are known words.
     """
 
     _MARKS = ".,;:!?"
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._letters = byte_alphabet()
 
-    def _encode(self, piece: str) -> tuple[int, ...]:
-        plain = piece.isascii() and piece.isalpha()
-        if plain:
-            piece = piece.lower()
+    def _encode(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
-            if plain:  # such letters stand for themselves in the byte alphabet, and are one piece
-                found = tuple([token.id for token in self._tokenizer.model.tokenize(piece)])
+            if piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece:
+                # Latin letters are composed already, have plain lower-case forms and are one piece
+                spelled = "".join([self._letters[b] for b in piece.lower().encode()])
+                ids = [token.id for token in self._tokenizer.model.tokenize(spelled)]
             else:
-                found = tuple(self._tokenizer.encode(piece, add_special_tokens=False).ids)
+                ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
             if len(self._pieces) >= PIECES:
                 self._pieces.clear()
             self._pieces[piece] = found
         return found
 
-    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
-        text = chunk.decode()
-        stem = text.rstrip(self._MARKS)
-        if len(stem) < len(text) and stem and stem[-1].isalpha():
-            ids = self._encode(stem) + self._encode(text[len(stem):])
-        else:
-            ids = self._encode(text)
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        # bytes.split() cuts at ASCII white space alone, str.split() at more than the pattern does
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.encode().split())), np.uint32)
+    def _chunk(self, chunk: str) -> bytes:
+        found = self._pieces.get(chunk)
+        if found is not None:
+            return found
+        stem = chunk.rstrip(self._MARKS)
+        if len(stem) < len(chunk) and stem and stem[-1].isalpha():
+            return self._encode(stem) + self._encode(chunk[len(stem) :])
+        return self._encode(chunk)
+
+    @staticmethod
+    def _lower(text: str) -> bytes:
+        """ASCII letters may be lower-cased first where no special token is spelled and no
+        combining mark (lead bytes cc and cd) could join one of them."""
+        data = text.encode()
+        return data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower()
+
+    def _together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        bounds = chunks.offsets.to_numpy()
+        coded = chunks.values.dictionary_encode()
+        known = [self._chunk(c) for c in coded.dictionary.to_numpy(zero_copy_only=False)]
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(lengths) - lengths
+        place = coded.indices.to_numpy()
+        sizes = lengths[place]
+        ids = ragged(np.frombuffer(b"".join(known), np.uint32), starts[place], sizes)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[bounds]
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            held.append(self._lower(text or ""))
+            size += len(held[-1])
+            if size >= BATCH or i == len(texts) - 1:
+                ids, bounds = self._together(held)
+                yield from np.split(ids, bounds[1:-1])
+                held, size = [], 0
