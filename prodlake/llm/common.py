@@ -28,6 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``row`` beside ``columns``, so that no name of theirs can
+    clash with one used on the way; ``select("row.*")`` gives the rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

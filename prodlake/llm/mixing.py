@@ -14,13 +14,14 @@ its own, last in order; repeated rows are separate units; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import packed, stored, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # of all words
@@ -181,13 +182,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, limit=LIMIT, block: int =
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it; columns as in ``docs``."""
-    taken = mix(docs, **options).filter(F.col("copies") > 0)
-    # repeated rows of one doc_id are told apart by their size alone, so their copies are pooled
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.sum("copies").alias("_copies")
-    )
-    size = word_count(F.col("text"))
-    like = docs.withColumn("_n", size)
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return like.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """The documents of the mix, each as often as the mix takes it; columns as in ``docs``.
+
+    Rows that agree in doc_id, source and size are told apart by nothing that counts here, so
+    each of them gets the copies of one of these rows.  Numbering them moves the texts once more
+    and is left out where no two rows agree.
+    """
+    key = ["doc_id", "source", "size"]
+    taken = stored(mix(docs, **options).select(*key, "copies"), "copies")
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=word_count(F.col("text")))
+    if taken.groupBy(*key).count().filter("count > 1").limit(1).count():
+        of_key = Window.partitionBy(*key)
+        taken = taken.withColumn("n", F.row_number().over(of_key.orderBy("copies")))
+        rows = rows.withColumn("n", F.row_number().over(of_key.orderBy(F.xxhash64("row"))))
+        key.append("n")
+    taken = taken.filter("copies > 0").select(*[F.col(c).alias(f"of_{c}") for c in taken.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key]
+    mixed = rows.join(taken, reduce(lambda a, b: a & b, same))
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "of_copies"))).select("row.*")

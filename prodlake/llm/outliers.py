@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stored, words
+from .common import BLANKS, packed, stored, words
 
 SYMBOLS = "#*$%&|<>"  # fixed by the contract, as are the window and the base limits
 WINDOW = 5
@@ -271,6 +271,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_inliers(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    kept = judge(docs).filter("kept").select(F.col("row_key").alias("_key")).distinct()
-    key = F.xxhash64("doc_id", "lang", "source", "text")
-    return docs.withColumn("_row", key).join(kept, F.col("_row") == F.col("_key"), "left_semi").drop("_row")
+    kept = judge(docs).filter("kept").select(F.col("row_key").alias("kept_key")).distinct()
+    rows = packed(docs, key=F.xxhash64("doc_id", "lang", "source", "text"))
+    return rows.join(kept, F.col("key") == F.col("kept_key"), "left_semi").select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, stored
 from .components import components
 
 SHINGLE = 4  # words; fixed by the contract, as are the seed and the distance
@@ -243,7 +243,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Rows that repeat the doc_id of a kept document collapse to one of them.  Rows without a
     doc_id cannot be told apart and all stay.
     """
-    classes = near_duplicates(docs, distance).select(F.col("doc_id").alias("_id"), "component_id")
-    first = classes.filter(F.col("_id") == F.col("component_id")).select("_id").distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    classes = near_duplicates(docs, distance)
+    first = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first")).distinct()
+    rows = packed(docs, doc_id=F.col("doc_id"))
+    kept = rows.join(first, F.col("doc_id") == F.col("first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(rows.filter("doc_id IS NULL")).select("row.*")
