@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 # Bounds of the fit, floor of the rates, order that decides ties.
 DI_BOUNDS = (1e-6, 5.0)
@@ -33,10 +33,12 @@ _B_GRID = np.concatenate([[B_BOUNDS[0], 0.05], np.arange(0.1, 0.95, 0.1), [0.95,
 _CHUNK = 256
 _FIRST_STEPS, _LAST_STEPS = 20, 60
 _STALLED = 5  # steps without progress after which a series counts as settled
+_ROUNDS = 5  # of _LAST_STEPS; a series that moves even then is reported as not converged
 
 FIT_TYPE = StructType(
     [StructField("model", StringType())]
     + [StructField(name, DoubleType()) for name in ("qi", "di", "b", "r2")]
+    + [StructField("converged", BooleanType())]
 )
 
 # Ship this module by value, so that workers need no copy of the package.
@@ -116,15 +118,20 @@ def _polish(q, w, t, qi_max, log_di, b, low, high, free_b, steps):
 
 
 def _finish(q, w, t, qi_max, log_di, b, low, high, free_b):
-    """Polish all series, then go on with those that need more steps."""
+    """Polish all series, then go on with those that need more steps.
+
+    Rows: ``qi, log_di, b, sse`` and 1 where the series has settled.
+    """
     found, settled = _polish(q, w, t, qi_max, log_di, b, low, high, free_b, _FIRST_STEPS)
-    more = np.flatnonzero(~settled)
-    if len(more):
-        found[:, more], _ = _polish(
+    for _ in range(_ROUNDS):
+        more = np.flatnonzero(~settled)
+        if not len(more):
+            break
+        found[:, more], settled[more] = _polish(
             q[more], w[more], t, qi_max[more], found[1, more], found[2, more],
             low[more], high[more], free_b, _LAST_STEPS,
         )
-    return found
+    return np.vstack([found, settled])
 
 
 def _grid(q, w, t, qi_max, b_values):
@@ -142,7 +149,7 @@ def _fit_fixed_b(q, w, t, qi_max, b_value):
     low = _LOG_DI[np.maximum(cell - 1, 0)]
     high = _LOG_DI[np.minimum(cell + 1, len(_LOG_DI) - 1)]
     b = np.full(len(q), b_value)
-    return _finish(q, w, t, qi_max, _LOG_DI[cell], b, low, high, False)[:3]
+    return _finish(q, w, t, qi_max, _LOG_DI[cell], b, low, high, False)[[0, 1, 2, 4]]
 
 
 def _fit_free_b(q, w, t, qi_max):
@@ -163,7 +170,7 @@ def _fit_free_b(q, w, t, qi_max):
         low[picked], high[picked], True,
     )
     top = found[3].reshape(len(q), 3).argmin(1) + np.arange(len(q)) * 3
-    return found[:3, top]
+    return found[[0, 1, 2, 4]][:, top]
 
 
 def _r_squared(q, w, predicted):
@@ -187,12 +194,12 @@ def _fit_chunk(series: list[np.ndarray]) -> pd.DataFrame:
     scores = np.array(
         [
             _r_squared(q, w, qi[:, None] * _shape(t, log_di, b)[0] * w)
-            for qi, log_di, b in (fits[m] for m in MODELS)
+            for qi, log_di, b, _ in (fits[m] for m in MODELS)
         ]
     )
     winner = scores.argmax(0)  # the first model wins ties
     row = np.arange(len(series))
-    qi, log_di, b = (np.array([fits[m][k] for m in MODELS])[winner, row] for k in range(3))
+    qi, log_di, b, settled = (np.array([fits[m][k] for m in MODELS])[winner, row] for k in range(4))
     return pd.DataFrame(
         {
             "model": np.array(MODELS, dtype=object)[winner],
@@ -200,6 +207,7 @@ def _fit_chunk(series: list[np.ndarray]) -> pd.DataFrame:
             "di": np.exp(log_di),
             "b": b,
             "r2": scores[winner, row],
+            "converged": settled > 0,
         }
     )
 
@@ -214,14 +222,14 @@ def fit_batch(series: list[np.ndarray]) -> pd.DataFrame:
                 float(max(s[0], RATE_FLOOR)) if len(s) and np.nanmax(s) > 0 else 0.0
                 for s in arrays
             ],
-            "di": 0.0, "b": 0.0, "r2": 0.0,
+            "di": 0.0, "b": 0.0, "r2": 0.0, "converged": True,
         }
     )
     usable = [i for i, s in enumerate(arrays) if len(s) and np.isfinite(s).all() and s.max() > 0]
     for start in range(0, len(usable), _CHUNK):
         rows = usable[start : start + _CHUNK]
         out.iloc[rows] = _fit_chunk([arrays[i] for i in rows]).values
-    return out.astype({"qi": float, "di": float, "b": float, "r2": float})
+    return out.astype({"qi": float, "di": float, "b": float, "r2": float, "converged": bool})
 
 
 @F.pandas_udf(FIT_TYPE)

@@ -681,14 +681,23 @@ over_kpi("operator_forecast_top", _forecast, portfolio.operator_forecast_top)
 
 # --- stages ------------------------------------------------------------------------------
 
-# Tables of the stages that already ran, per session and data folder, so that each
-# stage query runs (and times) only its own stage.
-_STAGED: dict[tuple[str, str], tuple[TablePaths, str, set[str]]] = {}
+# Tables of the stages that already ran, per session and state of the data folder, so that
+# each stage query runs (and times) only its own stage.
+_STAGED: dict[tuple, tuple[TablePaths, str, set[str]]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """When each given table was last written."""
+    times = []
+    for name in bind.SCHEMAS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        times.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(times)
 
 
 def _staged(spark: SparkSession, sf_dir: str, stage: str) -> tuple[TablePaths, str]:
     """Folders in which every stage before ``stage`` has run."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _STAGED:
         root = scratch_path(spark, "staged")
         for feed in feeds.FEEDS.values():
