@@ -1,13 +1,13 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
-A word's features are the hashes of its letters' n-grams and of the whole word.  A document is
+A word's features are the hashes of its letters' two- and three-grams and of the whole word.  A document is
 the average of its features' embeddings; a linear layer and a softmax give the languages.  Both
 layers are trained by stochastic gradient descent in numpy on a bounded sample of labelled
 documents: at most ``SAMPLE`` of them, spread evenly over the languages, each a vector of at most
 ``BUCKETS`` counts, whatever the size of the corpus.  A fifth of the sample is not trained on: it sets the
 softmax temperature and the score below which a prediction is rejected.
 
-Prediction is linear in the words, so tasks add up one cached vector per word.
+Prediction is linear in the words, so tasks look up each distinct word of a batch once.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is everything
 when there is no labelled document; a null lang is never learned from; a null doc_id counts as
@@ -16,11 +16,12 @@ held out; repeated rows get equal predictions; an empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,32 +31,55 @@ UNDETERMINED = "und"
 SAMPLE = 2000  # labelled documents to learn from
 BUCKETS = 1 << 14
 DIMENSIONS = 16
-GRAMS = (2, 3)
 EPOCHS = 8
 RATE = 0.5
 REJECTED = 0.01  # share of right calibration predictions that the threshold may reject
 SEED = 11
-CACHE = 400_000  # words; the cache is emptied when it is full
+BATCH = 1 << 23  # characters scored at a time
 
 
-def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's n-grams, ends marked; a word without a letter has none."""
-    from xxhash import xxh32_intdigest
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return per_worker("letters", lambda: np.array([chr(c).isalpha() for c in range(0x110000)]))
 
-    letters = "".join([c for c in word.lower() if c.isalpha()])
-    if not letters:
-        return []
-    marked = f"<{letters}>"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [xxh32_intdigest(g.encode()) % buckets for g in (*grams, marked)]
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def features(chunks: Sequence[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of every chunk's letters, ends marked, and of its whole word; and
+    the chunk that each belongs to.  A chunk without a letter has none.
+
+    ``chunks`` hold no line end: it marks both ends of a word here, so all grams come from one
+    array of code points.
+    """
+    text = "\n" + "\n".join(chunks).lower() + "\n"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    points = points[_letters()[points] | (points == 10)]
+    mark = points == 10
+    owner = np.cumsum(mark) - 1
+    p, step = points.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    two, three = ~(mark[:-1] & mark[1:]), ~mark[1:-1]
+    found = [_mix(p[:-1] * step + p[1:])[two], _mix((p[:-2] * step + p[1:-1]) * step + p[2:])[three]]
+    of = [owner[:-1][two], owner[:-2][three]]
+    letter = np.flatnonzero(~mark)
+    if len(letter):
+        own = owner[letter]
+        place = letter - np.flatnonzero(mark)[own]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        found.append(_mix(np.add.reduceat(_mix(p[letter] + place.astype(np.uint64) * step), first)))
+        of.append(own[first])
+    return (np.concatenate(found) % np.uint64(buckets)).astype(np.int64), np.concatenate(of)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column(1):
-            found = [f for w in (text.as_py() or "").split() for f in word_features(w)]
-            rows.append(np.unique(np.array(found, np.int32), return_counts=True))
+            chunks = [c.decode() for c in (text.as_py() or "").encode().split()]
+            rows.append(np.unique(features(chunks)[0].astype(np.int32), return_counts=True))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -151,46 +175,47 @@ def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model:
     return train(rows, seed)
 
 
-class Scorer(dict):
-    """Places of words in a table of summed weights; new words are added when first seen."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self._model = model
-        self._table = np.zeros((1024, len(model.languages) + 1))
-
-    def __missing__(self, chunk: bytes) -> int:
-        features = word_features(chunk.decode())
-        at = len(self)
-        if at >= len(self._table):
-            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-        self._table[at, :-1] = self._model.weights[features].sum(axis=0) if features else 0
-        self._table[at, -1] = len(features)
-        self[chunk] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if len(self) >= CACHE:  # between texts, so that no place is given twice
-            self.clear()
-        chunks = (text or "").encode().split()
-        places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        total = self._table[places].sum(axis=0)
-        if total[-1] == 0 or not self._model.languages:
-            return UNDETERMINED, 0.0
-        scores = _softmax((total[:-1] / total[-1] + self._model.bias) / self._model.temperature)
-        best = int(scores.argmax())
-        return self._model.languages[best], float(min(scores[best], 1.0))
+def score(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each text's language (-1: none) and its score.
+
+    Every distinct word of the batch is looked up once; documents add up their words.
+    """
+    chunks = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+    bounds = chunks.offsets.to_numpy()
+    coded = chunks.values.dictionary_encode()
+    buckets, of = features(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    words, n = len(coded.dictionary), len(texts)
+    held = np.bincount(of, minlength=words)
+    place, doc = coded.indices.to_numpy(), np.repeat(np.arange(n), np.diff(bounds))
+    total = np.bincount(doc, weights=held[place], minlength=n)
+    best, scores = np.full(n, -1), np.zeros(n)
+    known = total > 0
+    if model.languages and known.any():
+        sums = [np.bincount(of, weights=w[buckets], minlength=words) for w in model.weights.T]
+        logits = np.stack([np.bincount(doc, weights=s[place], minlength=n) for s in sums], axis=1)
+        chances = _softmax((logits[known] / total[known, None] + model.bias) / model.temperature)
+        best[known], scores[known] = chances.argmax(axis=1), np.minimum(chances.max(axis=1), 1.0)
+    return best, scores
 
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_worker(("languages", hash(model.weights.tobytes())), lambda: Scorer(model))
+        names = np.array([*model.languages, UNDETERMINED], object)  # -1 is the last one
         for batch in batches:
-            found = [scorer.predict(text.as_py()) for text in batch.column(2)]
-            scores = np.array([f[1] for f in found], float)
+            held, size, parts = [], 0, []
+            texts = batch.column(2).to_pylist()
+            for i, text in enumerate(texts):
+                held.append(text)
+                size += len(text or "")
+                if size >= BATCH or i == len(texts) - 1:
+                    parts.append(score(model, held))
+                    held, size = [], 0
+            if not parts:
+                continue
+            best, scores = (np.concatenate(c) for c in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()),
+                    batch.column(0), batch.column(1), pa.array(names[best], pa.string()),
                     pa.array(scores), pa.array((scores < model.threshold) | (scores == 0)),
                 ],
                 names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
