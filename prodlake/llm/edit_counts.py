@@ -28,7 +28,7 @@ from .common import stored
 from .tokens import PIECES, byte_alphabet, tokenizer_path
 from .worker import per_worker
 
-LEAF = 16  # pre-tokens
+LEAF = 32  # pre-tokens
 GROWN = 8  # times LEAF: a leaf that is longer after an edit is cut up
 
 # Fixed: the pre-token pattern of the vocabulary.
