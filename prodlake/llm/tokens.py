@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES = 900_000  # cached words or pre-tokens; a cache is emptied when it is full
-BATCH = 1 << 25  # bytes of text that are cut into words at a time
+PIECES = 600_000  # cached words or pre-tokens; a cache is emptied when it is full
+BATCH = 1 << 24  # bytes of text that are cut into words at a time
 
 
 def tokenizer_path(name: str) -> str:
