@@ -101,7 +101,7 @@ def test_projection_is_never_negative(spark):
 
 def test_the_fit_is_called_once_per_series(spark):
     facts = production(spark, declining("a"))
-    plan = forecast.forecast_table(facts)._jdf.queryExecution().executedPlan().toString()
+    plan = forecast.forecast_table(facts, top_n=2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "LeftOuter" in plan and "TakeOrderedAndProject" in plan  # the top wells stay on the cluster
 
