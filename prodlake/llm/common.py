@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now.
+
+    They go when the driver's JVM collects its garbage, which may be long after the tables made
+    from them are stored; until then they hold the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """The rows of ``docs`` as one struct ``row`` beside ``columns``, so that no name of theirs can
     clash with one used on the way; ``select("row.*")`` gives the rows back."""

@@ -5,14 +5,16 @@ the hashed shingles is a compact window: all subsequences that hold its minimum
 inside it share that min-hash.  Of these the ones of ``LENGTH`` words are a run of starts, and a
 document has only about two runs per ``LENGTH`` words.  A sliding minimum lists the same runs
 without building the tree.  Joining the runs of two hash functions by interval gives the windows that
-share both; four such bands make a signature group of every passage.
+share both; three such bands make signature groups of every passage.
 
 Windows of equal signature meet by key.  The one of the smallest doc_id leads its group and the
-others are compared with it, never with each other; members that turn out different form the
-group again without the leader, round after round, until none is left over.  Equal windows are
-combined in the map tasks, so a passage that a third of all documents hold sends one window per
-batch.  A pair is verified on its texts: the shingle sets of two windows of ``LENGTH`` words have a Jaccard
-similarity of ``SIMILARITY`` or more.
+others are compared with it, never with each other, so a group costs as many comparisons as it has
+members.  Members that turn out different (a text shorter than ``LENGTH`` brought them together)
+meet twice more: under a new leader, and by the exact content of each window of their run,
+so that equal passages always find each other.  Windows of one key are combined in the map
+tasks, so a passage that a third of all documents hold sends one window per batch.  A pair is
+verified on its texts: the shingle sets of two windows of ``LENGTH`` words have a Jaccard similarity of
+``SIMILARITY`` or more.
 
 Defined cases: null, empty and short texts hold no passage; ASCII letters compare in lower case;
 repeats inside one document do not count; rows without a doc_id are not compared, rows with the
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 from .components import components
 
 SHINGLE = 5  # words
 LENGTH = 50  # words of the shortest passage
 SIMILARITY = 0.8
-BANDS = 4  # pairs of hash functions
+BANDS = 3  # pairs of hash functions
+ROUNDS = 3  # leaders that a window is compared with
 CHUNK = 1 << 19  # shingles hashed at a time
 
 _WINDOW = LENGTH - SHINGLE + 1  # shingles
@@ -43,6 +46,9 @@ _STEP = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_POWERS = np.array([pow(_STEP, k, 1 << 64) for k in range(_WINDOW)], np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (the splitmix finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -94,13 +100,44 @@ def signature_runs(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, n
         turn = fresh.copy()
         turn[1:] |= (first[1:] != first[:-1]) | (second[1:] != second[:-1])
         at = np.flatnonzero(turn & whole)
-        keys.append(_mix(_mix(first[at] + np.uint64(band)) ^ second[at]))
+        keys.append(_signature(first[at], second[at], band))
         starts.append(at)
         bands.append(np.full(len(at), band, np.int64))
     return np.concatenate(keys), np.concatenate(starts), np.concatenate(bands)
 
 
-# a window is a document, its first shingle and its band; place = first shingle * 8 + band
+def _signature(first: np.ndarray, second: np.ndarray, band: int) -> np.ndarray:
+    return _mix(_mix(first + np.uint64(band)) ^ second)
+
+
+def _content(windows: np.ndarray) -> np.ndarray:
+    return _mix((_mix(windows) * _POWERS).sum(axis=-1, dtype=np.uint64))
+
+
+def place_key(values: np.ndarray, place: int) -> int:
+    """The key of the window at a place, as a signed long: its band's signature or its content."""
+    window, code = values[place // 8 : place // 8 + _WINDOW], place % 8
+    if code >= CONTENT:
+        key = _content(window[None])
+    else:
+        key = _signature(*(_hashed(window, 2 * code + f).min(keepdims=True) for f in (0, 1)), code)
+    return int(key.view(np.int64)[0])
+
+
+def run_contents(values: np.ndarray, start: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """``key, start`` of every window of the run that begins at ``start``: a hash of its whole
+    content."""
+    reach = values[start : start + 2 * _WINDOW - 1]
+    minima = [_sliding_minimum(_hashed(reach, 2 * band + f), _WINDOW) for f in (0, 1)]
+    moved = (minima[0] != minima[0][0]) | (minima[1] != minima[1][0])
+    n = int(moved.argmax()) if moved.any() else len(moved)
+    windows = np.lib.stride_tricks.sliding_window_view(reach, _WINDOW)[:n]
+    return _content(windows), start + np.arange(n)
+
+
+# a window is a document and a place: its first shingle * 8 + its band, or the band + CONTENT where
+# it is known by what it holds
+CONTENT = 4
 WINDOWS = "key bigint, doc bigint, place bigint, leader bigint, leader_place bigint"
 _NAMES = ["key", "doc", "place", "leader", "leader_place"]
 
@@ -119,6 +156,24 @@ def _led(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
     return lead, doc != doc[lead]
 
 
+def _combined(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Link windows of one key to the first of them; only that one goes on to meet others."""
+    order = np.lexsort((place, doc, key))
+    key, doc, place = key[order], doc[order], place[order]
+    lead, other = _led(key, doc, place)
+    first = lead == np.arange(len(key))
+    yield _rows(key[first], doc[first], place[first])
+    if other.any():
+        led = lead[other]
+        yield _rows(key[other], doc[other], place[other], doc[led], place[led])
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield from _combined(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def signed(docs: list[int], bases: list[int], parts: list[np.ndarray]):
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -146,15 +201,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [signed(*p) for p in pieces(batch)]
         if not found:
             continue
-        key, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((place, doc, key))
-        key, doc, place = key[order], doc[order], place[order]
-        lead, other = _led(key, doc, place)
-        first = lead == np.arange(len(key))
-        yield _rows(key[first], doc[first], place[first])
-        if other.any():  # equal windows of the batch are linked here; only their leader goes on
-            led = lead[other]
-            yield _rows(key[other], doc[other], place[other], doc[led], place[led])
+        yield from _combined(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+LINKS = "doc bigint, place bigint, leader bigint, leader_place bigint"
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +214,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c) for c in range(5)]
         linked = columns[3].is_valid().to_numpy(zero_copy_only=False)
         if linked.any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in columns], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in columns[1:]], names=_NAMES[1:])
         key, doc, place = (c.to_numpy(zero_copy_only=False)[~linked] for c in columns[:3])
         if last is not None:  # the leader of the last key may lead here too
             key, doc, place = (np.concatenate([x, y]) for x, y in zip(last, (key, doc, place), strict=True))
@@ -174,7 +224,8 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(c[lead[-1:]] for c in (key, doc, place))
         if other.any():
             led = lead[other]
-            yield _rows(key[other], doc[other], place[other], doc[led], place[led])
+            found = (doc[other], place[other], doc[led], place[led])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=_NAMES[1:])
 
 
 def _diagonal(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
@@ -204,107 +255,136 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def compare(left: np.ndarray, right: np.ndarray, seeds: list[tuple[int, int, int]]):
-    """Verify seeds ``(place, right place, band)`` between two documents' shingles.
+class Shingled:
+    """A document's shingles and, once asked for, the place of each band's first minimum."""
+
+    def __init__(self, text: str | None) -> None:
+        self.values = shingles(text)
+        self._hashed: dict[int, np.ndarray] = {}
+
+    def anchor(self, start: int, band: int) -> int:
+        if band not in self._hashed:
+            self._hashed[band] = _hashed(self.values, 2 * band)
+        return start + int(self._hashed[band][start : start + _WINDOW].argmin())
+
+
+def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
+    """Verify seeds ``(place, right place, band)`` between two documents.
 
     Returns the words of ``left`` and of ``right`` in similar windows, and per seed whether it is
     in one.  Windows are compared along the diagonal of a seed's minimum; where words were
     inserted or left out, by their shingle sets.
     """
+    a, b = left.values, right.values
     spans: tuple[list, list] = ([], [])
     along: dict[int, np.ndarray] = {}
-    right_ones = []
+    good_ones = []
     for at, other, band in seeds:
-        a, b = left[at : at + _WINDOW], right[other : other + _WINDOW]
-        i, j = (at + int(_hashed(a, 2 * band).argmin()), other + int(_hashed(b, 2 * band).argmin()))
-        shift = j - i
+        i = left.anchor(at, band % CONTENT)
+        shift = right.anchor(other, band % CONTENT) - i
         if shift not in along:
-            along[shift] = starts = _diagonal(left, right, shift)
+            along[shift] = starts = _diagonal(a, b, shift)
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1)
                 for x, y in zip(starts[[0, *(cut + 1)]].tolist(), starts[[*cut, -1]].tolist(), strict=True):
                     spans[0].append((x, y + LENGTH))
                     spans[1].append((x + shift, y + shift + LENGTH))
         starts = along[shift]
-        near = np.searchsorted(starts, i - _WINDOW, side="right")
-        good = near < len(starts) and starts[near] <= i
+        near = int(starts.searchsorted(i - _WINDOW, side="right")) if len(starts) else 0
+        good = near < len(starts) and bool(starts[near] <= i)
         if not good:
-            for k in {other, min(max(at + shift, 0), len(right) - _WINDOW)}:
-                if jaccard(a, right[k : k + _WINDOW]) >= SIMILARITY:
+            for k in {other, min(max(at + shift, 0), len(b) - _WINDOW)}:
+                if jaccard(a[at : at + _WINDOW], b[k : k + _WINDOW]) >= SIMILARITY:
                     good = True
                     spans[0].append((at, at + LENGTH))
                     spans[1].append((k, k + LENGTH))
                     break
-        right_ones.append(bool(good))
-    return merged(spans[0]), merged(spans[1]), right_ones
+        good_ones.append(good)
+    return merged(spans[0]), merged(spans[1]), good_ones
 
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"
-VERIFIED = f"doc bigint, leader bigint, spans {_SPANS}, leader_spans {_SPANS}, failed array<struct<key:bigint,place:bigint>>"
+VERIFIED = (
+    f"doc bigint, leader bigint, spans {_SPANS}, leader_spans {_SPANS}, failed array<struct<key:bigint,place:bigint>>, text string"
+)
+
+
+def _verify(contents: bool):
+    return lambda batches: _verified(batches, contents)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], contents: bool) -> Iterator[pa.RecordBatch]:
+    """``contents``: windows that fail also go out by what they hold, and with their text."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     failed = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64())]))
-    cut: dict[str, np.ndarray] = {}
+    cut: dict[str, Shingled] = {}
     for batch in batches:
         rows = []
-        for i in range(batch.num_rows):
-            doc, leader, text, leader_text, seeds = (batch.column(c)[i].as_py() for c in range(5))
+        offsets = batch.column(4).offsets.to_numpy()
+        places, led = (batch.column(4).values.field(n).to_numpy(zero_copy_only=False) for n in ("place", "leader_place"))
+        for i, (doc, leader) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             sides = []
-            for side in (text, leader_text):
+            for side in (batch.column(2)[i].as_py(), batch.column(3)[i].as_py()):
                 if side not in cut:
                     if len(cut) >= 64:
                         cut.clear()
-                    cut[side] = shingles(side)
+                    cut[side] = Shingled(side)
                 sides.append(cut[side])
+            own = slice(offsets[i], offsets[i + 1])
             # of rows with the same doc_id, only the ones that are long enough can hold the window
-            fits = [s for s in seeds if s["place"] // 8 + _WINDOW <= len(sides[0]) and s["leader_place"] // 8 + _WINDOW <= len(sides[1])]
-            mine, its, good = compare(*sides, [(s["place"] // 8, s["leader_place"] // 8, s["place"] % 8) for s in fits])
-            bad = [(s["key"], s["place"]) for s, ok in zip(fits, good, strict=True) if not ok]
-            rows.append((doc, leader, mine, its, bad))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            fits = (places[own] // 8 + _WINDOW <= len(sides[0].values)) & (led[own] // 8 + _WINDOW <= len(sides[1].values))
+            place, other = (x[own][fits].tolist() for x in (places, led))
+            mine, its, good = compare(*sides, [(p // 8, q // 8, p % 8) for p, q in zip(place, other, strict=True)])
+            lost = sorted({p for p, ok in zip(place, good, strict=True) if not ok})
+            bad = [(place_key(sides[0].values, p), p) for p in lost]
+            for p in lost if contents else ():
+                found, starts = run_contents(sides[0].values, p // 8, p % 8)
+                bad += zip(found.view(np.int64).tolist(), (starts * 8 + CONTENT + p % 8).tolist(), strict=True)
+            rows.append((doc, leader, mine, its, bad, batch.column(2)[i].as_py() if bad and contents else None))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         pack = lambda lists, names: [[dict(zip(names, x, strict=True)) for x in one] for one in lists]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                 pa.array(pack(columns[2], ("start", "end")), span), pa.array(pack(columns[3], ("start", "end")), span),
-                pa.array(pack(columns[4], ("key", "place")), failed),
+                pa.array(pack(columns[4], ("key", "place")), failed), pa.array(columns[5], pa.string()),
             ],
-            names=["doc", "leader", "spans", "leader_spans", "failed"],
+            names=["doc", "leader", "spans", "leader_spans", "failed", "text"],
         )
 
 
-def _compared(docs: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+def _compared(docs: DataFrame, windows: DataFrame, step: int) -> DataFrame:
     """Group the windows, then verify each pair of a document and a leader on their texts."""
     order = ["key", "doc", "place"]
     # links made in a map task need no meeting: they go to any task
     spread = F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "place"))
     met = windows.withColumn("to", spread).repartition("to").drop("to").sortWithinPartitions(*order)
-    links = stored(met.mapInArrow(_lead, WINDOWS), f"links_{name}")
-    pairs = links.groupBy("doc", "leader").agg(F.collect_list(F.struct("key", "place", "leader_place")).alias("seeds"))
-    text = docs.select(F.col("doc_id").alias("_id"), "text")
-    whole = pairs.join(text, F.col("doc") == F.col("_id")).select("doc", "leader", "seeds", "text")
-    leader = text.select(F.col("_id").alias("_of"), F.col("text").alias("leader_text"))
-    whole = whole.join(leader, F.col("leader") == F.col("_of")).select("doc", "leader", "text", "leader_text", "seeds")
-    return stored(whole.mapInArrow(_verify, VERIFIED), f"verified_{name}")
+    links = met.mapInArrow(_lead, LINKS)
+    pairs = links.groupBy("doc", "leader").agg(F.collect_list(F.struct("place", "leader_place")).alias("seeds"))
+    pairs = stored(pairs, f"pairs_{step}")
+    release(docs.sparkSession)
+    # the same names in both joins, so that the texts are shuffled by doc_id once
+    text = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    whole = pairs.join(text, F.col("doc") == F.col("_id")).select("doc", "leader", "seeds", F.col("_text").alias("text"))
+    whole = whole.join(text, F.col("leader") == F.col("_id")).select("doc", "leader", "text", F.col("_text").alias("leader_text"), "seeds")
+    verified = stored(whole.mapInArrow(_verify(step == 0), VERIFIED), f"verified_{step}")
+    release(docs.sparkSession)
+    return verified
 
 
 def passage_links(docs: DataFrame) -> DataFrame:
     """``doc, leader, spans, leader_spans`` for pairs of documents with a passage in common."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows, found, step = docs.mapInArrow(_windows, WINDOWS), None, 0
-    while True:
-        verified = _compared(docs, windows, str(step))
-        good = verified.filter(F.size("spans") > 0).drop("failed")
+    windows, found = docs.mapInArrow(_windows, WINDOWS), None
+    for step in range(ROUNDS):
+        verified = _compared(docs, windows, step)
+        good = verified.filter(F.size("spans") > 0).drop("failed", "text")
         found = good if found is None else found.union(good)
         left = verified.select("doc", F.explode("failed").alias("f")).select("f.key", "doc", "f.place").distinct()
-        again = left.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select(F.col("key").alias("_key"))
-        none = F.lit(None).cast("bigint")
-        windows = left.join(again, F.col("key") == F.col("_key"), "left_semi").withColumns({"leader": none, "leader_place": none})
-        windows, step = stored(windows, f"again_{step}"), step + 1
-        if windows.limit(1).count() == 0:
-            return found
+        windows = left.mapInArrow(_combine, WINDOWS)
+        if step == 0:  # the texts of the documents that are compared again
+            docs = stored(verified.filter("text IS NOT NULL").select(F.col("doc").alias("doc_id"), "text").distinct(), "again")
+    return found
 
 
 def _joined(spans: Column) -> Column:
