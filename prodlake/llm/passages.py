@@ -239,10 +239,20 @@ def _diagonal(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
     return a + np.flatnonzero(common >= SIMILARITY * (2 * _WINDOW - common))
 
 
-def jaccard(left: np.ndarray, right: np.ndarray) -> float:
-    a, b = np.unique(left), np.unique(right)
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
+def similar_windows(left: Shingled, x: int, right: Shingled, y: int) -> np.ndarray:
+    """Whether the shingle sets of two windows are similar, for every window of ``left`` that starts
+    in the ``_WINDOW`` places from ``x`` and every one of ``right`` from ``y``."""
+    a, first = left.reach(x)
+    b, its_first = right.reach(y)
+    same = a[:, None] == b
+    sizes, its_sizes = first.sum(axis=1), its_first.sum(axis=1)
+    # a window with too few shingles anywhere in the other reach needs no look at its windows
+    if not (first @ same.any(axis=1).astype(np.float32) >= SIMILARITY * sizes).any():
+        return np.zeros((len(first), len(its_first)), bool)
+    counts = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
+    held = (counts[:, _WINDOW:] > counts[:, :-_WINDOW]).astype(np.float32)
+    common = first @ held
+    return common >= SIMILARITY * (sizes[:, None] + its_sizes - common) - 1e-4
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -261,6 +271,26 @@ class Shingled:
     def __init__(self, text: str | None) -> None:
         self.values = shingles(text)
         self._hashed: dict[int, np.ndarray] = {}
+        self._before: np.ndarray | None = None
+
+    @property
+    def before(self) -> np.ndarray:
+        """The place where each shingle stood last, or -1."""
+        if self._before is None:
+            order = np.argsort(self.values, kind="stable")
+            again = self.values[order[1:]] == self.values[order[:-1]]
+            self._before = np.full(len(self.values), -1, np.int64)
+            self._before[order[1:][again]] = order[:-1][again]
+        return self._before
+
+    def reach(self, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of the windows that start in the ``_WINDOW`` places from ``start``, and for
+        each window (rows) which of them it holds, repeats counted once."""
+        values = self.values[start : start + 2 * _WINDOW - 1]
+        at = np.arange(len(values))
+        window = at[: len(values) - _WINDOW + 1, None]
+        held = (at >= window) & (at < window + _WINDOW) & (self.before[start : start + len(values)] < window + start)
+        return values, held.astype(np.float32)
 
     def anchor(self, start: int, band: int) -> int:
         if band not in self._hashed:
@@ -272,8 +302,8 @@ def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
     """Verify seeds ``(place, right place, band)`` between two documents.
 
     Returns the words of ``left`` and of ``right`` in similar windows, and per seed whether it is
-    in one.  Windows are compared along the diagonal of a seed's minimum; where words were
-    inserted or left out, by their shingle sets.
+    in one.  Windows are compared along the diagonal of a seed's minimum; where that has none, as
+    with words inserted or left out, every window of the one run with every window of the other.
     """
     a, b = left.values, right.values
     spans: tuple[list, list] = ([], [])
@@ -293,12 +323,10 @@ def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
         near = int(starts.searchsorted(i - _WINDOW, side="right")) if len(starts) else 0
         good = near < len(starts) and bool(starts[near] <= i)
         if not good:
-            for k in {other, min(max(at + shift, 0), len(b) - _WINDOW)}:
-                if jaccard(a[at : at + _WINDOW], b[k : k + _WINDOW]) >= SIMILARITY:
-                    good = True
-                    spans[0].append((at, at + LENGTH))
-                    spans[1].append((k, k + LENGTH))
-                    break
+            alike = similar_windows(left, at, right, other)
+            good = bool(alike.any())
+            spans[0].extend((at + x, at + x + LENGTH) for x in np.flatnonzero(alike.any(axis=1)).tolist())
+            spans[1].extend((other + y, other + y + LENGTH) for y in np.flatnonzero(alike.any(axis=0)).tolist())
         good_ones.append(good)
     return merged(spans[0]), merged(spans[1]), good_ones
 

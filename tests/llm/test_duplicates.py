@@ -199,3 +199,54 @@ def test_edge_passages(edge, none, clashing):
     assert passages.repeated_passages(edge).count() == 0
     assert passages.repeated_passages(none).count() == 0
     assert passages.repeated_passages(clashing).count() == 0
+
+
+def every_pair(a, b, width=46):
+    """Whether any two windows of 50 words are similar."""
+    right = [set(b[j : j + width]) for j in range(len(b) - width + 1)]
+    for i in range(len(a) - width + 1):
+        x = set(a[i : i + width])
+        for y in right:
+            common = len(x & y)
+            if common >= 0.8 * (len(x) + len(y) - common):
+                return True
+    return False
+
+
+def test_whole_runs_are_compared():
+    """A word inserted in the middle of a passage of 50 leaves few similar pairs, none on a diagonal."""
+    rng = random.Random(11)
+    found = 0
+    for _ in range(60):
+        words = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (50, 60, 60, 60, 60)]
+        passage, a, b, c, d = words
+        at = rng.randrange(20, 30)
+        left, right = " ".join(a + passage + b), " ".join(c + passage[:at] + ["new"] + passage[at:] + d)
+        assert every_pair(shingle_list(left), shingle_list(right))
+        sides = [passages.Shingled(t) for t in (left, right)]
+        assert not any(len(passages._diagonal(sides[0].values, sides[1].values, shift)) for shift in (0, 1))
+        runs = []
+        for side in sides:
+            key, start, band = passages.signature_runs(side.values, np.zeros(len(side.values), np.int64))
+            runs.append(dict(zip(key.tolist(), zip(start.tolist(), band.tolist(), strict=True), strict=True)))
+        seeds = [(x, runs[1][k][0], band) for k, (x, band) in runs[0].items() if k in runs[1]]
+        if seeds:
+            mine, its, good = passages.compare(*sides, seeds)
+            assert any(good) and mine and its
+            found += 1
+    assert found > 30
+
+
+def test_similar_windows_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(20):
+        base = [f"w{rng.randrange(rng.choice([6, 10**6]))}" for _ in range(95)]
+        other = list(base)
+        for _ in range(rng.randrange(4)):
+            other.insert(rng.randrange(95), "new")
+        left, right = (passages.Shingled(" ".join(w)) for w in (base, other))
+        got = passages.similar_windows(left, 0, right, 0)
+        for i, j in itertools.product(range(got.shape[0]), range(got.shape[1])):
+            x, y = set(left.values[i : i + 46].tolist()), set(right.values[j : j + 46].tolist())
+            common = len(x & y)
+            assert got[i, j] == (5 * common >= 4 * (len(x) + len(y) - common))
