@@ -8,10 +8,12 @@ without building the tree.  Joining the runs of two hash functions by interval g
 share both; three such bands make signature groups of every passage.
 
 Windows of equal signature meet by key.  The one of the smallest doc_id leads its group and the
-others are compared with it, never with each other, so a group costs as many comparisons as it has
-members.  Members that turn out different (a text shorter than ``LENGTH`` brought them together)
-meet twice more: under a new leader, and by the exact content of each window of their run,
-so that equal passages always find each other.  Windows of one key are combined in the map
+others are compared with it first, so a group whose members are all like the leader costs as many
+comparisons as it has members.  A group in which one fails (a text shorter than ``LENGTH`` brought
+it together, or the leader is only like some) stays open with all its members.  Open windows meet
+again by a prefix filter that misses no similar pair: each is listed under the few of its shingles
+that are rarest among the open ones, and two documents of different classes that are listed under
+the same shingle are compared there.  Windows of one key are combined in the map
 tasks, so a passage that a third of all documents hold sends one window per batch.  A pair is
 verified on its texts: the shingle sets of two windows of ``LENGTH`` words have a Jaccard similarity of
 ``SIMILARITY`` or more.
@@ -23,7 +25,6 @@ same doc_id are one document; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ SHINGLE = 5  # words
 LENGTH = 50  # words of the shortest passage
 SIMILARITY = 0.8
 BANDS = 3  # pairs of hash functions
-ROUNDS = 3  # leaders that a window is compared with
 CHUNK = 1 << 19  # shingles hashed at a time
 
 _WINDOW = LENGTH - SHINGLE + 1  # shingles
@@ -46,9 +46,6 @@ _STEP = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-_POWERS = np.array([pow(_STEP, k, 1 << 64) for k in range(_WINDOW)], np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (the splitmix finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -110,34 +107,7 @@ def _signature(first: np.ndarray, second: np.ndarray, band: int) -> np.ndarray:
     return _mix(_mix(first + np.uint64(band)) ^ second)
 
 
-def _content(windows: np.ndarray) -> np.ndarray:
-    return _mix((_mix(windows) * _POWERS).sum(axis=-1, dtype=np.uint64))
-
-
-def place_key(values: np.ndarray, place: int) -> int:
-    """The key of the window at a place, as a signed long: its band's signature or its content."""
-    window, code = values[place // 8 : place // 8 + _WINDOW], place % 8
-    if code >= CONTENT:
-        key = _content(window[None])
-    else:
-        key = _signature(*(_hashed(window, 2 * code + f).min(keepdims=True) for f in (0, 1)), code)
-    return int(key.view(np.int64)[0])
-
-
-def run_contents(values: np.ndarray, start: int, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """``key, start`` of every window of the run that begins at ``start``: a hash of its whole
-    content."""
-    reach = values[start : start + 2 * _WINDOW - 1]
-    minima = [_sliding_minimum(_hashed(reach, 2 * band + f), _WINDOW) for f in (0, 1)]
-    moved = (minima[0] != minima[0][0]) | (minima[1] != minima[1][0])
-    n = int(moved.argmax()) if moved.any() else len(moved)
-    windows = np.lib.stride_tricks.sliding_window_view(reach, _WINDOW)[:n]
-    return _content(windows), start + np.arange(n)
-
-
-# a window is a document and a place: its first shingle * 8 + its band, or the band + CONTENT where
-# it is known by what it holds
-CONTENT = 4
+# a window is a document and a place: its first shingle * 8 + its band
 WINDOWS = "key bigint, doc bigint, place bigint, leader bigint, leader_place bigint"
 _NAMES = ["key", "doc", "place", "leader", "leader_place"]
 
@@ -168,12 +138,6 @@ def _combined(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[p
         yield _rows(key[other], doc[other], place[other], doc[led], place[led])
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield from _combined(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def signed(docs: list[int], bases: list[int], parts: list[np.ndarray]):
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -204,7 +168,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _combined(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
-LINKS = "doc bigint, place bigint, leader bigint, leader_place bigint"
+# the group is a hash of the key in fewer bytes; groups that share one are looked at together
+LINKS = "group int, doc bigint, place bigint, leader bigint, leader_place bigint"
+
+
+def _links(key, doc, place, leader, leader_place) -> pa.RecordBatch:
+    columns = [key.view(np.uint64).astype(np.uint32).view(np.int32), doc, place, leader, leader_place]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", *_NAMES[1:]])
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +184,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c) for c in range(5)]
         linked = columns[3].is_valid().to_numpy(zero_copy_only=False)
         if linked.any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in columns[1:]], names=_NAMES[1:])
+            yield _links(*(c.filter(pa.array(linked)).to_numpy(zero_copy_only=False) for c in columns))
         key, doc, place = (c.to_numpy(zero_copy_only=False)[~linked] for c in columns[:3])
         if last is not None:  # the leader of the last key may lead here too
             key, doc, place = (np.concatenate([x, y]) for x, y in zip(last, (key, doc, place), strict=True))
@@ -224,8 +194,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(c[lead[-1:]] for c in (key, doc, place))
         if other.any():
             led = lead[other]
-            found = (doc[other], place[other], doc[led], place[led])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=_NAMES[1:])
+            yield _links(key[other], doc[other], place[other], doc[led], place[led])
 
 
 def _diagonal(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
@@ -310,8 +279,8 @@ def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
     along: dict[int, np.ndarray] = {}
     good_ones = []
     for at, other, band in seeds:
-        i = left.anchor(at, band % CONTENT)
-        shift = right.anchor(other, band % CONTENT) - i
+        i = left.anchor(at, band)
+        shift = right.anchor(other, band) - i
         if shift not in along:
             along[shift] = starts = _diagonal(a, b, shift)
             if len(starts):
@@ -332,87 +301,197 @@ def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
 
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"
-VERIFIED = (
-    f"doc bigint, leader bigint, spans {_SPANS}, leader_spans {_SPANS}, failed array<struct<key:bigint,place:bigint>>, text string"
-)
+VERIFIED = f"doc bigint, leader bigint, spans {_SPANS}, leader_spans {_SPANS}, failed array<int>"
 
 
-def _verify(contents: bool):
-    return lambda batches: _verified(batches, contents)
+class _Cut:
+    """The shingles of the texts met last."""
 
+    def __init__(self) -> None:
+        self._held: dict[str, Shingled] = {}
 
-def _verified(batches: Iterator[pa.RecordBatch], contents: bool) -> Iterator[pa.RecordBatch]:
-    """``contents``: windows that fail also go out by what they hold, and with their text."""
+    def __call__(self, text: str) -> Shingled:
+        if text not in self._held:
+            if len(self._held) >= 64:
+                self._held.clear()
+            self._held[text] = Shingled(text)
+        return self._held[text]
+
+
+def _verified_batch(rows: list[tuple]) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    failed = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64())]))
-    cut: dict[str, Shingled] = {}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    spans = [[[{"start": x, "end": y} for x, y in one] for one in c] for c in columns[2:4]]
+    types = (pa.int64(), pa.int64(), span, span, pa.list_(pa.int32()))
+    arrays = [pa.array(c, t) for c, t in zip((*columns[:2], *spans, columns[4]), types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "leader", "spans", "leader_spans", "failed"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar windows of a document and a leader, and the groups in which they have none."""
+    cut = _Cut()
     for batch in batches:
         rows = []
         offsets = batch.column(4).offsets.to_numpy()
-        places, led = (batch.column(4).values.field(n).to_numpy(zero_copy_only=False) for n in ("place", "leader_place"))
+        groups, places, led = (batch.column(4).values.field(n).to_numpy(zero_copy_only=False) for n in ("group", "place", "leader_place"))
         for i, (doc, leader) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            sides = []
-            for side in (batch.column(2)[i].as_py(), batch.column(3)[i].as_py()):
-                if side not in cut:
-                    if len(cut) >= 64:
-                        cut.clear()
-                    cut[side] = Shingled(side)
-                sides.append(cut[side])
+            sides = [cut(batch.column(c)[i].as_py()) for c in (2, 3)]
             own = slice(offsets[i], offsets[i + 1])
             # of rows with the same doc_id, only the ones that are long enough can hold the window
             fits = (places[own] // 8 + _WINDOW <= len(sides[0].values)) & (led[own] // 8 + _WINDOW <= len(sides[1].values))
-            place, other = (x[own][fits].tolist() for x in (places, led))
+            group, place, other = (x[own][fits].tolist() for x in (groups, places, led))
             mine, its, good = compare(*sides, [(p // 8, q // 8, p % 8) for p, q in zip(place, other, strict=True)])
-            lost = sorted({p for p, ok in zip(place, good, strict=True) if not ok})
-            bad = [(place_key(sides[0].values, p), p) for p in lost]
-            for p in lost if contents else ():
-                found, starts = run_contents(sides[0].values, p // 8, p % 8)
-                bad += zip(found.view(np.int64).tolist(), (starts * 8 + CONTENT + p % 8).tolist(), strict=True)
-            rows.append((doc, leader, mine, its, bad, batch.column(2)[i].as_py() if bad and contents else None))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        pack = lambda lists, names: [[dict(zip(names, x, strict=True)) for x in one] for one in lists]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                pa.array(pack(columns[2], ("start", "end")), span), pa.array(pack(columns[3], ("start", "end")), span),
-                pa.array(pack(columns[4], ("key", "place")), failed), pa.array(columns[5], pa.string()),
-            ],
-            names=["doc", "leader", "spans", "leader_spans", "failed", "text"],
-        )
+            rows.append((doc, leader, mine, its, sorted({g for g, ok in zip(group, good, strict=True) if not ok})))
+        yield _verified_batch(rows)
 
 
-def _compared(docs: DataFrame, windows: DataFrame, step: int) -> DataFrame:
-    """Group the windows, then verify each pair of a document and a leader on their texts."""
-    order = ["key", "doc", "place"]
-    # links made in a map task need no meeting: they go to any task
-    spread = F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "place"))
-    met = windows.withColumn("to", spread).repartition("to").drop("to").sortWithinPartitions(*order)
-    links = met.mapInArrow(_lead, LINKS)
-    pairs = links.groupBy("doc", "leader").agg(F.collect_list(F.struct("place", "leader_place")).alias("seeds"))
-    pairs = stored(pairs, f"pairs_{step}")
-    release(docs.sparkSession)
+def _beside(pairs: DataFrame, docs: DataFrame, seeds: str) -> DataFrame:
+    """Pairs of documents with both texts."""
     # the same names in both joins, so that the texts are shuffled by doc_id once
     text = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    whole = pairs.join(text, F.col("doc") == F.col("_id")).select("doc", "leader", "seeds", F.col("_text").alias("text"))
-    whole = whole.join(text, F.col("leader") == F.col("_id")).select("doc", "leader", "text", F.col("_text").alias("leader_text"), "seeds")
-    verified = stored(whole.mapInArrow(_verify(step == 0), VERIFIED), f"verified_{step}")
+    whole = pairs.join(text, F.col("doc") == F.col("_id")).select("doc", "leader", seeds, F.col("_text").alias("text"))
+    return whole.join(text, F.col("leader") == F.col("_id")).select("doc", "leader", "text", F.col("_text").alias("leader_text"), seeds)
+
+
+def _reach(n: int, places: np.ndarray, width: int) -> np.ndarray:
+    """Which of ``n`` places lie in the ``width`` ones from one of ``places``."""
+    turns = np.zeros(n + 1, np.int64)
+    places = places[places < n]
+    np.add.at(turns, places, 1)
+    np.add.at(turns, np.minimum(places + width, n), -1)
+    return np.cumsum(turns[:n]) > 0
+
+
+def _places(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    offsets = batch.column(column).offsets.to_numpy()
+    places = batch.column(column).values.to_numpy(zero_copy_only=False)
+    return (places[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
+
+HELD = "shingle bigint, doc bigint"
+
+
+def _held_batch(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    owner = np.repeat(np.array([d for d, _ in found], np.int64), [len(x) for _, x in found])
+    values = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(owner)], names=["shingle", "doc"])
+
+
+def _open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a document's open windows."""
+    for batch in batches:
+        found = []
+        for doc, places, text in zip(batch.column(0).to_pylist(), _places(batch, 1), batch.column(2), strict=True):
+            values = shingles(text.as_py())
+            found.append((doc, np.unique(values[_reach(len(values), places, 2 * _WINDOW - 1)]).view(np.int64)))
+        yield _held_batch(found)
+
+
+def rarest(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.ndarray) -> np.ndarray:
+    """The shingles of which two similar windows have one in common, out of the windows at ``starts``.
+
+    Of a window's ``n`` shingles a similar one lacks at most a fifth.  In an order that holds for all
+    documents, one of the first ``n - ceil(0.8 n) + 1`` is therefore among the first of the other one
+    too.  Shingles that are not ``shared`` come first and are met nowhere; the shared ones follow,
+    those of fewer documents first.
+    """
+    order = np.lexsort((shared, n_docs))
+    shared = shared[order]
+    by_value = np.argsort(shared)
+    at = np.minimum(np.searchsorted(shared[by_value], side.values.view(np.int64)), len(shared) - 1)
+    place = by_value[at]
+    rank = np.where(shared[place] == side.values.view(np.int64), place + 1, 0)
+    found = []
+    for part in np.array_split(starts, len(starts) // 4096 + 1):
+        at = part[:, None] + np.arange(_WINDOW)
+        once = side.before[at] < part[:, None]
+        n = once.sum(axis=1)
+        first = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+        few = (once & (rank[at] == 0)).sum(axis=1) < first
+        at, once, first = at[few], once[few], first[few]
+        ranks = np.sort(np.where(once, rank[at], len(shared) + 1), axis=1)
+        ranks = ranks[np.arange(_WINDOW) < first[:, None]]
+        found.append(np.unique(ranks[(ranks > 0) & (ranks <= len(shared))]))
+    return shared[np.unique(np.concatenate(found)) - 1]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        offsets = batch.column(3).offsets.to_numpy()
+        shared, n_docs = (batch.column(3).values.field(n).to_numpy(zero_copy_only=False) for n in ("shingle", "n"))
+        for i, (doc, places, text) in enumerate(zip(batch.column(0).to_pylist(), _places(batch, 1), batch.column(2), strict=True)):
+            side, own = Shingled(text.as_py()), slice(offsets[i], offsets[i + 1])
+            starts = np.flatnonzero(_reach(max(len(side.values) - _WINDOW + 1, 0), places, _WINDOW))
+            if len(starts):
+                found.append((doc, rarest(side, starts, shared[own], n_docs[own])))
+        yield _held_batch(found)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar windows of two documents around the shingles that they share."""
+    cut = _Cut()
+    for batch in batches:
+        rows = []
+        for i, met in enumerate(_places(batch, 4)):
+            left, right = (cut(batch.column(c)[i].as_py()) for c in (2, 3))
+            spans: tuple[set, set] = (set(), set())
+            for shingle in met.view(np.uint64):
+                for a in np.flatnonzero(left.values == shingle).tolist():
+                    for b in np.flatnonzero(right.values == shingle).tolist():
+                        x, y = max(0, a - _WINDOW + 1), max(0, b - _WINDOW + 1)
+                        alike = similar_windows(left, x, right, y)
+                        spans[0].update((np.flatnonzero(alike.any(axis=1)) + x).tolist())
+                        spans[1].update((np.flatnonzero(alike.any(axis=0)) + y).tolist())
+            if spans[0]:
+                mine, its = (merged([(x, x + LENGTH) for x in s]) for s in spans)
+                rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), mine, its, []))
+        yield _verified_batch(rows)
+
+
+def _left_open(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """The links between ``members`` (doc, place) whose documents ``found`` does not link yet.
+
+    Every pair of their windows that is similar is met, by a shingle that is rare among them.
+    """
+    classes = stored(components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b"))), "classes")
+    spots = members.groupBy("doc").agg(F.collect_set((F.col("place") / 8).cast("bigint")).alias("places"))
+    spots = spots.join(classes, F.col("doc") == F.col("node"), "left").select("doc", "places", F.coalesce("root", "doc").alias("class"))
+    spots = stored(spots, "open_places")
+    texts = stored(spots.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "places", "text"), "open_texts")
+    held = stored(texts.mapInArrow(_open_shingles, HELD).distinct().join(spots.select("doc", "class"), "doc"), "open_shingles")
+    # a shingle of one class alone links nothing
+    shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
+    known = held.join(shared.select("shingle", "n"), "shingle").groupBy("doc").agg(F.collect_list(F.struct("shingle", "n")).alias("shared"))
+    firsts = texts.join(known, "doc").select("doc", "places", "text", "shared").mapInArrow(_prefixes, HELD).distinct()
+    firsts = stored(firsts.join(spots.select("doc", "class"), "doc"), "open_firsts")
+    release(docs.sparkSession)
+    others = firsts.select("shingle", F.col("doc").alias("leader"), F.col("class").alias("other"))
+    pairs = firsts.join(others, "shingle").filter("doc > leader AND class != other")
+    pairs = stored(pairs.groupBy("doc", "leader").agg(F.collect_set("shingle").alias("met")), "open_pairs")
+    more = stored(_beside(pairs, docs, "met").mapInArrow(_meet, VERIFIED), "open_links")
     release(docs.sparkSession)
-    return verified
+    return more.drop("failed")
 
 
 def passage_links(docs: DataFrame) -> DataFrame:
     """``doc, leader, spans, leader_spans`` for pairs of documents with a passage in common."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows, found = docs.mapInArrow(_windows, WINDOWS), None
-    for step in range(ROUNDS):
-        verified = _compared(docs, windows, step)
-        good = verified.filter(F.size("spans") > 0).drop("failed", "text")
-        found = good if found is None else found.union(good)
-        left = verified.select("doc", F.explode("failed").alias("f")).select("f.key", "doc", "f.place").distinct()
-        windows = left.mapInArrow(_combine, WINDOWS)
-        if step == 0:  # the texts of the documents that are compared again
-            docs = stored(verified.filter("text IS NOT NULL").select(F.col("doc").alias("doc_id"), "text").distinct(), "again")
-    return found
+    windows = docs.mapInArrow(_windows, WINDOWS)
+    # links made in a map task need no meeting: they go to any task
+    spread = F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "place"))
+    met = windows.withColumn("to", spread).repartition("to").drop("to").sortWithinPartitions("key", "doc", "place")
+    pairs = met.mapInArrow(_lead, LINKS).groupBy("doc", "leader").agg(F.collect_list(F.struct("group", "place", "leader_place")).alias("seeds"))
+    pairs = stored(pairs, "pairs")
+    release(docs.sparkSession)
+    verified = stored(_beside(pairs, docs, "seeds").mapInArrow(_verify, VERIFIED), "verified")
+    release(docs.sparkSession)
+    found = verified.filter(F.size("spans") > 0).drop("failed")
+    failed = verified.select(F.explode("failed").alias("group")).distinct()
+    seeds = pairs.select("doc", "leader", F.explode("seeds").alias("s")).select("doc", "leader", "s.*")
+    seeds = seeds.join(failed, "group", "left_semi")
+    members = seeds.select("doc", "place").union(seeds.select(F.col("leader").alias("doc"), F.col("leader_place").alias("place"))).distinct()
+    return found.union(_left_open(docs, found, members))
 
 
 def _joined(spans: Column) -> Column:

@@ -250,3 +250,24 @@ def test_similar_windows_equal_brute_force():
             x, y = set(left.values[i : i + 46].tolist()), set(right.values[j : j + 46].tolist())
             common = len(x & y)
             assert got[i, j] == (5 * common >= 4 * (len(x) + len(y) - common))
+
+
+def prose(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def swapped(words, at):
+    return words[:at] + ["swapped"] + words[at + 1 :]
+
+
+def test_similar_windows_under_a_common_line(spark):
+    """Pairs with an edit in each window of 50 words, in groups that a line of 40 words brings together."""
+    rng = random.Random(21)
+    line = prose(rng, 40)
+    rows = [prose(rng, 60) + line + prose(rng, 60) for _ in range(100)]
+    for _ in range(25):
+        passage = line + prose(rng, 12)
+        rows += [prose(rng, 60) + p + prose(rng, 60) for p in (passage, swapped(passage, 46))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(100, 150)}
