@@ -271,3 +271,22 @@ def test_similar_windows_under_a_common_line(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs).collect()}
     assert got == {i: i - i % 2 for i in range(100, 150)}
+
+
+def test_chains_of_edits_are_one_class(spark):
+    """A~B and B~C but not A~C: the leader A of three is like B only."""
+    rng = random.Random(22)
+    rows = []
+    for _ in range(40):
+        a = prose(rng, 50)
+        chain = [a, swapped(a, 12), swapped(swapped(a, 12), 37)]
+        parts = [shingle_list(" ".join(p)) for p in chain]
+        assert every_pair(parts[0], parts[1]) and every_pair(parts[1], parts[2]) and not every_pair(parts[0], parts[2])
+        rows += [prose(rng, 60) + p + prose(rng, 60) for p in chain]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs).collect()}
+    met = passages.shingles  # pairs that share no band cannot be linked
+    runs = [{int(k) for k in passages.signature_runs(met(" ".join(w)), np.zeros(len(w) - 4, np.int64))[0]} for w in rows]
+    links = [(i, j) for t in range(0, 120, 3) for i, j in ((t, t + 1), (t + 1, t + 2)) if runs[i] & runs[j]]
+    assert len(links) >= 76
+    assert got == classes({x for p in links for x in p}, links)
