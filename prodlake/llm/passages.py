@@ -10,7 +10,8 @@ share both; three such bands make signature groups of every passage.
 Windows of equal signature meet by key.  The one of the smallest doc_id leads its group and the
 others are compared with it first, so a group whose members are all like the leader costs as many
 comparisons as it has members.  A group in which one fails (a text shorter than ``LENGTH`` brought
-it together, or the leader is only like some) stays open with all its members.  Open windows meet
+it together, or the leader is only like some) stays open with all its members, and so does one in
+which the leading document has more windows than its first.  Open windows meet
 again by a prefix filter that misses no similar pair: each is listed under the few of its shingles
 that are rarest among the open ones, and two documents of different classes that are listed under
 the same shingle are compared there.  Windows of one key are combined in the map
@@ -118,24 +119,28 @@ def _rows(key, doc, place, leader=None, leader_place=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
-def _led(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key and document: the first row of each row's key, and which rows of
-    other documents than that row's there are."""
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.empty(0, np.int64)
-    return lead, doc != doc[lead]
+def _led(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by key and document: the first row of each row's key, which rows are of other
+    documents than that row's, and which are linked to it: these, and in a key that has some, the
+    further rows of its own document."""
+    n = len(key)
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.empty(0, bool)
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if n else np.empty(0, np.int64)
+    other = doc != doc[lead]
+    met = np.zeros(n, bool)
+    met[lead[other]] = True
+    return lead, other, met[lead] & (lead != np.arange(n))
 
 
 def _combined(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Link windows of one key to the first of them; only that one goes on to meet others."""
+    """Link windows of one key to the first of them; only its document goes on to meet others."""
     order = np.lexsort((place, doc, key))
     key, doc, place = key[order], doc[order], place[order]
-    lead, other = _led(key, doc, place)
-    first = lead == np.arange(len(key))
-    yield _rows(key[first], doc[first], place[first])
-    if other.any():
-        led = lead[other]
-        yield _rows(key[other], doc[other], place[other], doc[led], place[led])
+    lead, other, linked = _led(key, doc, place)
+    yield _rows(key[~other], doc[~other], place[~other])
+    if linked.any():
+        led = lead[linked]
+        yield _rows(key[linked], doc[linked], place[linked], doc[led], place[led])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,15 +191,16 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if linked.any():
             yield _links(*(c.filter(pa.array(linked)).to_numpy(zero_copy_only=False) for c in columns))
         key, doc, place = (c.to_numpy(zero_copy_only=False)[~linked] for c in columns[:3])
-        if last is not None:  # the leader of the last key may lead here too
+        if last is not None:  # the leading document of the last key may lead here too
             key, doc, place = (np.concatenate([x, y]) for x, y in zip(last, (key, doc, place), strict=True))
         if not len(key):
             continue
-        lead, other = _led(key, doc, place)
-        last = tuple(c[lead[-1:]] for c in (key, doc, place))
-        if other.any():
-            led = lead[other]
-            yield _links(key[other], doc[other], place[other], doc[led], place[led])
+        lead, other, linked = _led(key, doc, place)
+        ahead = (lead == lead[-1]) & ~other
+        last = tuple(c[ahead] for c in (key, doc, place))
+        if linked.any():
+            led = lead[linked]
+            yield _links(key[linked], doc[linked], place[linked], doc[led], place[led])
 
 
 def _diagonal(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
@@ -484,11 +490,12 @@ def passage_links(docs: DataFrame) -> DataFrame:
     pairs = met.mapInArrow(_lead, LINKS).groupBy("doc", "leader").agg(F.collect_list(F.struct("group", "place", "leader_place")).alias("seeds"))
     pairs = stored(pairs, "pairs")
     release(docs.sparkSession)
-    verified = stored(_beside(pairs, docs, "seeds").mapInArrow(_verify, VERIFIED), "verified")
+    # further windows of a leading document are compared with none here: their groups stay open
+    verified = stored(_beside(pairs.filter("doc != leader"), docs, "seeds").mapInArrow(_verify, VERIFIED), "verified")
     release(docs.sparkSession)
     found = verified.filter(F.size("spans") > 0).drop("failed")
-    failed = verified.select(F.explode("failed").alias("group")).distinct()
     seeds = pairs.select("doc", "leader", F.explode("seeds").alias("s")).select("doc", "leader", "s.*")
+    failed = verified.select(F.explode("failed").alias("group")).union(seeds.filter("doc = leader").select("group")).distinct()
     seeds = seeds.join(failed, "group", "left_semi")
     members = seeds.select("doc", "place").union(seeds.select(F.col("leader").alias("doc"), F.col("leader_place").alias("place"))).distinct()
     return found.union(_left_open(docs, found, members))

@@ -290,3 +290,17 @@ def test_chains_of_edits_are_one_class(spark):
     links = [(i, j) for t in range(0, 120, 3) for i, j in ((t, t + 1), (t + 1, t + 2)) if runs[i] & runs[j]]
     assert len(links) >= 76
     assert got == classes({x for p in links for x in p}, links)
+
+
+def test_all_windows_of_a_leader_are_compared(spark):
+    """A line stands twice in the leading text; only at its second place a passage follows."""
+    rng = random.Random(23)
+    rows = []
+    for _ in range(40):
+        line = prose(rng, 40)
+        passage = line + prose(rng, 12)
+        rows.append(prose(rng, 60) + line + prose(rng, 60) + passage + prose(rng, 60))
+        rows.append(prose(rng, 60) + swapped(passage, 46) + prose(rng, 60))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
