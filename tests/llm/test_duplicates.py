@@ -304,3 +304,14 @@ def test_all_windows_of_a_leader_are_compared(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs).collect()}
     assert got == {i: i - i % 2 for i in range(80)}
+
+
+def test_bands_miss_few_similar_windows():
+    """Of windows at a similarity just over 0.8, 0.36 to the power of the bands share no key."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(3000):
+        values = rng.integers(0, 1 << 63, 51).astype(np.uint64)
+        keys = [set(passages.signature_runs(values[part], np.zeros(46, np.int64))[0].tolist()) for part in (slice(0, 46), slice(5, 51))]
+        missed += not keys[0] & keys[1]
+    assert missed <= 0.025 * 3000
