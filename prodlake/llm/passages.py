@@ -535,3 +535,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return per.join(partners, "doc").join(classes, F.col("doc") == F.col("node")).select(
         F.col("doc").alias("doc_id"), F.col("root").alias("class_id"), "n_links", words.alias("n_repeated_words"), spelled.alias("spans")
     )
+
+
+def document_classes(docs: DataFrame) -> DataFrame:
+    """``repeated_passages`` with a row for every doc_id; one without a shared passage is a class of
+    its own."""
+    every = docs.select(F.col("doc_id").cast("bigint")).filter("doc_id IS NOT NULL").distinct()
+    none = F.lit(0).cast("bigint")
+    return every.join(repeated_passages(docs), "doc_id", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", none).alias("n_links"),
+        F.coalesce("n_repeated_words", none).alias("n_repeated_words"), F.coalesce("spans", F.lit("")).alias("spans"),
+    )

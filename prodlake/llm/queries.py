@@ -30,7 +30,7 @@ def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return passages.document_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,3 +315,12 @@ def test_bands_miss_few_similar_windows():
         keys = [set(passages.signature_runs(values[part], np.zeros(46, np.int64))[0].tolist()) for part in (slice(0, 46), slice(5, 51))]
         missed += not keys[0] & keys[1]
     assert missed <= 0.025 * 3000
+
+
+def test_every_document_has_a_class(spark):
+    rng = random.Random(24)
+    passage = prose(rng, 60)
+    rows = [(3, " ".join(passage)), (4, " ".join(prose(rng, 9) + passage)), (5, "alone"), (5, "alone"), (6, None), (None, " ".join(passage))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.spans) for r in passages.document_classes(docs).collect())
+    assert got == [(3, 3, 1, "0:60"), (4, 3, 1, "9:69"), (5, 5, 0, ""), (6, 6, 0, "")]
