@@ -9,9 +9,10 @@ Texts and items are lower-cased and runs of white space become one blank; places
 of that form.  The items are the query set: they go out to the tasks in blocks of at most
 ``BLOCK`` characters, and each block reads the documents once.
 
-Defined cases: null or empty texts hold nothing; items that are null or shorter than
-``SHORTEST`` characters are not searched, they would be found anywhere; items with equal text
-are all reported; repeated rows are reported each; empty tables give an empty result.
+Defined cases: null or empty texts hold nothing; items shorter than ``SHORTEST`` characters occur
+without an edit and as whole words only, they would be found inside others; items that are null or
+blank are not searched; items with equal text are all reported; repeated rows are reported each;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PER_EDIT = 20  # characters of an item for each edit it may have
-SHORTEST = 24  # characters
+SHORTEST = 24  # characters of an item that may have edits
 BLOCK = 4_000_000  # characters of items searched at a time
 
 RESULT = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint, n_matches bigint"
@@ -66,6 +67,12 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on at either end of a part of ``text``."""
+    before, after = (text[max(0, at - 1) : at + 1] for at in (start, end))
+    return not (start > 0 and before.isalnum()) and not (end < len(text) and after.isalnum())
+
+
 class Matcher:
     """Finds the items ``(item_id, text)`` of one block in texts."""
 
@@ -74,9 +81,11 @@ class Matcher:
 
         same: dict[str, list[int]] = defaultdict(list)
         for item_id, text in items:
-            if len(plain := normalize(text)) >= shortest:
+            if plain := normalize(text):
                 same[plain].append(item_id)
-        self._items = [(text, sorted(ids), len(text) // per_edit, masks(text), masks(text[::-1])) for text, ids in sorted(same.items())]
+        self._shortest = shortest
+        budgets = {text: len(text) // per_edit if len(text) >= shortest else 0 for text in same}
+        self._items = [(text, sorted(ids), budgets[text], masks(text), masks(text[::-1])) for text, ids in sorted(same.items())]
         self._automaton = ahocorasick.Automaton()
         for n, (text, _, budget, _, _) in enumerate(self._items):
             edges = [round(i * len(text) / (budget + 1)) for i in range(budget + 2)]
@@ -99,6 +108,8 @@ class Matcher:
         for n, at in starts.items():
             item, ids, budget, peq, back = self._items[n]
             m, found, reach = len(item), [], None
+            if m < self._shortest:
+                at = {s for s in at if whole_words(plain, s, s + m)}
             for s in sorted(at):  # where the item would start without an edit before the piece
                 if plain.startswith(item, s) and s >= 0:
                     found.append((0, s, s + m))

@@ -123,3 +123,14 @@ def test_tiny_samples(n):
     rows = [("en", np.array([1, 2]), np.array([1.0, 2.0], np.float32))] * n
     model = langid.train(rows)
     assert model.languages == (["en"] if n else [])
+
+
+def test_short_items_are_searched_exactly(spark):
+    docs = spark.createDataFrame(
+        [(1, "Well, who wrote Hamlet? Nobody asked."), (2, "who wrote hamlets"), (3, "WHO  WROTE\nHAMLET"), (4, "who wrote hamlat"), (5, "wwho wrote hamlet"), (6, "It is 3+4 = 7."), (7, "13+4"), (8, None)],
+        "doc_id bigint, text string",
+    )
+    benchmark = spark.createDataFrame([(1, "Who wrote Hamlet"), (2, "3+4"), (3, "= 7."), (4, " "), (5, None)], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start, r.end) for r in decontaminate.leaks(docs, benchmark).collect())
+    assert got == [(1, 1, 0, 6, 22), (3, 1, 0, 0, 16), (6, 2, 0, 6, 9), (6, 3, 0, 10, 14)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()) == [2, 4, 5, 7, 8]
