@@ -6,7 +6,7 @@ one array per row.  All series of a batch are fitted together with numpy:
 * for a fixed curve shape the best ``qi`` has a closed form, so only ``ln di`` (and ``b``)
   are searched;
 * all series share the time axis 0, 1, 2, ..., so the coarse grid over shapes is one matrix
-  product;
+  product; months that a series lacks on this axis have weight 0;
 * the best grid cells are polished by damped Gauss-Newton steps inside the bounds.
 """
 
@@ -31,6 +31,7 @@ MODELS = ("exponential", "hyperbolic", "harmonic")
 _LOG_DI = np.linspace(np.log(DI_BOUNDS[0]), np.log(DI_BOUNDS[1]), 97)
 _B_GRID = np.concatenate([[B_BOUNDS[0], 0.05], np.arange(0.1, 0.95, 0.1), [0.95, B_BOUNDS[1]]])
 _CHUNK = 256
+_CELLS = _CHUNK * 1024  # of the matrix of a chunk; long time axes take fewer series at once
 _FIRST_STEPS, _LAST_STEPS = 20, 60
 _STALLED = 5  # steps without progress after which a series counts as settled
 _ROUNDS = 5  # of _LAST_STEPS; a series that moves even then is reported as not converged
@@ -180,11 +181,13 @@ def _r_squared(q, w, predicted):
     return np.where(total > 0, 1 - residual / np.where(total > 0, total, 1.0), 0.0)
 
 
-def _fit_chunk(series: list[np.ndarray]) -> pd.DataFrame:
-    width = max(len(s) for s in series)
+def _fit_chunk(series: list[np.ndarray], places: list[np.ndarray]) -> pd.DataFrame:
+    """``places`` are the times of the values, the first one 0."""
+    width = max(int(p[-1]) + 1 for p in places)
     t = np.arange(width, dtype=float)
-    w = np.array([np.arange(width) < len(s) for s in series], dtype=float)
-    q = np.array([np.pad(np.maximum(s, RATE_FLOOR), (0, width - len(s))) for s in series])
+    q, w = np.zeros((len(series), width)), np.zeros((len(series), width))
+    for i, (s, p) in enumerate(zip(series, places, strict=True)):
+        q[i, p], w[i, p] = np.maximum(s, RATE_FLOOR), 1.0
     qi_max = q[:, 0] * QI_FACTOR
     fits = {
         "exponential": _fit_fixed_b(q, w, t, qi_max, 0.0),
@@ -212,9 +215,14 @@ def _fit_chunk(series: list[np.ndarray]) -> pd.DataFrame:
     )
 
 
-def fit_batch(series: list[np.ndarray]) -> pd.DataFrame:
-    """One fitted model per series; series that cannot be fitted become flat."""
+def fit_batch(series: list[np.ndarray], places: list[np.ndarray] | None = None) -> pd.DataFrame:
+    """One fitted model per series; series that cannot be fitted become flat.
+
+    ``places`` are the times of each series' values, ascending whole numbers from 0; by default
+    0, 1, 2, ...
+    """
     arrays = [np.asarray(s, dtype=float) for s in series]
+    times = [np.arange(len(s)) for s in arrays] if places is None else [np.asarray(p, dtype=int) for p in places]
     out = pd.DataFrame(
         {
             "model": "flat",
@@ -226,12 +234,20 @@ def fit_batch(series: list[np.ndarray]) -> pd.DataFrame:
         }
     )
     usable = [i for i, s in enumerate(arrays) if len(s) and np.isfinite(s).all() and s.max() > 0]
-    for start in range(0, len(usable), _CHUNK):
-        rows = usable[start : start + _CHUNK]
-        out.iloc[rows] = _fit_chunk([arrays[i] for i in rows]).values
+    while usable:
+        rows = usable[:_CHUNK]
+        width = max(int(times[i][-1]) + 1 for i in rows)
+        rows = rows[: max(1, _CELLS // width)]
+        out.iloc[rows] = _fit_chunk([arrays[i] for i in rows], [times[i] for i in rows]).values
+        usable = usable[len(rows) :]
     return out.astype({"qi": float, "di": float, "b": float, "r2": float, "converged": bool})
 
 
 @F.pandas_udf(FIT_TYPE)
 def fit_decline(series: pd.Series) -> pd.DataFrame:
     return fit_batch(list(series))
+
+
+@F.pandas_udf(FIT_TYPE)
+def fit_decline_at(places: pd.Series, series: pd.Series) -> pd.DataFrame:
+    return fit_batch(list(series), list(places))

@@ -211,6 +211,14 @@ CTES = {
         FROM (SELECT 'well' AS entity_type, api_number AS entity_id, production_month, oil_production, gas_production
               FROM wide UNION ALL SELECT * FROM upper_panels)
         QUALIFY COUNT(*) OVER (PARTITION BY entity_type, entity_id) >= 6""",
+    "measured_calendar": """
+        SELECT *, CAST(date_diff('month', MIN(production_month) OVER (PARTITION BY entity_type, entity_id), production_month) AS BIGINT) AS t,
+               greatest(oil_production, 0.001) AS q
+        FROM (SELECT entity_type, entity_id, production_month, SUM(oil_production) AS oil_production
+              FROM (SELECT 'well' AS entity_type, api_number AS entity_id, production_month, oil_production
+                    FROM wide UNION ALL SELECT entity_type, entity_id, production_month, oil_production FROM upper_panels)
+              GROUP BY entity_type, entity_id, production_month)
+        QUALIFY COUNT(*) OVER (PARTITION BY entity_type, entity_id) >= 6""",
     # --- noise-free decline series and their true future
     "parameters": """
         SELECT CAST(s_suppkey AS VARCHAR) AS api_number, s_name AS well_name, n_name AS operator,
@@ -327,6 +335,30 @@ def _rows(source: str) -> str:
     return f"SELECT COUNT(*) FROM {source}"
 
 
+def _grid_fit(source: str) -> str:
+    """The best cell of the grid for every series of a CTE with columns entity, t and q."""
+    return rounded(
+        f"""SELECT entity_type, entity_id,
+                   CASE WHEN gb = 0 THEN 'exponential' WHEN gb = 1 THEN 'harmonic' ELSE 'hyperbolic' END AS model,
+                   best_qi AS qi, gdi AS di, gb AS b, CASE WHEN tot > 0 THEN 1 - sse / tot ELSE 0 END AS r2
+            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id ORDER BY sse, gb, gdi) AS rn
+                  FROM (SELECT entity_type, entity_id, gdi, gb, any_value(best_qi) AS best_qi,
+                               SUM(pow(q - best_qi * f, 2)) AS sse, SUM(pow(q - mean, 2)) AS tot
+                        FROM (SELECT *, least(SUM(q * f) OVER cell / SUM(f * f) OVER cell,
+                                              10 * first_value(q) OVER (PARTITION BY entity_type, entity_id, gdi, gb ORDER BY t))
+                                        AS best_qi, AVG(q) OVER cell AS mean
+                              FROM (SELECT entity_type, entity_id, gdi, gb, t, q,
+                                           CASE WHEN gb = 0 THEN exp(-gdi * t)
+                                                ELSE pow(1 + gb * gdi * t, -1 / NULLIF(gb, 0)) END AS f
+                                    FROM {source}
+                                    CROSS JOIN (SELECT CAST(unnest({DI_GRID}) AS DOUBLE) AS gdi)
+                                    CROSS JOIN (SELECT CAST(unnest({B_GRID}) AS DOUBLE) AS gb))
+                              WINDOW cell AS (PARTITION BY entity_type, entity_id, gdi, gb))
+                        GROUP BY entity_type, entity_id, gdi, gb)) WHERE rn = 1""",
+        "qi di b r2",
+    )
+
+
 _BRONZE = {
     "bronze_flaring": _rows("raw_flaring"),
     "bronze_operator_well_counts": _rows("raw_counts"),
@@ -363,6 +395,61 @@ _FORECAST_ROWS = {
               HAVING COUNT(DISTINCT production_month) >= 6)""",
 }
 
+def _outcomes(parts: tuple[str, str, str, str, str]) -> str:
+    """Outcomes of a feed: its table, raw columns, typed columns with the reason, key, other typed columns."""
+    table, raw, typed, key, rest = parts
+    order = ", ".join(f"{c} NULLS FIRST" for c in f"{rest}, {raw}".split(", "))
+    same = " AND ".join(f"{c} IS NOT DISTINCT FROM FIRST_VALUE({c}) OVER best" for c in rest.split(", "))
+    columns = ", ".join(f"{c} AS {c.removeprefix('r_')}" for c in raw.split(", "))
+    return f"""SELECT {columns}, outcome, COUNT(*) AS rows FROM (
+            SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN ROW_NUMBER() OVER best = 1 THEN 'kept'
+                           WHEN {same} THEN 'copy' ELSE 'superseded' END AS outcome
+            FROM (SELECT {typed} FROM {table})
+            WINDOW best AS (PARTITION BY reason IS NULL, {key} ORDER BY {order}))
+        GROUP BY {raw}, outcome"""
+
+
+_PRODUCTION_OUTCOMES = (
+    "raw_production",
+    "r_api_number, r_well_name, r_operator, r_production_month, r_oil_and_gas_group, r_production, r_shale_play, r_basin",
+    """api_number AS r_api_number, well_name AS r_well_name, operator AS r_operator, production_month AS r_production_month,
+       oil_and_gas_group AS r_oil_and_gas_group, production AS r_production, shale_play AS r_shale_play, basin AS r_basin,
+       trim(upper(operator)) AS t_operator, CAST(try_strptime(production_month, '%Y-%m-%d') AS DATE) AS t_month, TRY_CAST(production AS DOUBLE) AS t_production,
+       CASE WHEN api_number IS NULL THEN 'no api_number' WHEN t_month IS NULL THEN 'unreadable month' WHEN t_operator IS NULL THEN 'no operator'
+            WHEN t_production IS NULL THEN 'unreadable volume' WHEN t_production < 0 THEN 'negative volume' END AS reason""",
+    "r_api_number, t_month, r_oil_and_gas_group",
+    "r_well_name, t_operator, t_production, r_shale_play, r_basin",
+)
+_WELLS_OUTCOMES = (
+    "raw_wells",
+    "r_squarerootsum, r_well_name, r_api_number",
+    """squarerootsum AS r_squarerootsum, well_name AS r_well_name, api_number AS r_api_number, TRY_CAST(squarerootsum AS DOUBLE) AS t_length,
+       CASE WHEN api_number IS NULL THEN 'no api_number' END AS reason""",
+    "r_api_number",
+    "r_well_name, t_length",
+)
+_FLARING_OUTCOMES = (
+    "raw_flaring",
+    "r_operator, r_totalflaredgas_mcf",
+    """operator AS r_operator, totalflaredgas_mcf AS r_totalflaredgas_mcf, trim(upper(operator)) AS t_operator,
+       TRY_CAST(replace(totalflaredgas_mcf, ',', '') AS DOUBLE) AS t_volume,
+       CASE WHEN t_operator IS NULL THEN 'no operator' WHEN t_volume IS NULL THEN 'unreadable volume' END AS reason""",
+    "t_operator",
+    "t_volume",
+)
+
+
+def _closed(placed: str) -> str:
+    """Sums of events placed in windows, for those windows that the watermark has passed."""
+    return rounded(
+        f"""SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(window_start + size, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+                   event_type, COUNT(*) AS events, SUM(value) AS value
+            FROM ({placed}) WHERE window_start + size <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)
+            GROUP BY window_start, size, event_type""",
+        "value",
+    )
+
+
 _TOP_WELLS = "SELECT api_number FROM ranked_wells WHERE rn <= {n}"
 _WELL_PANEL = (
     "SELECT 'well' AS entity_type, api_number AS entity_id, production_month, oil_production, "
@@ -540,10 +627,38 @@ _TEXTS = {
            WHERE mom_growth_pct IS NOT NULL""",
         "mom_growth_pct",
     ),
-    "quarter_matrix": f"""SELECT production_year, round(coalesce(COLUMNS(* EXCLUDE production_year), 0.0), {DECIMALS}) FROM (
-        PIVOT (SELECT production_year, production_year || production_quarter AS period, production
-               FROM production WHERE oil_and_gas_group = 'O')
-        ON period USING sum(production) GROUP BY production_year)""",
+    "basin_trends_calendar": rounded(
+        """SELECT t.shale_play, t.production_month, t.oil_and_gas_group, t.total_production, m.total_production AS prev_month_production,
+                  CASE WHEN m.total_production > 0 THEN (t.total_production - m.total_production) / m.total_production * 100 END AS mom_growth_pct,
+                  CASE WHEN y.total_production > 0 THEN (t.total_production - y.total_production) / y.total_production * 100 END AS yoy_growth_pct,
+                  t.production_rank
+           FROM trends t
+           LEFT JOIN trends m ON m.shale_play = t.shale_play AND m.oil_and_gas_group = t.oil_and_gas_group
+                             AND m.production_month + INTERVAL 1 MONTH = t.production_month
+           LEFT JOIN trends y ON y.shale_play = t.shale_play AND y.oil_and_gas_group = t.oil_and_gas_group
+                             AND y.production_month + INTERVAL 1 YEAR = t.production_month""",
+        _TRENDS,
+    ),
+    "well_trends_calendar": rounded(
+        """WITH w AS (SELECT api_number, oil_and_gas_group, production_month, SUM(production) AS total_production
+                      FROM production GROUP BY ALL)
+           SELECT t.api_number, t.oil_and_gas_group, t.production_month, t.total_production, m.total_production AS prev_month_production,
+                  CASE WHEN m.total_production > 0 THEN (t.total_production - m.total_production) / m.total_production * 100 END AS mom_growth_pct,
+                  CASE WHEN y.total_production > 0 THEN (t.total_production - y.total_production) / y.total_production * 100 END AS yoy_growth_pct
+           FROM w t
+           LEFT JOIN w m ON m.api_number = t.api_number AND m.oil_and_gas_group = t.oil_and_gas_group
+                        AND m.production_month + INTERVAL 1 MONTH = t.production_month
+           LEFT JOIN w y ON y.api_number = t.api_number AND y.oil_and_gas_group = t.oil_and_gas_group
+                        AND y.production_month + INTERVAL 1 YEAR = t.production_month""",
+        "total_production prev_month_production mom_growth_pct yoy_growth_pct",
+    ),
+    "quarter_matrix": "SELECT CAST(year(production_month) AS INTEGER) AS production_year, "
+    + ", ".join(
+        f"""round(coalesce(sum(production) FILTER (year(production_month) = {year} AND quarter(production_month) = {quarter}), 0.0), {DECIMALS}) AS "{year}Q{quarter}\""""
+        for year in range(1995, 2002)  # the years of the supplied tables
+        for quarter in range(1, 5)
+    )
+    + " FROM production WHERE oil_and_gas_group = 'O' GROUP BY 1",
     "yoy_series": rounded(
         """SELECT shale_play, oil_and_gas_group, production_month, yoy_growth_pct FROM trends
            WHERE yoy_growth_pct IS NOT NULL""",
@@ -715,29 +830,22 @@ _TEXTS = {
                         GROUP BY entity_type, entity_id, gdi, gb)) WHERE rn = 1""",
         "qi di b r2",
     ),
-    "arps_grid_fit_measured": rounded(
-        f"""SELECT entity_type, entity_id,
-                   CASE WHEN gb = 0 THEN 'exponential' WHEN gb = 1 THEN 'harmonic' ELSE 'hyperbolic' END AS model,
-                   best_qi AS qi, gdi AS di, gb AS b, CASE WHEN tot > 0 THEN 1 - sse / tot ELSE 0 END AS r2
-            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id ORDER BY sse, gb, gdi) AS rn
-                  FROM (SELECT entity_type, entity_id, gdi, gb, any_value(best_qi) AS best_qi,
-                               SUM(pow(q - best_qi * f, 2)) AS sse, SUM(pow(q - mean, 2)) AS tot
-                        FROM (SELECT *, least(SUM(q * f) OVER cell / SUM(f * f) OVER cell,
-                                              10 * first_value(q) OVER (PARTITION BY entity_type, entity_id, gdi, gb ORDER BY t))
-                                        AS best_qi, AVG(q) OVER cell AS mean
-                              FROM (SELECT entity_type, entity_id, gdi, gb, t, q,
-                                           CASE WHEN gb = 0 THEN exp(-gdi * t)
-                                                ELSE pow(1 + gb * gdi * t, -1 / NULLIF(gb, 0)) END AS f
-                                    FROM measured
-                                    CROSS JOIN (SELECT CAST(unnest({DI_GRID}) AS DOUBLE) AS gdi)
-                                    CROSS JOIN (SELECT CAST(unnest({B_GRID}) AS DOUBLE) AS gb))
-                              WINDOW cell AS (PARTITION BY entity_type, entity_id, gdi, gb))
-                        GROUP BY entity_type, entity_id, gdi, gb)) WHERE rn = 1""",
-        "qi di b r2",
-    ),
+    "arps_grid_fit_measured": _grid_fit("measured"),
+    "arps_grid_fit_calendar": _grid_fit("measured_calendar"),
     "fit_against_grid": """SELECT entity_type, entity_id, g AS oil_and_gas_group, CAST(n AS INTEGER) AS months, true AS at_least_grid
         FROM (SELECT entity_type, entity_id, COUNT(*) AS n FROM measured GROUP BY entity_type, entity_id)
         CROSS JOIN (SELECT unnest(['O', 'G']) AS g)""",
+    "fit_against_grid_calendar": """SELECT entity_type, entity_id, g AS oil_and_gas_group, CAST(n AS INTEGER) AS months, true AS at_least_grid
+        FROM (SELECT entity_type, entity_id, COUNT(*) AS n FROM measured_calendar GROUP BY entity_type, entity_id)
+        CROSS JOIN (SELECT unnest(['O', 'G']) AS g)""",
+    "forecast_months_calendar": rounded(
+        """SELECT entity_type, entity_id, CAST(last_month + to_months(CAST(step AS INTEGER)) AS DATE) AS forecast_month,
+                  exp(CAST(-0.01 AS DOUBLE) * (last_t + step)) AS forecast_oil_bbl
+           FROM (SELECT entity_type, entity_id, MAX(production_month) AS last_month, MAX(t) AS last_t
+                 FROM measured_calendar GROUP BY entity_type, entity_id)
+           CROSS JOIN (SELECT unnest(range(1, 4)) AS step)""",
+        "forecast_oil_bbl",
+    ),
     "forecast_months_measured": """SELECT entity_type, entity_id, CAST(24 AS BIGINT) AS months,
         CAST(max(production_month) + INTERVAL 1 MONTH AS DATE) AS first_month,
         CAST(max(production_month) + INTERVAL 24 MONTH AS DATE) AS last_month, CAST(0 AS BIGINT) AS negative
@@ -812,6 +920,68 @@ _TEXTS = {
            WHERE entity_type = 'operator' GROUP BY entity_id ORDER BY forecast_oil_bbl DESC, entity_id LIMIT 12""",
         "forecast_oil_bbl",
     ),
+    # sketches
+    "sketch_percentiles": """SELECT shale_play, production_year, oil_and_gas_group, COUNT(*) AS reports,
+        true AS p10_within, true AS p50_within, true AS p90_within FROM production GROUP BY ALL""",
+    "sketch_wells": """SELECT level, entity, period, COUNT(DISTINCT api_number) AS wells, true AS within FROM (
+          SELECT 'operator_quarter' AS level, operator AS entity, production_year || production_quarter AS period, api_number FROM production
+          UNION ALL SELECT 'operator_year', operator, CAST(production_year AS VARCHAR), api_number FROM production
+          UNION ALL SELECT 'play_year', shale_play, CAST(production_year AS VARCHAR), api_number FROM production
+          UNION ALL SELECT 'all', 'all', 'all', api_number FROM production)
+        GROUP BY level, entity, period""",
+    # reconciliation and broken lines
+    "reconcile_production": _outcomes(_PRODUCTION_OUTCOMES),
+    "reconcile_wells": _outcomes(_WELLS_OUTCOMES),
+    "reconcile_flaring": _outcomes(_FLARING_OUTCOMES),
+    "reconcile_totals": " UNION ALL ".join(
+        f"SELECT '{feed}' AS feed, outcome, CAST(SUM(rows) AS BIGINT) AS rows FROM ({_outcomes(parts)}) GROUP BY outcome"
+        for feed, parts in (("production", _PRODUCTION_OUTCOMES), ("wells", _WELLS_OUTCOMES), ("flaring", _FLARING_OUTCOMES))
+    ),
+    "dropped_production": rounded("SELECT * FROM typed_production EXCEPT ALL SELECT * FROM silver_facts", "production"),
+    "unchanged_production": rounded("SELECT * FROM typed_production INTERSECT ALL SELECT * FROM silver_facts", "production"),
+    "broken_lines": """SELECT 'row' AS kind, concat_ws('|', squarerootsum, well_name, api_number) AS content FROM raw_wells
+        UNION ALL SELECT 'broken', '1.5,short ' || s_suppkey FROM supplier
+        UNION ALL SELECT 'broken', '2.5,long,' || s_suppkey || ',more' FROM supplier
+        UNION ALL SELECT 'broken', '3.5,"open ' || s_suppkey || ',x' FROM supplier""",
+    # joins over time
+    "asof_metadata": rounded(
+        """SELECT f.api_number, f.production_month, f.oil_and_gas_group, f.production, v.status, v.rate
+           FROM production f ASOF LEFT JOIN (
+               SELECT CAST(o_custkey AS VARCHAR) AS api_number, CAST(o_orderdate AS DATE) AS valid_from, o_orderpriority AS status, o_totalprice AS rate
+               FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderpriority DESC, o_totalprice DESC) = 1) v
+           ON f.api_number = v.api_number AND f.production_month >= v.valid_from""",
+        "production rate",
+    ),
+    "ownership_overlap": rounded(
+        """SELECT o.api_number, owned_from, owned_to, rate, reports_from, reports_to FROM (
+               SELECT CAST(o_custkey AS VARCHAR) AS api_number, CAST(o_orderdate AS DATE) AS owned_from, MAX(o_totalprice) AS rate,
+                      CAST(o_orderdate AS DATE) + CAST(floor(pow(MAX(o_totalprice) / 50000, 4)) AS INTEGER) AS owned_to
+               FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE)) o
+           JOIN (SELECT api_number, MIN(production_month) AS reports_from, CAST(MAX(production_month) + INTERVAL 1 MONTH AS DATE) AS reports_to
+                 FROM (SELECT api_number, production_month, year(production_month) * 12 + month(production_month)
+                              - ROW_NUMBER() OVER (PARTITION BY api_number ORDER BY production_month) AS spell
+                       FROM (SELECT DISTINCT api_number, production_month FROM production))
+                 GROUP BY api_number, spell) s
+           ON o.api_number = s.api_number AND owned_from < owned_to AND owned_from < reports_to AND reports_from < owned_to""",
+        "rate",
+    ),
+    # windows over a stream: those that end before the last event less an hour
+    "stream_tumbling": _closed(
+        """SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, INTERVAL 6 HOUR AS size, value FROM events"""
+    ),
+    "stream_sliding": _closed(
+        """SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * back) AS window_start, INTERVAL 24 HOUR AS size, value
+           FROM events CROSS JOIN (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS back)"""
+    ),
+    "stream_sessions": rounded(
+        """SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+                  strftime(MAX(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS window_end, COUNT(*) AS events, SUM(value) AS value
+           FROM (SELECT *, SUM(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+                 FROM (SELECT *, COALESCE(ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true) AS fresh FROM events))
+           GROUP BY user_id, session
+           HAVING MAX(ts) + INTERVAL 30 MINUTE <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)""",
+        "value",
+    ),
     # stages
     "stage_bronze": _counts(_BRONZE),
     "stage_silver": _counts(_SILVER),
@@ -820,6 +990,23 @@ _TEXTS = {
     "stage_counts": _counts({**_BRONZE, **_SILVER, **_GOLD, **_FORECAST_ROWS}),
 }
 
+# The report queries written as SQL text with the functions.
+_TEXTS |= {
+    "sql_operator_quarterly": _TEXTS["operator_quarterly"],
+    "sql_avg_yoy_growth": _TEXTS["avg_yoy_growth"],
+    "sql_top5_flaring_intensity": f"SELECT * EXCLUDE (flaring_rank) FROM ({_TEXTS['top5_flaring_intensity']})",
+    "sql_forecast_slice": f"SELECT * EXCLUDE (entity_type, entity_id, forecast_start, qi, di, b_factor) FROM ({_TEXTS['forecast_slice']})",
+    "sql_shares": rounded(
+        f"""SELECT operator, production_year, shale_play,
+                   CASE WHEN liquid_rich_production + dry_gas_production > 0
+                        THEN liquid_rich_production / (liquid_rich_production + dry_gas_production) * 100 END AS liquid_pct,
+                   CASE WHEN ethane_dry_gas_ratio > {ETHANE_THRESHOLD} THEN 'Liquid-Rich' ELSE 'Dry Gas' END AS basin_category,
+                   CASE WHEN ethane_dry_gas_ratio > 0.3 THEN 'Liquid-Rich' ELSE 'Dry Gas' END AS default_category
+            FROM ethane""",
+        "liquid_pct",
+    ),
+}
+
 # What the stages store: the same texts, over the cleaned feeds in place of the bound tables.
 _CLEANED = {"production": "SELECT * FROM silver_production", "flaring": "SELECT * FROM silver_flaring"}
 _FIRST = ["wells_of", *[name for name in CTES if name.startswith(("raw_", "typed_", "silver_")) and name != "raw_shale"]]
@@ -845,6 +1032,14 @@ _STORED_TEXTS = {
         CAST(max(production_month) + INTERVAL 24 MONTH AS DATE) AS last_month
         FROM measured GROUP BY entity_type, entity_id""",
 }
+# The same tables again after two refreshes.
+_STORED_TEXTS |= {
+    f"refreshed_{name.removeprefix('stored_')}": text for name, text in _STORED_TEXTS.items() if "forecast" not in name
+} | {
+    "refreshed_gold_operator_performance": f"""SELECT * EXCLUDE (avg_monthly_production), CAST(round(total_oil_bbl / avg_monthly_production) AS BIGINT) AS oil_reports
+        FROM ({_TEXTS['operator_performance']})""",
+    "refreshed_years": "SELECT production_year, production_year IN (1997, 2001) AS rewritten FROM silver_production GROUP BY production_year"
+}
 
 ORACLES = {name: sql(text) for name, text in _TEXTS.items()} | {
     name: sql(text, _STORED_CTES) for name, text in _STORED_TEXTS.items()

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prodlake import schemas
 from prodlake.functions import decline, expr
+from prodlake.functions import sql as sql_functions
 from prodlake.harness import bindings as bind
-from prodlake.operators import clean, forecast, kpi, portfolio, quality, ranking
-from prodlake.plans import stages
+from prodlake.operators import clean, forecast, kpi, portfolio, quality, ranking, reconcile, sketches, temporal
+from prodlake.plans import refresh, stages
 from prodlake.session import scratch_path, stored
 from prodlake.sources import feeds, tables
 from prodlake.sources.tables import TablePaths
+from prodlake.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +410,8 @@ over_kpi("well_portfolio", _summary, portfolio.well_portfolio)
 over_kpi("trend_slice", _trends, lambda t: portfolio.trend_slice(t, [PLAY, "ASIA"], ["O"]))
 over_kpi("growth_series", _trends, lambda t: portfolio.growth_series(t, "mom_growth_pct"))
 over_kpi("yoy_series", _trends, lambda t: portfolio.growth_series(t, "yoy_growth_pct"))
+over_production("basin_trends_calendar", lambda p: kpi.basin_production_trends(p, "calendar"))
+over_production("well_trends_calendar", kpi.well_production_trends)
 over_production("quarter_matrix", portfolio.quarter_matrix)
 over_production("well_history", lambda p: portfolio.entity_history(p, "well", WELL))
 over_production("operator_history", lambda p: portfolio.entity_history(p, "operator", OPERATOR))
@@ -573,9 +577,9 @@ def arps_grid_fit(spark, sf_dir):
     return forecast.arps_grid_fit(series, "oil", DI_GRID, B_GRID)
 
 
-def _measured_series(spark, sf_dir):
+def _measured_series(spark, sf_dir, calendar: bool = False):
     """All entities of the measured production, gaps and noise included."""
-    return forecast.entity_series(forecast.entity_panel(bind.production(spark, sf_dir)))
+    return forecast.entity_series(forecast.entity_panel(bind.production(spark, sf_dir)), calendar=calendar)
 
 
 @query
@@ -584,9 +588,13 @@ def arps_grid_fit_measured(spark, sf_dir):
 
 
 @query
-def fit_against_grid(spark, sf_dir):
+def arps_grid_fit_calendar(spark, sf_dir):
+    """The grid over months since the first one: gaps are steps of their own."""
+    return forecast.arps_grid_fit(_measured_series(spark, sf_dir, calendar=True), "oil", DI_GRID, B_GRID)
+
+
+def _against_grid(series):
     """Whether the fit of measured oil and gas explains at least as much as the best grid cell."""
-    series = stored(_measured_series(spark, sf_dir), "series")
     fitted = forecast.arps_fit(forecast.fit_series(series)).select("entity_type", "entity_id", "oil_and_gas_group", "months", "r2")
     grids = None
     for group, value in (("O", "oil"), ("G", "gas")):
@@ -600,6 +608,25 @@ def fit_against_grid(spark, sf_dir):
     )
 
 
+@query
+def fit_against_grid(spark, sf_dir):
+    return _against_grid(stored(_measured_series(spark, sf_dir), "series"))
+
+
+@query
+def fit_against_grid_calendar(spark, sf_dir):
+    return _against_grid(stored(_measured_series(spark, sf_dir, calendar=True), "series"))
+
+
+@query
+def forecast_months_calendar(spark, sf_dir):
+    """The same months as with row time, projected from the last one on the calendar axis."""
+    series = _measured_series(spark, sf_dir, calendar=True)
+    known = F.struct(F.lit("exponential").alias("model"), F.lit(1.0).alias("qi"), F.lit(0.01).alias("di"), F.lit(0.0).alias("b"), F.lit(1.0).alias("r2"))
+    projected = forecast.project_forward(series.withColumn("oil_fit", known).withColumn("gas_fit", known), 3)
+    return projected.select("entity_type", "entity_id", "forecast_month", "forecast_oil_bbl")
+
+
 @query
 def forecast_months_measured(spark, sf_dir):
     """Which months the forecast of measured production covers, per entity."""
@@ -759,3 +786,278 @@ def stage_counts(spark, sf_dir):
     """All stages into a fresh root."""
     _, raw_dir = _staged(spark, sf_dir, "bronze")
     return counts_frame(spark, stages.run(spark, raw_dir, scratch_path(spark, "root"), "all"))
+
+
+# --- refresh -----------------------------------------------------------------------------
+
+# Months of the second feed file: a whole year that is new, and rows of a year that has others.
+SECOND_FEED = "production_month LIKE '2001%' OR (production_month LIKE '1997%' AND well_name IS NULL)"
+_REFRESHED: dict[tuple, tuple[TablePaths, DataFrame]] = {}
+
+
+def _partition_files(spark: SparkSession, paths: TablePaths) -> DataFrame:
+    return stages.silver_production(spark, paths).select("production_year", F.col("_metadata.file_path").alias("file")).distinct()
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[TablePaths, DataFrame]:
+    """Tables after a refresh from most of the raw rows and another one from a second file, and the
+    files of silver production in between; once per session and state of the data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    if key not in _REFRESHED:
+        root = scratch_path(spark, "refreshed")
+        paths = TablePaths(f"{root}/tables")
+        feed = feeds.FEEDS["bronze_well_production"]
+        raw = bind.RAW_FEEDS[feed.table](spark, sf_dir)
+        second = F.coalesce(F.expr(SECOND_FEED), F.lit(False))
+        _write_feed(raw.filter(~second), f"{root}/raw/{feed.file_name}")
+        _write_feed(raw.filter(second), f"{root}/raw/second.csv")
+        for table in ("bronze_flaring", "bronze_well_metadata"):
+            feeds.ingest_more(spark, feeds.FEEDS[table], _feed_on_disk(spark, sf_dir, feeds.FEEDS[table], f"{root}/raw"), paths)
+        feeds.ingest_more(spark, feed, f"{root}/raw/{feed.file_name}", paths)
+        refresh.refresh(spark, paths)
+        between = stored(_partition_files(spark, paths), "files")
+        feeds.ingest_more(spark, feed, f"{root}/raw/second.csv", paths)
+        refresh.refresh(spark, paths)
+        _REFRESHED[key] = (paths, between)
+    return _REFRESHED[key]
+
+
+def _refreshed_table(table: str, schema) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths, _ = _refreshed(spark, sf_dir)
+        return rounded(tables.scan_table(spark, paths.of(table), schema).drop("load_timestamp"))
+
+    return run
+
+
+for _table, _schema in (schemas.SILVER_TABLES | schemas.KPI_TABLES).items():
+    if _table not in ("gold_production_forecast", "gold_operator_performance"):
+        QUERIES[f"refreshed_{_table}"] = _refreshed_table(_table, _schema)
+
+
+@query
+def refreshed_gold_operator_performance(spark, sf_dir):
+    """The number of oil reports in place of their mean, which can lie on a rounding tie."""
+    table = _refreshed_table("gold_operator_performance", schemas.GOLD_OPERATOR_PERFORMANCE)(spark, sf_dir)
+    reports = F.round(F.col("total_oil_bbl") / F.col("avg_monthly_production")).cast("bigint")
+    return table.withColumn("oil_reports", reports).drop("avg_monthly_production")
+
+
+@query
+def refreshed_years(spark, sf_dir):
+    """Which years the second refresh wrote again: the others keep their files."""
+    paths, between = _refreshed(spark, sf_dir)
+    before = between.groupBy("production_year").agg(F.collect_set("file").alias("_before"))
+    after = _partition_files(spark, paths).groupBy("production_year").agg(F.collect_set("file").alias("_after"))
+    same = F.coalesce(F.sort_array("_before") == F.sort_array("_after"), F.lit(False))
+    return after.join(before, "production_year", "left").select("production_year", (~same).alias("rewritten"))
+
+
+# --- sketches ----------------------------------------------------------------------------
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(sketches.production_sketches(bind.production(spark, sf_dir)), "sketches")
+
+
+@query
+def sketch_percentiles(spark, sf_dir):
+    """Percentiles of the volume by play, year and commodity from the stored sketches, and whether
+    their exact ranks are within the bound."""
+    points = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    keys = ["shale_play", "production_year", "oil_and_gas_group"]
+    year = F.year("production_month").alias("production_year")
+    found = stored(sketches.estimates(sketches.roll_up(_sketches(spark, sf_dir), "shale_play", year, "oil_and_gas_group"), points), "estimates")
+    facts = bind.production(spark, sf_dir).select(*keys, "production").join(found.drop("reports", "wells"), keys)
+    exact = []
+    for name, p in points.items():
+        below, upto = F.avg((F.col("production") < F.col(name)).cast("double")), F.avg((F.col("production") <= F.col(name)).cast("double"))
+        exact.append(((below - sketches.RANK_ERROR <= p) & (upto + sketches.RANK_ERROR >= p)).alias(f"{name}_within"))
+    return facts.groupBy(*keys).agg(F.count("*").alias("reports"), *exact)
+
+
+@query
+def sketch_wells(spark, sf_dir):
+    """Distinct wells per operator and quarter, operator and year, play and year, and in all, from one
+    stored table; exact numbers and whether the estimates are within the bound."""
+    table, production = _sketches(spark, sf_dir), bind.production(spark, sf_dir)
+    year, quarter = F.year("production_month").cast("string"), expr.period_label("production_month")
+    levels = {
+        "operator_quarter": (F.col("operator"), quarter), "operator_year": (F.col("operator"), year),
+        "play_year": (F.col("shale_play"), year), "all": (F.lit("all"), F.lit("all")),
+    }
+    out = None
+    for level, (entity, period) in levels.items():
+        keys = [entity.alias("entity"), period.alias("period")]
+        estimated = sketches.estimates(sketches.roll_up(table, *keys), {}).select("entity", "period", F.col("wells").alias("estimate"))
+        exact = production.groupBy(*keys).agg(F.count_distinct("api_number").alias("wells"))
+        near = F.abs(F.col("estimate") - F.col("wells")) <= F.greatest(F.col("wells") * sketches.COUNT_ERROR, F.lit(1.0))
+        part = exact.join(estimated, ["entity", "period"]).select(F.lit(level).alias("level"), "entity", "period", "wells", near.alias("within"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- reconciliation and broken lines -----------------------------------------------------
+
+
+@query
+def reconcile_production(spark, sf_dir):
+    return reconcile.production_ledger(_raw_production(spark, sf_dir))
+
+
+@query
+def reconcile_wells(spark, sf_dir):
+    return reconcile.wells_ledger(_raw_wells(spark, sf_dir))
+
+
+@query
+def reconcile_flaring(spark, sf_dir):
+    return reconcile.flaring_ledger(_raw_flaring(spark, sf_dir))
+
+
+@query
+def reconcile_totals(spark, sf_dir):
+    """Rows per outcome of all three feeds."""
+    made = {"production": reconcile_production, "wells": reconcile_wells, "flaring": reconcile_flaring}
+    parts = [reconcile.totals(of(spark, sf_dir)).select(F.lit(feed).alias("feed"), "outcome", "rows") for feed, of in made.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def dropped_production(spark, sf_dir):
+    """Typed rows that the clean table does not hold, as often as they are dropped."""
+    raw = _raw_production(spark, sf_dir)
+    return reconcile.bag_difference(clean.typed_production(raw), stored(clean.clean_production(raw), "clean"))
+
+
+@query
+def unchanged_production(spark, sf_dir):
+    """Typed rows that the clean table holds as they are."""
+    raw = _raw_production(spark, sf_dir)
+    return reconcile.bag_intersection(clean.typed_production(raw), stored(clean.clean_production(raw), "clean"))
+
+
+@query
+def broken_lines(spark, sf_dir):
+    """A feed with a short and a long line and one with an open quote per well: what lands as rows,
+    and which lines are kept apart."""
+    feed = feeds.FEEDS["bronze_well_metadata"]
+    folder = scratch_path(spark, "raw")
+    path = f"{folder}/{feed.file_name}"
+    _write_feed(bind.RAW_FEEDS[feed.table](spark, sf_dir), path)
+    supplier = bind.table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    lines = F.array(F.concat(F.lit("1.5,short "), key), F.concat(F.lit("2.5,long,"), key, F.lit(",more")), F.concat(F.lit('3.5,"open '), key, F.lit(",x")))
+    broken = supplier.select(F.explode(lines).alias("value"), F.lit(1).alias("place"))
+    header = spark.createDataFrame([(",".join(feed.columns), 0)], "value string, place int")
+    header.union(broken).repartition(1).sortWithinPartitions("place").select("value").write.mode("append").text(path)
+    paths = TablePaths(f"{folder}/tables")
+    feeds.ingest_checked(spark, feed, path, paths)
+    good = tables.scan_table(spark, paths.of(feed.table)).select(F.lit("row").alias("kind"), F.concat_ws("|", "squarerootsum", "well_name", "api_number").alias("content"))
+    apart = tables.scan_table(spark, paths.of(f"{feed.table}_broken")).select(F.lit("broken").alias("kind"), F.col("line").alias("content"))
+    return good.union(apart)
+
+
+# --- joins over time ---------------------------------------------------------------------
+
+
+def _well_versions(spark, sf_dir):
+    """Versions of a well's metadata: orders of the customer of the same number, by their date."""
+    orders = bind.table(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("api_number"), F.col("o_orderdate").cast("date").alias("valid_from"),
+        F.col("o_orderpriority").alias("status"), F.col("o_totalprice").alias("rate"),
+    )
+
+
+@query
+def asof_metadata(spark, sf_dir):
+    """The metadata valid on the first day of each month of production."""
+    facts = bind.production(spark, sf_dir).select("api_number", "production_month", "oil_and_gas_group", "production")
+    return temporal.asof_join(facts, _well_versions(spark, sf_dir), "api_number", "production_month", "valid_from", ["status", "rate"])
+
+
+@query
+def ownership_overlap(spark, sf_dir):
+    """Periods of ownership (an order's date and the days its price makes, up to decades) against
+    the spells in which a well reports every month."""
+    owned = _well_versions(spark, sf_dir).groupBy("api_number", F.col("valid_from").alias("owned_from")).agg(F.max("rate").alias("rate")).select(
+        "api_number", "owned_from", F.date_add("owned_from", F.floor(F.pow(F.col("rate") / 50000, F.lit(4.0))).cast("int")).alias("owned_to"), "rate"
+    )
+    months = bind.production(spark, sf_dir).select("api_number", "production_month").distinct()
+    number = (F.year("production_month") * 12 + F.month("production_month")).alias("number")
+    spell = F.col("number") - F.row_number().over(Window.partitionBy("api_number").orderBy("number"))
+    spells = months.select("api_number", "production_month", number).withColumn("spell", spell).groupBy("api_number", "spell").agg(
+        F.min("production_month").alias("reports_from"), F.add_months(F.max("production_month"), 1).alias("reports_to")
+    ).drop("spell")
+    return temporal.overlap_join(owned, spells, "api_number", ("owned_from", "owned_to"), ("reports_from", "reports_to"))
+
+
+# --- windows over a stream ---------------------------------------------------------------
+
+
+def _streamed(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """The windows that a run over the events closes; times as text, free of the session's zone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "stream")
+        made = build(windows.event_stream(spark, sf_dir, pattern="events.parquet"))
+        windows.run_to_table(made, f"{root}/table", f"{root}/checkpoint")
+        table = spark.read.schema(made.schema).parquet(f"{root}/table")
+        return rounded(table.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("window_start", "window_end")}))
+
+    return run
+
+
+QUERIES["stream_tumbling"] = _streamed(lambda e: windows.tumbling(e, "6 hours"))
+QUERIES["stream_sliding"] = _streamed(lambda e: windows.sliding(e, "1 day", "6 hours"))
+QUERIES["stream_sessions"] = _streamed(lambda e: windows.sessions(e, "30 minutes"))
+
+
+# --- SQL functions -----------------------------------------------------------------------
+
+
+def _with_functions(view: str, source: Query, text: str) -> Query:
+    """A query written as SQL text over a stored table registered as a view."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths = TablePaths(scratch_path(spark, "tables"))
+        tables.write_table(source(spark, sf_dir), paths.of(view))
+        tables.register_views(spark, paths, [view])
+        sql_functions.register_functions(spark, tables=view == "gold_production_forecast")
+        return rounded(spark.sql(text))
+
+    return run
+
+
+QUERIES["sql_operator_quarterly"] = _with_functions(
+    "silver_production", bind.production,
+    """SELECT operator, production_year, quarter_label(production_month) AS production_quarter, oil_and_gas_group,
+              round(sum(production), 2) AS total_production, count(DISTINCT api_number) AS active_wells
+       FROM silver_production GROUP BY ALL""",
+)
+QUERIES["sql_avg_yoy_growth"] = _with_functions(
+    "gold_basin_production_trends", lambda spark, sf_dir: kpi.basin_monthly(bind.production(spark, sf_dir)),
+    """SELECT shale_play, oil_and_gas_group, round(avg(growth_pct(total_production, previous)), 2) AS avg_yoy_growth_pct
+       FROM (SELECT *, lag(total_production, 12) OVER (PARTITION BY shale_play, oil_and_gas_group ORDER BY production_month) AS previous
+             FROM gold_basin_production_trends)
+       GROUP BY shale_play, oil_and_gas_group""",
+)
+QUERIES["sql_top5_flaring_intensity"] = _with_functions(
+    "gold_flaring_intensity", lambda spark, sf_dir: kpi.flaring_ratio(bind.production(spark, sf_dir), bind.flaring(spark, sf_dir)).select(
+        "operator", "total_flared_gas_mcf", "total_gas_production_mcf"
+    ),
+    """SELECT operator, round(ratio, 2) AS flaring_pct, flaring_class(ratio) AS flaring_category
+       FROM (SELECT operator, 100 * safe_ratio(total_flared_gas_mcf, total_gas_production_mcf) AS ratio FROM gold_flaring_intensity)
+       WHERE ratio IS NOT NULL ORDER BY ratio DESC, operator LIMIT 5""",
+)
+QUERIES["sql_forecast_slice"] = _with_functions(
+    "gold_production_forecast", lambda spark, sf_dir: _forecast(spark, sf_dir), f"SELECT * FROM forecast_slice('operator', '{OPERATOR}')"
+)
+QUERIES["sql_shares"] = _with_functions(
+    "gold_ethane_dry_gas", _ethane,
+    f"""SELECT operator, production_year, shale_play, share_pct(liquid_rich_production, dry_gas_production) AS liquid_pct,
+               basin_class(safe_ratio(liquid_rich_production, dry_gas_production), {ETHANE_THRESHOLD}D) AS basin_category,
+               basin_class(safe_ratio(liquid_rich_production, dry_gas_production)) AS default_category
+        FROM gold_ethane_dry_gas""",
+)

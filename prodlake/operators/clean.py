@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodlake import schemas
@@ -40,39 +40,46 @@ def dedup(df: DataFrame, keys: list[str]) -> DataFrame:
     return smallest.select(*keys, "_row.*").select(*df.columns)
 
 
+def wells_columns() -> list[Column]:
+    """The typed columns of well metadata over the raw ones, without lineage."""
+    return [F.col("api_number"), F.col("well_name"), expr.number_or_null("squarerootsum").alias("well_length_ft")]
+
+
 def clean_wells(raw: DataFrame) -> DataFrame:
-    typed = raw.select(
-        "api_number",
-        "well_name",
-        expr.number_or_null("squarerootsum").alias("well_length_ft"),
-        "load_timestamp",
-    )
-    kept = filter_not_null(typed, "api_number")
+    kept = filter_not_null(raw.select(*wells_columns(), "load_timestamp"), "api_number")
     return schemas.conform(dedup(kept, ["api_number"]), schemas.SILVER_WELLS)
 
 
-def clean_flaring(raw: DataFrame) -> DataFrame:
-    typed = raw.select(
+def flaring_columns() -> list[Column]:
+    """The typed columns of flaring over the raw ones, without lineage."""
+    return [
         expr.normalize_key("operator").alias("operator"),
         expr.grouped_number_or_null("totalflaredgas_mcf").alias("total_flared_gas_mcf"),
-        "load_timestamp",
-    )
+    ]
+
+
+def clean_flaring(raw: DataFrame) -> DataFrame:
+    typed = raw.select(*flaring_columns(), "load_timestamp")
     kept = filter_not_null(typed, "operator", "total_flared_gas_mcf")
     return schemas.conform(dedup(kept, ["operator"]), schemas.SILVER_FLARING)
 
 
-def typed_production(raw: DataFrame) -> DataFrame:
-    """Raw production with its types; what cannot be read is null."""
-    return raw.select(
-        "api_number",
-        "well_name",
+def production_columns() -> list[Column]:
+    """The typed columns of production over the raw ones; what cannot be read is null."""
+    return [
+        F.col("api_number"),
+        F.col("well_name"),
         expr.normalize_key("operator").alias("operator"),
         expr.date_or_null("production_month").alias("production_month"),
-        "oil_and_gas_group",
+        F.col("oil_and_gas_group"),
         expr.number_or_null("production").alias("production"),
-        "shale_play",
-        "basin",
-    )
+        F.col("shale_play"),
+        F.col("basin"),
+    ]
+
+
+def typed_production(raw: DataFrame) -> DataFrame:
+    return raw.select(*production_columns())
 
 
 def clean_production(raw: DataFrame) -> DataFrame:

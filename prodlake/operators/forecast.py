@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prodlake import schemas
 from prodlake.functions import decline
 from prodlake.functions.expr import GAS, OIL, commodity_value
-from prodlake.functions.fit import MODELS, QI_FACTOR, RATE_FLOOR, fit_decline
+from prodlake.functions.fit import MODELS, QI_FACTOR, RATE_FLOOR, fit_decline, fit_decline_at
 from prodlake.operators.portfolio import total
 
 LEVELS = ("well", "operator", "basin")
@@ -121,15 +121,22 @@ def entity_panel(
 # --- fits --------------------------------------------------------------------
 
 
-def entity_series(panel: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
-    """One row per entity with its months in order; the position in the array is ``t``.
+def entity_series(panel: DataFrame, min_months: int = MIN_MONTHS, calendar: bool = False) -> DataFrame:
+    """One row per entity with its months in order.  Entities shorter than ``min_months`` drop.
 
-    Time is the row ordinal, as gaps collapse.  Entities shorter than ``min_months`` drop.
+    Time is the row ordinal, the position in the arrays, as gaps collapse.  With ``calendar`` it is
+    the number of months since the first one and stands in ``series_t``: the arrays hold reported
+    months only, rows of one month are added up, rows without a month drop, and ``last_t`` counts the gaps too.
     """
+    if calendar:
+        month = F.trunc("production_month", "month")
+        panel = panel.filter(F.col("production_month").isNotNull()).groupBy(
+            "entity_type", "entity_id", month.alias("production_month")
+        ).agg(F.sum("oil_production").alias("oil_production"), F.sum("gas_production").alias("gas_production"))
     rows = F.sort_array(
         F.collect_list(F.struct("production_month", "oil_production", "gas_production"))
     )
-    return (
+    series = (
         panel.groupBy("entity_type", "entity_id")
         .agg(rows.alias("_rows"))
         .filter(F.size("_rows") >= min_months)
@@ -143,10 +150,19 @@ def entity_series(panel: DataFrame, min_months: int = MIN_MONTHS) -> DataFrame:
             F.col("_rows.gas_production").alias("gas"),
         )
     )
+    if not calendar:
+        return series
+    first = F.element_at("series_month", 1)
+    since = F.transform("series_month", lambda m: (F.year(m) - F.year(first)) * 12 + F.month(m) - F.month(first))
+    return series.withColumn("series_t", since).withColumn("last_t", F.element_at("series_t", -1))
 
 
 def fit_series(series: DataFrame) -> DataFrame:
     """Adds the best decline model of each commodity as a struct."""
+    if "series_t" in series.columns:
+        return series.withColumn("oil_fit", fit_decline_at("series_t", "oil")).withColumn(
+            "gas_fit", fit_decline_at("series_t", "gas")
+        )
     return series.withColumn("oil_fit", fit_decline("oil")).withColumn(
         "gas_fit", fit_decline("gas")
     )
@@ -183,6 +199,7 @@ def arps_grid_fit(
     no row is copied per cell: each row walks the grid over its own array.
     """
     zero = F.lit(0.0)
+    times = F.col("series_t") if "series_t" in series.columns else F.sequence(F.lit(0), F.size("_q") - 1)
 
     def dot(left: Column, right: Column) -> Column:
         return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), zero, lambda s, x: s + x)
@@ -190,10 +207,7 @@ def arps_grid_fit(
     def shape(cell: Column) -> Column:
         di, b = F.element_at(cell, 1), F.element_at(cell, 2)
         model = _model_of(b)
-        return F.transform(
-            F.sequence(F.lit(0), F.size("_q") - 1),
-            lambda t: decline.curve(model, t.cast("double"), F.lit(1.0), di, b),
-        )
+        return F.transform(times, lambda t: decline.curve(model, t.cast("double"), F.lit(1.0), di, b))
 
     def with_qi(cell: Column) -> Column:
         best = dot(F.col("_q"), cell["f"]) / dot(cell["f"], cell["f"])
@@ -241,10 +255,12 @@ def _model_of(b: Column) -> Column:
 
 def fitted_curve(fitted: DataFrame) -> DataFrame:
     """Actual and in-sample fitted rate of every month."""
+    series = ["series_month", "oil", "gas"]
+    calendar = "series_t" in fitted.columns
     rows = fitted.select(
         "entity_type", "entity_id", "oil_fit", "gas_fit",
-        F.posexplode(F.arrays_zip("series_month", "oil", "gas")).alias("t", "_row"),
-    )
+        F.posexplode(F.arrays_zip(*series, *["series_t"] * calendar)).alias("_place", "_row"),
+    ).withColumn("t", F.col("_row.series_t") if calendar else F.col("_place"))
     return rows.select(
         "entity_type", "entity_id", "t",
         F.col("_row.series_month").alias("production_month"),
@@ -269,7 +285,8 @@ def project_forward(fitted: DataFrame, n_months: int = 24) -> DataFrame:
     The fit columns report the commodity with the better R-squared, oil on ties.
     """
     ahead = fitted.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(n_months))))
-    t = F.col("months") - 1 + F.col("_step")
+    last_t = F.col("last_t") if "last_t" in fitted.columns else F.col("months") - 1
+    t = last_t + F.col("_step")
     oil_leads = F.col("oil_fit.r2") >= F.col("gas_fit.r2")
     best = {
         c: F.when(oil_leads, F.col(f"oil_fit.{c}")).otherwise(F.col(f"gas_fit.{c}"))
@@ -290,8 +307,8 @@ def project_forward(fitted: DataFrame, n_months: int = 24) -> DataFrame:
     return schemas.conform(projected, schemas.GOLD_FORECAST)
 
 
-def forecast_entities(panel: DataFrame, n_months: int = 24) -> DataFrame:
-    return project_forward(fit_series(entity_series(panel)), n_months)
+def forecast_entities(panel: DataFrame, n_months: int = 24, calendar: bool = False) -> DataFrame:
+    return project_forward(fit_series(entity_series(panel, calendar=calendar)), n_months)
 
 
 def forecast_table(
@@ -299,9 +316,14 @@ def forecast_table(
     n_months: int = 24,
     top_n: int | None = None,
     levels: tuple[str, ...] = LEVELS,
+    calendar: bool = False,
 ) -> DataFrame:
-    """Forecasts of the wells (all, or the ``top_n`` with the most oil), operators and plays."""
-    return forecast_entities(entity_panel(production, top_n, levels), n_months)
+    """Forecasts of the wells (all, or the ``top_n`` with the most oil), operators and plays.
+
+    ``calendar`` fits against months since the first one instead of row ordinals, see
+    ``entity_series``.
+    """
+    return forecast_entities(entity_panel(production, top_n, levels), n_months, calendar)
 
 
 def forecast_band(forecast: DataFrame, width: float = 0.15) -> DataFrame:

@@ -133,22 +133,40 @@ def basin_monthly(production: DataFrame) -> DataFrame:
     )
 
 
-def _series_window() -> Window:
-    return Window.partitionBy("shale_play", "oil_and_gas_group").orderBy("production_month")
+SERIES = ("shale_play", "oil_and_gas_group")
+MODES = ("row", "calendar")
 
 
-def with_month_growth(monthly: DataFrame) -> DataFrame:
-    """Growth against the previous row of the series (a missing month is skipped over)."""
-    previous = F.lag("total_production", 1).over(_series_window())
+def previous_production(months: int, mode: str = "row", series: tuple[str, ...] = SERIES):
+    """``total_production`` that many months earlier in the same series.
+
+    ``row`` takes the row so many places earlier, whatever its month.  ``calendar`` takes the
+    total of exactly that month and null where the series has no row for it; dates inside a
+    month count for the month, a null date has no previous one.  Frames of all distances range over the
+    same month number, so they share one sort.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
+    window = Window.partitionBy(*series)
+    if mode == "row":
+        return F.lag("total_production", months).over(window.orderBy("production_month"))
+    number = F.year("production_month") * 12 + F.month("production_month")
+    earlier = F.sum("total_production").over(window.orderBy(number).rangeBetween(-months, -months))
+    return F.when(F.col("production_month").isNotNull(), earlier)
+
+
+def with_month_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES) -> DataFrame:
+    """Growth against the month before, see ``previous_production``."""
+    previous = previous_production(1, mode, series)
     return monthly.withColumn("prev_month_production", previous).withColumn(
         "mom_growth_pct",
         expr.growth_pct(F.col("total_production"), F.col("prev_month_production")),
     )
 
 
-def with_year_growth(monthly: DataFrame) -> DataFrame:
-    """Growth against the row twelve places earlier in the series."""
-    previous = F.lag("total_production", 12).over(_series_window())
+def with_year_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES) -> DataFrame:
+    """Growth against the month twelve earlier, see ``previous_production``."""
+    previous = previous_production(12, mode, series)
     return (
         monthly.withColumn("_previous", previous)
         .withColumn("yoy_growth_pct", expr.growth_pct(F.col("total_production"), F.col("_previous")))
@@ -163,16 +181,23 @@ def with_month_rank(monthly: DataFrame) -> DataFrame:
     )
 
 
-def basin_production_trends(production: DataFrame) -> DataFrame:
-    """Monthly totals per play and commodity with growth rates and rank.
+def basin_production_trends(production: DataFrame, mode: str = "row") -> DataFrame:
+    """Monthly totals per play and commodity with growth rates (by row or by calendar) and rank.
 
     The windows run on aggregated rows: a partition holds one play's months or one
     month's plays.  Both lags share one sort.
     """
-    trends = with_month_rank(with_year_growth(with_month_growth(basin_monthly(production))))
+    trends = with_month_rank(with_year_growth(with_month_growth(basin_monthly(production), mode), mode))
     return schemas.conform(trends, schemas.GOLD_BASIN_TRENDS)
 
 
+def well_production_trends(production: DataFrame, mode: str = "calendar") -> DataFrame:
+    """Monthly totals per well and commodity with growth rates; wells skip months, so the mode matters."""
+    series = ("api_number", "oil_and_gas_group")
+    monthly = production.groupBy(*series, "production_month").agg(F.sum("production").alias("total_production"))
+    return with_year_growth(with_month_growth(monthly, mode, series), mode, series)
+
+
 # --- wells -------------------------------------------------------------------
 
 
@@ -211,14 +236,10 @@ def well_peak_month(production: DataFrame) -> DataFrame:
     return peaks.select("api_number", _peak_month("_peak").alias("peak_oil_month"))
 
 
-def well_summary(production: DataFrame) -> DataFrame:
-    """Lifetime, gas total and peak month of every well with oil.
-
-    One pass over the facts: aggregate per well and attributes, then spread the
-    whole-well gas total and peak over the (few) attribute rows of the same well.
-    """
+def well_partials(production: DataFrame, *parts: str) -> DataFrame:
+    """Sums and extremes per well and attributes that ``merge_well_partials`` adds up; ``parts`` are further keys."""
     is_oil = F.col("oil_and_gas_group") == OIL
-    per_attributes = _of(production, OIL, GAS).groupBy(*WELL_ATTRIBUTES).agg(
+    return _of(production, OIL, GAS).groupBy(*WELL_ATTRIBUTES, *parts).agg(
         F.min(commodity_value(OIL, "production_month")).alias("first_production_month"),
         F.max(commodity_value(OIL, "production_month")).alias("last_production_month"),
         F.sum(commodity_value(OIL)).alias("cumulative_oil_bbl"),
@@ -227,11 +248,34 @@ def well_summary(production: DataFrame) -> DataFrame:
         F.sum(commodity_value(GAS)).alias("_gas"),
         F.max(F.when(is_oil, _peak_key())).alias("_peak"),
     )
+
+
+def merge_well_partials(partials: DataFrame) -> DataFrame:
+    """One row per well and attributes from partials of any parts of the facts."""
+    return partials.groupBy(*WELL_ATTRIBUTES).agg(
+        F.min("first_production_month").alias("first_production_month"),
+        F.max("last_production_month").alias("last_production_month"),
+        F.sum("cumulative_oil_bbl").alias("cumulative_oil_bbl"),
+        F.max("peak_oil_production").alias("peak_oil_production"),
+        F.sum("active_months").alias("active_months"),
+        F.sum("_gas").alias("_gas"),
+        F.max("_peak").alias("_peak"),
+    )
+
+
+def well_summary_of(partials: DataFrame) -> DataFrame:
+    """The summary from one partial row per well and attributes: the whole-well gas total and
+    peak are spread over the (few) attribute rows of the same well."""
     whole_well = Window.partitionBy("api_number")
     summary = (
-        per_attributes.withColumn("cumulative_gas_mcf", F.sum("_gas").over(whole_well))
+        partials.withColumn("cumulative_gas_mcf", F.sum("_gas").over(whole_well))
         .withColumn("_well_peak", F.max("_peak").over(whole_well))
         .filter(F.col("active_months") > 0)
         .withColumn("peak_oil_month", _peak_month("_well_peak"))
     )
     return schemas.conform(summary, schemas.GOLD_WELL_SUMMARY)
+
+
+def well_summary(production: DataFrame) -> DataFrame:
+    """Lifetime, gas total and peak month of every well with oil, in one pass over the facts."""
+    return well_summary_of(well_partials(production))

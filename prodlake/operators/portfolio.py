@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prodlake.functions import expr
 from prodlake.functions.expr import GAS, OIL, commodity_value
-from prodlake.operators.ranking import percentiles
+from prodlake.operators.ranking import percentiles, percentiles_of
 from prodlake.session import stored
 
 ENTITY_KEY = {"well": "api_number", "operator": "operator", "basin": "shale_play"}
@@ -104,7 +104,8 @@ def quarter_matrix(production: DataFrame, labels: list[str] | None = None) -> Da
     """Oil per year (rows) and year-qualified quarter (columns), 0 where there is none.
 
     The columns are the quarters that have oil (their labels, bounded by the calendar, reach
-    the driver) unless the caller names them; naming them saves the job that looks them up.
+    the driver) unless the caller names them.  The facts are read once either way: the quarterly
+    sums are stored before their labels are looked up.
     """
     quarterly = (
         production.filter(F.col("oil_and_gas_group") == OIL)
@@ -114,6 +115,8 @@ def quarter_matrix(production: DataFrame, labels: list[str] | None = None) -> Da
         )
         .agg(F.sum("production").alias("production"))
     )
+    if labels is None:
+        quarterly = stored(quarterly, "quarterly")
     return quarterly.groupBy("production_year").pivot("period", labels).agg(F.sum("production")).fillna(0)
 
 
@@ -156,7 +159,7 @@ def volume_tier(flaring: DataFrame) -> DataFrame:
     that is itself the threshold keeps its tier in every run.
     """
     stable = stored(flaring, "flaring")
-    cuts = flaring_percentiles(stable, FLARING_POINTS)
+    cuts = percentiles_of(stable, "total_flared_gas_mcf", FLARING_POINTS)
     low, median, high = (cuts.select(p).scalar() for p in FLARING_POINTS)
     tier = expr.percentile_tier(F.col("total_flared_gas_mcf"), low, high)
     return stable.withColumn("volume_category", tier).withColumn("_median", median)

@@ -1,9 +1,10 @@
 """Ranks and percentiles over a whole table without gathering it in one task.
 
-A window without ``partitionBy`` would move every row to one task.  Instead the distinct
-values are counted (combining map-side, so ties cost nothing), range partitioned, ranked
-inside each range and shifted by the number of rows in the ranges before.  The number of
-ranges is the session's number of shuffle partitions; adaptive execution merges small ones.
+A window without ``partitionBy`` would move every row to one task.  Instead approximate
+quantiles of the stored values cut them into ranges, as many as the session has shuffle
+partitions.  The distinct values of a range are counted (combining map-side, so ties cost
+nothing), ranked inside it and shifted by the number of rows in the ranges before.  The cuts
+only balance the work: any cuts give the same result, and there is one path for all sizes.
 """
 
 from __future__ import annotations
@@ -13,65 +14,57 @@ from pyspark.sql import functions as F
 
 from prodlake.session import stored
 
-_BLOCK = 1024  # ranges whose sizes are added up together
 
+def _range_of(stable: DataFrame, column: str) -> Column:
+    """The number of the range a value falls into, ascending.
 
-def _range_starts(ranged: DataFrame) -> DataFrame:
-    """Rows before each range, one row per range.
-
-    Sizes are added up inside blocks of ranges, then over the blocks before; both steps are
-    spread over tasks.
+    The cut points (one number a range) come to the driver once and go into the plans as a
+    literal, so every plan cuts at the same places.
     """
-    sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_size"))
-    sizes = sizes.withColumn("_block", F.floor(F.col("_range") / _BLOCK))
-    blocks = sizes.groupBy("_block").agg(F.sum("_size").alias("_held"))
-    after = blocks.select(F.explode(F.sequence(F.col("_block") + 1, blocks.agg(F.max("_block")).scalar() + 1)).alias("_to"), "_held")
-    before = after.groupBy("_to").agg(F.sum("_held").alias("_earlier"))
-    inside = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    return placed.join(before, F.col("_block") == F.col("_to"), "left").select(
-        F.col("_range").alias("_of"), (F.col("_inside") + F.coalesce("_earlier", F.lit(0))).alias("_start")
-    )
+    ranges = int(stable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = [i / ranges for i in range(1, ranges)]
+    cuts = points and stable.agg(F.percentile_approx(column, F.lit(points), F.lit(100 * ranges))).first()[0]
+    return F.size(F.filter(F.lit(sorted(set(cuts or [])) or [0.0]), lambda cut: cut < F.col(column)))
 
 
-def value_offsets(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+def value_offsets(stable: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """Distinct non-null values with ``n`` rows each and ``before`` rows ahead of them.
 
-    The ranges are stored once, as another run of the partitioning could cut them elsewhere.
+    ``stable`` is read more than once and has to give the same rows each time.
     """
+    known = stable.where(F.col(column).isNotNull()).withColumn("_range", _range_of(stable, column))
     order = F.col(column).desc() if descending else F.col(column).asc()
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranged = stored(
-        values.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
+    values = known.groupBy("_range", column).agg(F.count("*").alias("n"))
+    # one entry a range
+    sizes = known.groupBy("_range").agg(F.count("*").alias("_size")).agg(F.collect_list(F.struct("_range", "_size")).alias("_all"))
+
+    def ahead(own: Column) -> Column:
+        others = F.filter("_all", lambda o: o["_range"] > own["_range"] if descending else o["_range"] < own["_range"])
+        return F.aggregate(others, F.lit(0).cast("bigint"), lambda total, o: total + o["_size"])
+
+    starts = sizes.select(F.inline(F.transform("_all", lambda s: F.struct(s["_range"].alias("_of"), ahead(s).alias("_start")))))
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return ranged.withColumn("_inside", before).join(
-        _range_starts(ranged), F.col("_range") == F.col("_of")
-    ).select(column, "n", (F.col("_start") + F.col("_inside")).alias("before"))
+    placed = values.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return placed.join(starts, F.col("_range") == F.col("_of")).select(column, "n", (F.col("_start") + F.col("_inside")).alias("before"))
 
 
 def global_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """``rank()`` by ``column`` descending over the whole table; nulls last, tied.
 
-    Stores ``df`` and its ranges when called; everything else waits for an action.
+    Stores ``df`` when called, as it is read twice and sums of doubles may differ in between.
     """
     stable = stored(df, "ranked")
-    offsets = value_offsets(stable, column, descending=True)
-    known = F.coalesce(offsets.agg(F.sum("n")).scalar(), F.lit(0))
-    places = offsets.select(F.col(column).alias("_value"), "before")
+    places = value_offsets(stable, column, descending=True).select(F.col(column).alias("_value"), "before")
+    known = F.coalesce(stable.agg(F.count(column)).scalar(), F.lit(0))
     return stable.join(places, F.col(column) == F.col("_value"), "left").select(
         *stable.columns, (F.coalesce("before", known) + 1).cast("int").alias(out)
     )
 
 
-def percentiles(df: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
-    """Exact, linearly interpolated percentiles: one row, one column per point.
-
-    Stores the distinct values when called.
-    """
-    offsets = value_offsets(df, column)
-    rows = offsets.agg(F.sum("n")).scalar()
+def percentiles_of(stable: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated percentiles of a stored table: one row, one column per point."""
+    offsets = value_offsets(stable, column)
+    rows = stable.agg(F.count(column)).scalar()
 
     def value_at(position: Column) -> Column:
         holds = (F.col("before") <= position) & (F.col("before") + F.col("n") > position)
@@ -85,3 +78,8 @@ def percentiles(df: DataFrame, column: str, points: dict[str, float]) -> DataFra
         upper = F.least(lower + 1, rows - 1)
         found[name] = value_at(lower) * (1 - weight) + value_at(upper) * weight
     return offsets.agg(*[value.alias(name) for name, value in found.items()])
+
+
+def percentiles(df: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
+    """``percentiles_of`` any table; its column is stored when called."""
+    return percentiles_of(stored(df.select(column), "values"), column, points)

@@ -106,9 +106,14 @@ def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
         },
     )
     del counts["rollup"]
-    rollup = made["rollup"]
     wells = scan_table(spark, paths.of("gold_well_summary"), schemas.GOLD_WELL_SUMMARY)
-    builds = {
+    jobs = {table: store(table, build) for table, build in kpi_builds(made["rollup"], wells, flaring).items()}
+    return {**_side_by_side(spark, jobs), **counts}
+
+
+def kpi_builds(rollup: DataFrame, wells: DataFrame, flaring: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The KPI tables that need no facts, from the roll-up over wells and the well summary."""
+    return {
         "gold_operator_performance": lambda: kpi.operator_performance(
             kpi.oil_gas_from_rollup(rollup, wells), flaring
         ),
@@ -116,8 +121,6 @@ def run_gold(spark: SparkSession, paths: TablePaths) -> dict[str, int]:
         "gold_flaring_intensity": lambda: kpi.flaring_intensity(rollup, flaring),
         "gold_ethane_dry_gas": lambda: kpi.ethane_dry_gas(rollup),
     }
-    jobs = {table: store(table, build) for table, build in builds.items()}
-    return {**_side_by_side(spark, jobs), **counts}
 
 
 def run_forecast(

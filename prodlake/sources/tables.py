@@ -48,6 +48,11 @@ def write_table(
     writer.parquet(path)
 
 
+def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    writer = df.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
 def scan_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """``schema`` saves the footer read that infers it and keeps partition values typed."""
     reader = spark.read if schema is None else spark.read.schema(schema)

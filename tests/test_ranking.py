@@ -18,9 +18,10 @@ def skewed(n=3000):
     return [7.0] * (n // 3) + [None] * (n // 3) + [10 ** draw.uniform(-3, 9) for _ in range(n // 3)]
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_ranges_equal_a_plain_window(spark, monkeypatch, block):
-    monkeypatch.setattr(ranking, "_BLOCK", block)
+@pytest.mark.parametrize("ranges", ["1", "8", "70"])
+def test_ranges_equal_a_plain_window(spark, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep the ranges apart
     try:
         data = frame(spark, skewed()).repartition(6)
@@ -31,6 +32,7 @@ def test_ranges_equal_a_plain_window(spark, monkeypatch, block):
             map(tuple, plain.select("id", "r").collect())
         )
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
