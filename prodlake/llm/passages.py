@@ -11,13 +11,14 @@ Windows of equal signature meet by key.  The one of the smallest doc_id leads it
 others are compared with it first, so a group whose members are all like the leader costs as many
 comparisons as it has members.  A group in which one fails (a text shorter than ``LENGTH`` brought
 it together, or the leader is only like some) stays open with all its members, and so does one in
-which the leading document has more windows than its first.  Open windows meet
+which the leading document has more windows than its first.  Open windows that hold the same
+shingles of those that several classes share, among as many in all, are one pattern.  Patterns meet
 again by a prefix filter that misses no similar pair: each is listed under the few of its shingles
-that are rarest among the open ones, and two documents of different classes that are listed under
-the same shingle are compared there.  Windows of one key are combined in the map
+that are rarest among the open ones, and two patterns that are listed under the same shingle are
+compared there, once for all documents that hold them.  Windows of one key are combined in the map
 tasks, so a passage that a third of all documents hold sends one window per batch.  A pair is
-verified on its texts: the shingle sets of two windows of ``LENGTH`` words have a Jaccard similarity of
-``SIMILARITY`` or more.
+verified on its texts, or on whole patterns: the shingle sets of two windows of ``LENGTH`` words have a
+Jaccard similarity of ``SIMILARITY`` or more.
 
 Defined cases: null, empty and short texts hold no passage; ASCII letters compare in lower case;
 repeats inside one document do not count; rows without a doc_id are not compared, rows with the
@@ -393,112 +394,171 @@ def _open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _held_batch(found)
 
 
-def rarest(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.ndarray) -> np.ndarray:
-    """The shingles of which two similar windows have one in common, out of the windows at ``starts``.
+PATTERNS = "p bigint, q bigint, doc bigint, starts array<bigint>, n int, shared array<bigint>, firsts array<bigint>"
 
-    Of a window's ``n`` shingles a similar one lacks at most a fifth.  In an order that holds for all
-    documents, one of the first ``n - ceil(0.8 n) + 1`` is therefore among the first of the other one
-    too.  Shingles that are not ``shared`` come first and are met nowhere; the shared ones follow,
-    those of fewer documents first.
+
+def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.ndarray):
+    """What the windows at ``starts`` have in common with other classes, one entry per pattern: its
+    128-bit name, its windows, its number of shingles, the shared ones and the first of these.
+
+    A shingle that is not ``shared`` meets nothing, so all that matters of a window is which shared
+    shingles it holds and how many shingles in all.  Of ``n`` shingles a similar window lacks at
+    most a fifth.  In an order that holds for all documents, one of the first ``n - ceil(0.8 n) + 1``
+    is therefore among the first of the other one too.  Those that are not shared come first; the
+    shared ones follow, those of fewer documents first.  A window without a shared one among its
+    first is similar to none.
     """
     order = np.lexsort((shared, n_docs))
-    shared = shared[order]
-    by_value = np.argsort(shared)
-    at = np.minimum(np.searchsorted(shared[by_value], side.values.view(np.int64)), len(shared) - 1)
-    place = by_value[at]
-    rank = np.where(shared[place] == side.values.view(np.int64), place + 1, 0)
-    found = []
+    by_rank = shared[order]
+    by_value = np.argsort(by_rank)
+    values = side.values.view(np.int64)
+    place = by_value[np.minimum(np.searchsorted(by_rank[by_value], values), len(by_rank) - 1)]
+    rank = np.where(by_rank[place] == values, place + 1, 0)
+    names = np.stack([_mix(side.values), _mix(side.values ^ _M1)], axis=1)
+    found: dict[tuple[int, int], list] = {}
     for part in np.array_split(starts, len(starts) // 4096 + 1):
         at = part[:, None] + np.arange(_WINDOW)
         once = side.before[at] < part[:, None]
         n = once.sum(axis=1)
         first = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
-        few = (once & (rank[at] == 0)).sum(axis=1) < first
-        at, once, first = at[few], once[few], first[few]
-        ranks = np.sort(np.where(once, rank[at], len(shared) + 1), axis=1)
-        ranks = ranks[np.arange(_WINDOW) < first[:, None]]
-        found.append(np.unique(ranks[(ranks > 0) & (ranks <= len(shared))]))
-    return shared[np.unique(np.concatenate(found)) - 1]
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = once & (rank[at] > 0)
+        reach = first - (n - held.sum(axis=1))
+        for i in np.flatnonzero(reach > 0).tolist():
+            own = at[i][held[i]]
+            p, q = names[own].sum(axis=0, dtype=np.uint64).view(np.int64).tolist()
+            entry = found.get((p, q, int(n[i])))
+            if entry is None:
+                ranks = np.sort(rank[own])
+                found[p, q, int(n[i])] = [[int(part[i])], np.sort(values[own]), by_rank[ranks[: reach[i]] - 1]]
+            else:
+                entry[0].append(int(part[i]))
+    # the number of shingles is part of the name
+    return [(p ^ n, q, windows, n, held, firsts) for (p, q, n), (windows, held, firsts) in found.items()]
+
+
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
+    types = [pa.int64(), pa.int64(), pa.int64(), longs, pa.int32(), longs, longs]
     for batch in batches:
-        found = []
+        rows, seen = [], set()
         offsets = batch.column(3).offsets.to_numpy()
         shared, n_docs = (batch.column(3).values.field(n).to_numpy(zero_copy_only=False) for n in ("shingle", "n"))
         for i, (doc, places, text) in enumerate(zip(batch.column(0).to_pylist(), _places(batch, 1), batch.column(2), strict=True)):
             side, own = Shingled(text.as_py()), slice(offsets[i], offsets[i + 1])
             starts = np.flatnonzero(_reach(max(len(side.values) - _WINDOW + 1, 0), places, _WINDOW))
-            if len(starts):
-                found.append((doc, rarest(side, starts, shared[own], n_docs[own])))
-        yield _held_batch(found)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar windows of two documents around the shingles that they share."""
-    cut = _Cut()
-    for batch in batches:
-        rows = []
-        for i, met in enumerate(_places(batch, 4)):
-            left, right = (cut(batch.column(c)[i].as_py()) for c in (2, 3))
-            spans: tuple[set, set] = (set(), set())
-            for shingle in met.view(np.uint64):
-                for a in np.flatnonzero(left.values == shingle).tolist():
-                    for b in np.flatnonzero(right.values == shingle).tolist():
-                        x, y = max(0, a - _WINDOW + 1), max(0, b - _WINDOW + 1)
-                        alike = similar_windows(left, x, right, y)
-                        spans[0].update((np.flatnonzero(alike.any(axis=1)) + x).tolist())
-                        spans[1].update((np.flatnonzero(alike.any(axis=0)) + y).tolist())
-            if spans[0]:
-                mine, its = (merged([(x, x + LENGTH) for x in s]) for s in spans)
-                rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), mine, its, []))
-        yield _verified_batch(rows)
-
-
-def _left_open(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
-    """The links between ``members`` (doc, place) whose documents ``found`` does not link yet.
-
-    Every pair of their windows that is similar is met, by a shingle that is rare among them.
-    """
+            if not len(starts):
+                continue
+            for p, q, windows, n, held, firsts in patterns(side, starts, shared[own], n_docs[own]):
+                # the shingles of a pattern go out once a batch
+                rows.append((p, q, doc, windows, n, None, None) if (p, q) in seen else (p, q, doc, windows, n, held, firsts))
+                seen.add((p, q))
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PATTERNS.split(", ")])
+
+
+def _similar(common: Column, n: Column, other: Column) -> Column:
+    return common >= SIMILARITY * (n + other - common) - 1e-9
+
+
+def _pattern_pairs(kinds: DataFrame) -> DataFrame:
+    """``p, q, low, high``: every pattern that is similar to some, once for each, with the smallest and
+    the largest document of that one."""
+    listed = kinds.select("p", "q", F.explode("firsts").alias("shingle"))
+    others = listed.select(F.col("p").alias("p2"), F.col("q").alias("q2"), "shingle")
+    met = listed.join(others, "shingle").filter("p < p2 OR (p = p2 AND q < q2)").select("p", "q", "p2", "q2").distinct()
+    sides = kinds.select("p", "q", "n", "shared", "low", "high")
+    both = met.join(sides, ["p", "q"]).join(sides.toDF("p2", "q2", "n2", "shared2", "low2", "high2"), ["p2", "q2"])
+    one_doc = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
+    alike = both.filter(~one_doc & _similar(F.size(F.array_intersect("shared", "shared2")), F.col("n"), F.col("n2")))
+    own = kinds.filter((F.col("low") != F.col("high")) & _similar(F.size("shared"), F.col("n"), F.col("n")))
+    ahead = alike.select("p", "q", F.col("low2").alias("low"), F.col("high2").alias("high"), F.col("low").alias("of_low"), F.col("high").alias("of_high"))
+    back = alike.select(F.col("p2").alias("p"), F.col("q2").alias("q"), "low", "high", F.col("low2").alias("of_low"), F.col("high2").alias("of_high"))
+    return ahead.union(back).union(own.select("p", "q", "low", "high", F.col("low").alias("of_low"), F.col("high").alias("of_high")))
+
+
+def _open_texts(docs: DataFrame, found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, class, places`` of the documents with open windows, and these with their texts."""
     classes = stored(components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b"))), "classes")
     spots = members.groupBy("doc").agg(F.collect_set((F.col("place") / 8).cast("bigint")).alias("places"))
     spots = spots.join(classes, F.col("doc") == F.col("node"), "left").select("doc", "places", F.coalesce("root", "doc").alias("class"))
     spots = stored(spots, "open_places")
-    texts = stored(spots.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "places", "text"), "open_texts")
+    return spots, stored(spots.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "places", "text"), "open_texts")
+
+
+def _open_patterns(spots: DataFrame, texts: DataFrame) -> DataFrame:
+    """The patterns of every document's open windows."""
     held = stored(texts.mapInArrow(_open_shingles, HELD).distinct().join(spots.select("doc", "class"), "doc"), "open_shingles")
     # a shingle of one class alone links nothing
     shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
     known = held.join(shared.select("shingle", "n"), "shingle").groupBy("doc").agg(F.collect_list(F.struct("shingle", "n")).alias("shared"))
-    firsts = texts.join(known, "doc").select("doc", "places", "text", "shared").mapInArrow(_prefixes, HELD).distinct()
-    firsts = stored(firsts.join(spots.select("doc", "class"), "doc"), "open_firsts")
-    release(docs.sparkSession)
-    others = firsts.select("shingle", F.col("doc").alias("leader"), F.col("class").alias("other"))
-    pairs = firsts.join(others, "shingle").filter("doc > leader AND class != other")
-    pairs = stored(pairs.groupBy("doc", "leader").agg(F.collect_set("shingle").alias("met")), "open_pairs")
-    more = stored(_beside(pairs, docs, "met").mapInArrow(_meet, VERIFIED), "open_links")
-    release(docs.sparkSession)
-    return more.drop("failed")
+    return stored(texts.join(known, "doc").select("doc", "places", "text", "shared").mapInArrow(_patterns, PATTERNS), "open_patterns")
 
 
-def passage_links(docs: DataFrame) -> DataFrame:
-    """``doc, leader, spans, leader_spans`` for pairs of documents with a passage in common."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+def _left_open(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """The links between ``members`` (doc, place) whose documents ``found`` does not link yet.
+
+    Windows of one pattern are one from here on, however many documents hold them; every two
+    patterns that are similar are met, by a shingle that is rare among the open windows.  A document
+    of a pattern is linked to one of a similar pattern, and any two similar patterns by a pair of their
+    documents, which joins the same documents as all of their pairs would.
+    """
+    spots, texts = _open_texts(docs, found, members)
+    release(docs.sparkSession)
+    rows = _open_patterns(spots, texts)
+    release(docs.sparkSession)
+    kinds = rows.groupBy("p", "q").agg(
+        F.any_value("n").alias("n"), F.any_value("shared", True).alias("shared"), F.any_value("firsts", True).alias("firsts"),
+        F.min("doc").alias("low"), F.max("doc").alias("high"),
+    )
+    pairs = stored(_pattern_pairs(stored(kinds, "patterns")), "pattern_pairs")
+    release(docs.sparkSession)
+    near = pairs.groupBy("p", "q").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    partner = F.when(F.col("low") != F.col("doc"), F.col("low")).otherwise(F.col("high"))
+    spans = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + LENGTH).alias("end")))
+    nothing = F.array().cast(_SPANS)
+    own = rows.join(near, ["p", "q"]).select("doc", partner.alias("leader"), spans.alias("spans"), nothing.alias("leader_spans"))
+    # of two similar patterns, a document of each
+    one = F.col("of_low")
+    other = F.when(F.col("low") != one, F.col("low")).otherwise(F.col("high"))
+    across = pairs.select(F.when(other != one, one).otherwise(F.col("of_high")).alias("doc"), other.alias("leader")).distinct()
+    across = across.select("doc", "leader", nothing.alias("spans"), nothing.alias("leader_spans"))
+    return stored(own.union(across).filter("doc != leader"), "open_links")
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """``doc, leader, seeds``: windows of one signature, each beside the leader of its group."""
     windows = docs.mapInArrow(_windows, WINDOWS)
     # links made in a map task need no meeting: they go to any task
     spread = F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "place"))
     met = windows.withColumn("to", spread).repartition("to").drop("to").sortWithinPartitions("key", "doc", "place")
     pairs = met.mapInArrow(_lead, LINKS).groupBy("doc", "leader").agg(F.collect_list(F.struct("group", "place", "leader_place")).alias("seeds"))
-    pairs = stored(pairs, "pairs")
-    release(docs.sparkSession)
-    # further windows of a leading document are compared with none here: their groups stay open
-    verified = stored(_beside(pairs.filter("doc != leader"), docs, "seeds").mapInArrow(_verify, VERIFIED), "verified")
-    release(docs.sparkSession)
-    found = verified.filter(F.size("spans") > 0).drop("failed")
+    return stored(pairs, "pairs")
+
+
+def _open_members(pairs: DataFrame, verified: DataFrame) -> DataFrame:
+    """``doc, place`` of all windows of groups that stay open."""
     seeds = pairs.select("doc", "leader", F.explode("seeds").alias("s")).select("doc", "leader", "s.*")
     failed = verified.select(F.explode("failed").alias("group")).union(seeds.filter("doc = leader").select("group")).distinct()
     seeds = seeds.join(failed, "group", "left_semi")
-    members = seeds.select("doc", "place").union(seeds.select(F.col("leader").alias("doc"), F.col("leader_place").alias("place"))).distinct()
-    return found.union(_left_open(docs, found, members))
+    return seeds.select("doc", "place").union(seeds.select(F.col("leader").alias("doc"), F.col("leader_place").alias("place"))).distinct()
+
+
+def passage_links(docs: DataFrame) -> DataFrame:
+    """``doc, leader, spans, leader_spans`` for pairs of documents with a passage in common.
+
+    ``spans`` are those of ``doc`` in it, ``leader_spans`` those of ``leader`` unless its own rows
+    name them.  Each step leaves a stored table and nothing else, so that the shuffles of the steps
+    before can go.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    pairs = _pairs(docs)
+    release(spark)
+    # further windows of a leading document are compared with none here: their groups stay open
+    verified = stored(_beside(pairs.filter("doc != leader"), docs, "seeds").mapInArrow(_verify, VERIFIED), "verified")
+    release(spark)
+    found = verified.filter(F.size("spans") > 0).drop("failed")
+    return found.union(_left_open(docs, found, _open_members(pairs, verified)))
 
 
 def _joined(spans: Column) -> Column:
