@@ -134,7 +134,7 @@ def _segments(path: str, end_id: int, segment: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in batches:
-            encoded = encoder.encode(batch.column(1).to_pylist())
+            encoded = encoder.encode(text.as_py() for text in batch.column(1))
             for doc_id, own in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 own = np.append(own, np.uint32(end_id))
                 ids.append(own)

@@ -7,15 +7,17 @@ encoded again.  The library encodes every new piece; tests compare whole texts w
 
 from __future__ import annotations
 
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES = 600_000  # cached words or pre-tokens; a cache is emptied when it is full
-BATCH = 1 << 24  # bytes of text that are cut into words at a time
+PIECES = 600_000  # cached pre-tokens; a cache is emptied when it is full
+CACHE = 48 << 20  # bytes of cached words and their ids, as Python holds them
+BATCH = 4 << 20  # bytes of text that are cut into words at a time
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,7 +39,10 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     ends = np.cumsum(lengths)
     if not len(ends):
         return flat[:0]
-    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+    kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
+    places = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    places += np.arange(ends[-1], dtype=kind)
+    return flat[places]
 
 
 class WordEncoder:
@@ -45,7 +50,9 @@ class WordEncoder:
 
     A batch of texts is cut into chunks between ASCII white space and each distinct chunk is
     looked up once.  Sentence marks at the end of a chunk are pieces of their own (the
-    pre-tokenizer cuts between letters and marks), so most new chunks are known words.
+    pre-tokenizer cuts between letters and marks), so most new chunks are known words.  That
+    goes for the normalized text: a letter that becomes a letter and a combining mark does not
+    end before the sentence mark behind it.
     """
 
     _MARKS = ".,;:!?"
@@ -55,6 +62,7 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._pieces: dict[str, bytes] = {}
+        self._held = 0
         self._letters = byte_alphabet()
 
     def _encode(self, piece: str) -> bytes:
@@ -67,9 +75,11 @@ class WordEncoder:
             else:
                 ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
             found = array("I", ids).tobytes()
-            if len(self._pieces) >= PIECES:
+            if self._held >= CACHE:
                 self._pieces.clear()
+                self._held = 0
             self._pieces[piece] = found
+            self._held += sys.getsizeof(piece) + sys.getsizeof(found) + 100  # and its place in the table
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -77,10 +87,16 @@ class WordEncoder:
         if found is not None:
             return found
         stem = chunk.rstrip(self._MARKS)
-        if len(stem) < len(chunk) and stem and stem[-1].isalpha():
+        if len(stem) < len(chunk) and stem and self._ends_with_letter(stem):
             return self._encode(stem) + self._encode(chunk[len(stem) :])
         return self._encode(chunk)
 
+    def _ends_with_letter(self, stem: str) -> bool:
+        """Whether the normal form of ``stem`` does; ASCII letters stay letters."""
+        if stem[-1] < "\x80":
+            return stem[-1].isalpha()
+        return self._tokenizer.normalizer.normalize_str(stem)[-1:].isalpha()
+
     @staticmethod
     def _lower(text: str) -> bytes:
         """ASCII letters may be lower-cased first where no special token is spelled and no
@@ -100,13 +116,18 @@ class WordEncoder:
         ids = ragged(np.frombuffer(b"".join(known), np.uint32), starts[place], sizes)
         return ids, np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; null counts as empty."""
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty.  Texts are taken in as they are needed."""
         held, size = [], 0
-        for i, text in enumerate(texts):
+        for text in texts:
             held.append(self._lower(text or ""))
             size += len(held[-1])
-            if size >= BATCH or i == len(texts) - 1:
-                ids, bounds = self._together(held)
-                yield from np.split(ids, bounds[1:-1])
+            if size >= BATCH:
+                yield from self._split(held)
                 held, size = [], 0
+        if held:
+            yield from self._split(held)
+
+    def _split(self, texts: list[bytes]) -> list[np.ndarray]:
+        ids, bounds = self._together(texts)
+        return np.split(ids, bounds[1:-1])

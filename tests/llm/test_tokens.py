@@ -26,6 +26,17 @@ def test_pieces_equal_the_whole(text):
     assert int(pieces.cut(text)[1].sum()) == len(whole_bytes.encode(text, add_special_tokens=False).ids)
 
 
+def test_letters_that_normalize_to_more_than_a_letter():
+    """A letter and a mark behind it, for every letter whose normal form does not end with one."""
+    normal = whole_words.normalizer.normalize_str
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha() and not normal(c)[-1:].isalpha()]
+    assert "\u0130" in letters and "\u095c" in letters and len(letters) > 50
+    texts = [f"a{c}{mark} b" for c in letters for mark in (".", ",", "!?")]
+    got = [ids.tolist() for ids in encoder.encode(texts)]
+    assert got == [e.ids for e in whole_words.encode_batch(texts, add_special_tokens=False)]
+    assert pieces.cut("GELD\u0130.")[1].sum() == len(whole_bytes.encode("GELD\u0130.", add_special_tokens=False).ids)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from([0, 1, 255, 256, 49407, 65535, 65536, 2**24, 2**32 - 1]), max_size=1500), st.data())
 def test_code_gives_any_token(ids, data):
