@@ -1,10 +1,11 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its content.  The ledger, a folder of
-two Parquet tables, remembers which path versions there are (``versions``) and, per scan of a
-blob, the rule versions it was scanned with and what they found (``scans``).  A scan reads the
-given contents, keeps one of each blob, and runs only the pairs of blob and rule version that
-the ledger lacks; findings join back to all paths by blob.
+two Parquet tables, remembers which path versions there are (``versions``: a path, a blob, and how
+often one scan gave this pair) and, per scan of a blob, the rule versions it was scanned with and
+what each of them found (``scans``).  A scan reads the given contents, keeps one of each blob, and
+runs only the pairs of blob and rule version that the ledger lacks; findings join back to all paths
+by blob.  A span names the rule version that found it, and only those of current rules count.
 
 A rule is a Java regular expression.  Places come from the expression alone: the pieces between
 the matches and the matches themselves add up to code-point offsets, so no Python is needed.
@@ -12,8 +13,9 @@ Matches of a rule are leftmost and do not overlap; one whose checked group is to
 dropped after it has used up its text.
 
 Defined cases: a null content is empty; blobs without findings are in the ledger all the same;
-repeated rows are paths of their own; a null path has its findings like any other; empty tables
-add nothing; other columns are not read.
+rows that one scan repeats have their findings as often, a row that a later scan repeats is the
+same version; a null path has its findings like any other; empty tables add nothing; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -53,10 +55,12 @@ RULES = (
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
 )
 
-SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
+COPIES = 10_000  # copies of a version that one row of the ledger counts at most
 
+SPAN = "struct<start:bigint,end:bigint,kind:string,version:int>"
 
-def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
+
+def rule_spans(text: Column, rule: Rule) -> Column:
     """The spans of a rule in a text, as an array in text order."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
@@ -70,8 +74,8 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
             F.when(
                 F.length(p["c"]) >= rule.least,
                 F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + F.length(p["gap"])).alias("start"), F.lit(rank).alias("rank"),
-                    (acc["at"] + F.length(p["gap"]) + F.length(p["m"])).alias("end"), F.lit(rule.kind).alias("kind"),
+                    (acc["at"] + F.length(p["gap"])).alias("start"), (acc["at"] + F.length(p["gap"]) + F.length(p["m"])).alias("end"),
+                    F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"),
                 ))),
             ).otherwise(acc["spans"]).alias("spans"),
         ),
@@ -93,7 +97,8 @@ class Ledger:
         return self._spark.read.schema(schema).parquet(f"{self._path}/{name}")
 
     def versions(self) -> DataFrame:
-        return self._read("versions", "path bigint, blob string")
+        """``path, blob, copies``; a scan adds the copies of a version that the ledger did not know yet."""
+        return self._read("versions", "path bigint, blob string, copies bigint")
 
     def scans(self) -> DataFrame:
         return self._read("scans", f"blob string, rules array<string>, spans array<{SPAN}>")
@@ -102,8 +107,8 @@ class Ledger:
         """Record the versions ``path, content`` and scan what is unseen of them.
 
         Copies of a blob are combined before the shuffle, so a blob that a third of all paths
-        hold costs one row per task.  A scan that is repeated after a failure adds nothing twice
-        to the findings: those are sets.
+        hold costs one row per task.  A scan that is repeated, after a failure or for no reason, adds
+        nothing: pairs of blob and rule version and versions that the ledger holds are left out.
         """
         text = F.coalesce("content", F.lit(""))
         named = contents.select(F.col("path").cast("bigint"), text.alias("content")).withColumn("blob", F.sha2(F.encode("content", "UTF-8"), 256))
@@ -115,23 +120,30 @@ class Ledger:
             "rules", F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
         ).filter(F.size("rules") > 0)
         nothing = F.array().cast(f"array<{SPAN}>")
-        spans = [
-            F.when(F.array_contains("rules", r.key), rule_spans(F.col("content"), r, rank)).otherwise(nothing)
-            for rank, r in enumerate(self._rules)
-        ]
+        spans = [F.when(F.array_contains("rules", r.key), rule_spans(F.col("content"), r)).otherwise(nothing) for r in self._rules]
         scanned = open_.select("blob", "rules", F.concat(*spans).alias("spans"))
         scanned.write.mode("append").parquet(f"{self._path}/scans")
-        named.select("path", "blob").write.mode("append").parquet(f"{self._path}/versions")
+        given = named.groupBy("path", "blob").agg(F.count("*").alias("given"))
+        known = self.versions().groupBy(F.col("path").alias("_path"), F.col("blob").alias("_blob")).agg(F.sum("copies").alias("known"))
+        same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob"))
+        more = (F.col("given") - F.coalesce("known", F.lit(0))).alias("copies")
+        added = given.join(known, same, "left").select("path", "blob", more).filter("copies > 0")
+        parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint")), lambda at: F.least(F.lit(COPIES).cast("bigint"), F.col("copies") - at))
+        added = added.select("path", "blob", F.explode(parts).alias("copies"))
+        added.write.mode("append").parquet(f"{self._path}/versions")
 
     def findings(self) -> DataFrame:
-        """``path, blob, spans`` of every version, the spans of the current rules in text order."""
-        keys = [F.lit(r.key) for r in self._rules]
-        current = F.arrays_overlap("rules", F.array(*keys))
+        """``path, blob, spans`` of every version, the spans of the current rules in text order, then
+        in that of the rules."""
+        keys = F.array(*[F.lit(r.key) for r in self._rules])
         kinds = F.array(*[F.lit(r.kind) for r in self._rules])
+        current = F.arrays_overlap("rules", keys)
         per_blob = self.scans().filter(current).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        ordered = F.array_sort(F.array_distinct(F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))))
-        found = per_blob.select(F.col("blob").alias("of"), ordered.alias("spans"))
-        return self.versions().join(found, F.col("blob") == F.col("of")).select("path", "blob", "spans")
+        own = F.filter("spans", lambda s: F.array_contains(keys, F.concat_ws("@", s["kind"], s["version"].cast("string"))))
+        ranked = F.transform(own, lambda s: F.struct(s["start"], (F.array_position(kinds, s["kind"]) - 1).alias("rank"), s["end"], s["kind"]))
+        found = per_blob.select(F.col("blob").alias("of"), F.array_sort(F.array_distinct(ranked)).alias("spans"))
+        joined = self.versions().join(found, F.col("blob") == F.col("of"))
+        return joined.select("path", "blob", "spans", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copy")
 
 
 def spelled(spans: Column) -> Column:

@@ -63,5 +63,36 @@ def test_ledger_scans_what_is_new(spark):
     assert spelled == {(1, "assign:0:23"), (2, "assign:0:23"), (4, "assign:0:23"), (3, "hex:0:16"), (5, "hex:0:17")}
 
 
+def spelled(ledger):
+    return sorted(tuple(r) for r in ledger.findings().select("path", secrets.spelled(secrets.F.col("spans"))).collect())
+
+
+def test_a_scan_that_is_repeated_adds_nothing(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "COPIES", 2)
+    ledger = secrets.Ledger(spark, scratch_path(spark, "ledger"), secrets.BASE)
+    rows = [(1, "deadbeefdeadbeef"), (2, "deadbeefdeadbeef"), (3, "nothing"), *[(4, "AKIAABCDEFGHIJKLMN1")] * 5, (None, "deadbeefdeadbeef"), (None, None)]
+    contents = spark.createDataFrame(rows, "path bigint, content string")
+    ledger.scan(contents)
+    once = sorted(map(repr, ledger.findings().collect()))
+    assert len(once) == len(rows)
+    ledger.scan(contents)
+    ledger.scan(contents.limit(3))
+    assert sorted(map(repr, ledger.findings().collect())) == once
+    ledger.scan(spark.createDataFrame([(1, "deadbeefdeadbeef0"), *[(4, "AKIAABCDEFGHIJKLMN1")] * 6], "path bigint, content string"))
+    assert len(ledger.findings().collect()) == len(rows) + 2  # a new version of path 1, one copy more of path 4
+
+
+def test_findings_of_retired_rules_go(spark):
+    path = scratch_path(spark, "ledger")
+    contents = spark.createDataFrame([(1, "deadbeefdeadbeef token=abcdefghijkl"), (2, "0123456789abcdef0123")], "path bigint, content string")
+    secrets.Ledger(spark, path, secrets.BASE).scan(contents)
+    longer = secrets.Rule("hex", 2, "[0-9a-f]{20,}")
+    ledger = secrets.Ledger(spark, path, (longer, secrets.BASE[0]))
+    assert spelled(ledger) == [(1, "assign:17:35"), (2, "")]  # of hex@2 nothing was scanned yet
+    ledger.scan(contents)
+    assert spelled(ledger) == [(1, "assign:17:35"), (2, "hex:0:20")]
+    assert spelled(secrets.Ledger(spark, path, secrets.BASE)) == [(1, "hex:0:16,assign:17:35"), (2, "hex:0:20")]
+
+
 def test_empty(none):
     assert found(none) == []
