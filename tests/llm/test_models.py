@@ -65,6 +65,30 @@ def test_finds_what_brute_force_finds():
             assert distance_in(decontaminate.normalize(dict(items)[i]), text[start:end]) == d
 
 
+def test_distance_is_the_smallest_of_repetitive_items():
+    rng = random.Random(8)
+    for _ in range(400):
+        unit = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 6)))
+        item = decontaminate.normalize((unit * 60)[: rng.randrange(30, 120)])
+        if len(item) < decontaminate.SHORTEST:
+            continue
+        parts = [edited(rng, item, rng.randrange(0, 7)) for _ in range(rng.randrange(1, 4))]
+        text = decontaminate.normalize("".join(parts) if rng.random() < 0.5 else " xyz ".join(parts))
+        best = distance_in(item, text)
+        got = decontaminate.Matcher([(1, item)]).find(text)
+        assert [(g[0], g[1]) for g in got] == ([(1, best)] if best <= len(item) // decontaminate.PER_EDIT else [])
+        for _, d, start, end, _ in got:
+            assert distance_in(item, text[start:end]) == d
+
+
+def test_items_without_an_id(spark, edge):
+    item = "Rows that repeat are units  of their OWN, whatever is in them, and"
+    benchmark = spark.createDataFrame([(None, item), (1, item), (None, item)], BENCHMARK)
+    got = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(edge, benchmark).collect()]
+    assert sorted(got, key=repr) == [(5, 1, 0)] * 2 + [(5, None, 0)] * 4
+    assert decontaminate.drop_leaks(edge, benchmark).count() == 9
+
+
 def test_given_leaks(spark, small):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r.item_id, decontaminate.normalize(r.text)) for r in benchmark.collect()]
