@@ -394,7 +394,7 @@ def _open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _held_batch(found)
 
 
-PATTERNS = "p bigint, q bigint, doc bigint, starts array<bigint>, n int, shared array<bigint>, firsts array<bigint>"
+PATTERNS = "p bigint, q bigint, doc bigint, class bigint, starts array<bigint>, n int, shared array<bigint>, firsts array<bigint>"
 
 
 def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.ndarray):
@@ -438,19 +438,19 @@ def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
-    types = [pa.int64(), pa.int64(), pa.int64(), longs, pa.int32(), longs, longs]
+    types = [pa.int64()] * 4 + [longs, pa.int32(), longs, longs]
     for batch in batches:
         rows, seen = [], set()
-        offsets = batch.column(3).offsets.to_numpy()
-        shared, n_docs = (batch.column(3).values.field(n).to_numpy(zero_copy_only=False) for n in ("shingle", "n"))
-        for i, (doc, places, text) in enumerate(zip(batch.column(0).to_pylist(), _places(batch, 1), batch.column(2), strict=True)):
+        offsets = batch.column(4).offsets.to_numpy()
+        shared, n_docs = (batch.column(4).values.field(n).to_numpy(zero_copy_only=False) for n in ("shingle", "n"))
+        for i, (doc, own_class, places, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _places(batch, 2), batch.column(3), strict=True)):
             side, own = Shingled(text.as_py()), slice(offsets[i], offsets[i + 1])
             starts = np.flatnonzero(_reach(max(len(side.values) - _WINDOW + 1, 0), places, _WINDOW))
             if not len(starts):
                 continue
             for p, q, windows, n, held, firsts in patterns(side, starts, shared[own], n_docs[own]):
                 # the shingles of a pattern go out once a batch
-                rows.append((p, q, doc, windows, n, None, None) if (p, q) in seen else (p, q, doc, windows, n, held, firsts))
+                rows.append((p, q, doc, own_class, windows, n, *((None, None) if (p, q) in seen else (held, firsts))))
                 seen.add((p, q))
         columns = zip(*rows, strict=True) if rows else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PATTERNS.split(", ")])
@@ -461,19 +461,30 @@ def _similar(common: Column, n: Column, other: Column) -> Column:
 
 
 def _pattern_pairs(kinds: DataFrame) -> DataFrame:
-    """``p, q, low, high``: every pattern that is similar to some, once for each, with the smallest and
-    the largest document of that one."""
-    listed = kinds.select("p", "q", F.explode("firsts").alias("shingle"))
-    others = listed.select(F.col("p").alias("p2"), F.col("q").alias("q2"), "shingle")
-    met = listed.join(others, "shingle").filter("p < p2 OR (p = p2 AND q < q2)").select("p", "q", "p2", "q2").distinct()
-    sides = kinds.select("p", "q", "n", "shared", "low", "high")
-    both = met.join(sides, ["p", "q"]).join(sides.toDF("p2", "q2", "n2", "shared2", "low2", "high2"), ["p2", "q2"])
-    one_doc = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
-    alike = both.filter(~one_doc & _similar(F.size(F.array_intersect("shared", "shared2")), F.col("n"), F.col("n2")))
-    own = kinds.filter((F.col("low") != F.col("high")) & _similar(F.size("shared"), F.col("n"), F.col("n")))
-    ahead = alike.select("p", "q", F.col("low2").alias("low"), F.col("high2").alias("high"), F.col("low").alias("of_low"), F.col("high").alias("of_high"))
-    back = alike.select(F.col("p2").alias("p"), F.col("q2").alias("q"), "low", "high", F.col("low2").alias("of_low"), F.col("high2").alias("of_high"))
-    return ahead.union(back).union(own.select("p", "q", "low", "high", F.col("low").alias("of_low"), F.col("high").alias("of_high")))
+    """``p, q, low, high, of_low, of_high``: every pattern beside each one it is similar to, with the
+    smallest and the largest document of that one and of its own.
+
+    Patterns that only one class holds are linked by it already, with themselves and each other.
+    """
+    within = F.struct("low", "high")
+    several = F.col("class_low") != F.col("class_high")
+    # patterns of one class are met together; one that several classes hold is on its own
+    cell = F.when(several, F.concat_ws(":", F.col("p").cast("string"), F.col("q").cast("string"))).otherwise(F.col("class_low").cast("string"))
+    listed = kinds.select("p", "q", within.alias("in"), cell.alias("cell"), F.explode("firsts").alias("shingle"))
+    cells = listed.select("shingle", "cell").distinct()
+    beside = cells.join(cells.toDF("shingle", "cell2"), "shingle").filter("cell < cell2")
+    met = beside.join(listed, ["shingle", "cell"]).join(listed.toDF("p2", "q2", "in2", "cell2", "shingle"), ["shingle", "cell2"])
+    met = met.select("p", "q", "p2", "q2", "in", "in2").distinct()
+    sides = kinds.select("p", "q", "n", "shared")
+    both = met.join(sides, ["p", "q"]).join(sides.toDF("p2", "q2", "n2", "shared2"), ["p2", "q2"])
+    alike = both.filter(_similar(F.size(F.array_intersect("shared", "shared2")), F.col("n"), F.col("n2")))
+    alike = stored(alike.select("p", "q", "in", "p2", "q2", "in2"), "alike")
+    own = kinds.filter(several & _similar(F.size("shared"), F.col("n"), F.col("n")))
+    sides = [alike.select("p", "q", "in2", "in"), alike.select("p2", "q2", "in", "in2"), own.select("p", "q", within, within)]
+    sides = [side.toDF("p", "q", "with", "of") for side in sides]
+    return sides[0].union(sides[1]).union(sides[2]).select(
+        "p", "q", "with.low", "with.high", F.col("of.low").alias("of_low"), F.col("of.high").alias("of_high")
+    )
 
 
 def _open_texts(docs: DataFrame, found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -482,16 +493,16 @@ def _open_texts(docs: DataFrame, found: DataFrame, members: DataFrame) -> tuple[
     spots = members.groupBy("doc").agg(F.collect_set((F.col("place") / 8).cast("bigint")).alias("places"))
     spots = spots.join(classes, F.col("doc") == F.col("node"), "left").select("doc", "places", F.coalesce("root", "doc").alias("class"))
     spots = stored(spots, "open_places")
-    return spots, stored(spots.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "places", "text"), "open_texts")
+    return spots, stored(spots.join(docs, F.col("doc") == F.col("doc_id")).select("doc", "class", "places", "text"), "open_texts")
 
 
 def _open_patterns(spots: DataFrame, texts: DataFrame) -> DataFrame:
     """The patterns of every document's open windows."""
-    held = stored(texts.mapInArrow(_open_shingles, HELD).distinct().join(spots.select("doc", "class"), "doc"), "open_shingles")
+    held = stored(texts.select("doc", "places", "text").mapInArrow(_open_shingles, HELD).distinct().join(spots.select("doc", "class"), "doc"), "open_shingles")
     # a shingle of one class alone links nothing
     shared = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b")
     known = held.join(shared.select("shingle", "n"), "shingle").groupBy("doc").agg(F.collect_list(F.struct("shingle", "n")).alias("shared"))
-    return stored(texts.join(known, "doc").select("doc", "places", "text", "shared").mapInArrow(_patterns, PATTERNS), "open_patterns")
+    return stored(texts.join(known, "doc").select("doc", "class", "places", "text", "shared").mapInArrow(_patterns, PATTERNS), "open_patterns")
 
 
 def _left_open(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
@@ -508,7 +519,7 @@ def _left_open(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFra
     release(docs.sparkSession)
     kinds = rows.groupBy("p", "q").agg(
         F.any_value("n").alias("n"), F.any_value("shared", True).alias("shared"), F.any_value("firsts", True).alias("firsts"),
-        F.min("doc").alias("low"), F.max("doc").alias("high"),
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("class").alias("class_low"), F.max("class").alias("class_high"),
     )
     pairs = stored(_pattern_pairs(stored(kinds, "patterns")), "pattern_pairs")
     release(docs.sparkSession)

@@ -133,6 +133,34 @@ def passage_classes(rows):
     return classes({x for p in links for x in p}, links)
 
 
+def any_similar_windows(a, b, width=46):
+    """Whether any two windows of two documents are similar, whatever their places."""
+
+    def candidates(one, other):
+        held, sets = set(other), {frozenset(one[i : i + width]) for i in range(len(one) - width + 1)}
+        return [w for w in sets if len(w & held) >= 0.8 * len(w)]
+
+    mine = candidates(a, b)
+    its = candidates(b, a) if mine else []
+    return any((n := len(x & y)) >= 0.8 * (len(x) + len(y) - n) for x in mine for y in its)
+
+
+def test_recall_against_every_pair_of_windows(small):
+    """No window is left out here, nor any document compared by a diagonal."""
+    parts = {r.doc_id: shingle_list(r.text) for r in small.collect()}
+    holds = defaultdict(set)
+    for d, s in parts.items():
+        for x in s:
+            holds[x].add(d)
+    near = {p for v in holds.values() for p in itertools.combinations(sorted(v), 2)}
+    links = [p for p in near if any_similar_windows(parts[p[0]], parts[p[1]])]
+    want = classes(parts, links)
+    got = {r.doc_id: r.class_id for r in passages.document_classes(small).collect()}
+    assert len(links) > 20
+    assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    assert all(want[a] == want[b] for a, b in got.items())  # nothing is linked that is not similar
+
+
 def test_passages_equal_brute_force(small):
     want = passage_classes([(r.doc_id, r.text) for r in small.collect()])
     got = {r.doc_id: r.class_id for r in passages.repeated_passages(small).collect()}
