@@ -7,7 +7,9 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import stored
+
+__all__ = ["BLANKS", "GAP", "packed", "release", "stored", "table", "word_count", "words"]
 
 # Fixed by the contracts: white space is blank, tab, \n, \v, \f and \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
-
-    Cuts the lineage at a table that survives a lost executor; later plans read only the
-    columns they need.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans now.
 
