@@ -240,7 +240,7 @@ CTES = {
                                 FROM history GROUP BY api_number) WHERE rn <= {TOP_WELLS}""",
     "entities": """
         SELECT 'well' AS entity_type, api_number AS entity_id, qi, di, b
-        FROM parameters WHERE api_number IN (SELECT api_number FROM top_decline)
+        FROM parameters
         UNION ALL SELECT 'operator', operator, SUM(qi), any_value(di), any_value(b) FROM parameters GROUP BY operator
         UNION ALL SELECT 'basin', shale_play, SUM(qi), any_value(di), any_value(b) FROM parameters GROUP BY shale_play""",
     "fits": """
@@ -873,10 +873,18 @@ _TEXTS = {
         CAST(last_day + to_months(CAST(step AS INTEGER)) AS DATE) AS forecast_day
         FROM (SELECT l_suppkey, CAST(max(l_shipdate) AS DATE) AS last_day FROM lineitem GROUP BY l_suppkey)
         CROSS JOIN (SELECT unnest(range(1, 25)) AS step)""",
-    "forecast_wells": rounded("SELECT * FROM forecast WHERE entity_type = 'well'", _FORECAST),
+    "forecast_wells": rounded("SELECT * FROM forecast WHERE entity_type = 'well' AND entity_id IN (SELECT api_number FROM top_decline)", _FORECAST),
     "forecast_operators": rounded("SELECT * FROM forecast WHERE entity_type = 'operator'", _FORECAST),
     "forecast_plays": rounded("SELECT * FROM forecast WHERE entity_type = 'basin'", _FORECAST),
     "forecast_table": rounded("SELECT * FROM forecast", _FORECAST),
+    "forecast_table_gaps": rounded("SELECT * FROM forecast", _FORECAST),
+    "arps_fit_gaps": rounded(
+        """SELECT entity_type, entity_id, CAST((SELECT COUNT(*) FROM months WHERE t % 12 <> 3) AS INTEGER) AS months,
+                  g AS oil_and_gas_group, model, CASE g WHEN 'O' THEN qi ELSE 4 * qi END AS qi, di, b,
+                  CAST(1 AS DOUBLE) AS r2
+           FROM fits CROSS JOIN (SELECT unnest(['O', 'G']) AS g)""",
+        "qi di b r2",
+    ),
     "forecast_entity": rounded(
         f"""SELECT * FROM forecast WHERE entity_id = '{OPERATOR}'
             QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_type, entity_id ORDER BY forecast_month) <= 12""",
@@ -952,6 +960,16 @@ _TEXTS = {
            ON f.api_number = v.api_number AND f.production_month >= v.valid_from""",
         "production rate",
     ),
+    "enrich_production_asof": rounded(
+        """SELECT f.api_number, COALESCE(f.well_name, v.well_name) AS well_name, operator, production_month,
+                  CAST(year(production_month) AS INTEGER) AS production_year, 'Q' || CAST(quarter(production_month) AS VARCHAR) AS production_quarter,
+                  oil_and_gas_group, production, shale_play, basin, v.rate AS well_length_ft
+           FROM silver_facts f ASOF LEFT JOIN (
+               SELECT CAST(o_custkey AS VARCHAR) AS api_number, CAST(o_orderdate AS DATE) AS valid_from, 'Well ' || o_orderpriority AS well_name, o_totalprice AS rate
+               FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderpriority DESC, o_totalprice DESC) = 1) v
+           ON f.api_number = v.api_number AND f.production_month >= v.valid_from""",
+        "production well_length_ft",
+    ),
     "ownership_overlap": rounded(
         """SELECT o.api_number, owned_from, owned_to, rate, reports_from, reports_to FROM (
                SELECT CAST(o_custkey AS VARCHAR) AS api_number, CAST(o_orderdate AS DATE) AS owned_from, MAX(o_totalprice) AS rate,

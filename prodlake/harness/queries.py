@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {}
 DECIMALS = 4
 ETHANE_THRESHOLD = 1.0  # the supplied tables hold about as much oil as gas
 OPERATOR, PLAY, WELL = "NATION_8", "EUROPE", "8"
-TOP_WELLS = 100  # of the forecast reports
+TOP_WELLS = 100  # of the queries whose feature it is: top_wells and forecast_wells
 DI_GRID = [i / 100 for i in range(1, 16)]
 B_GRID = [i / 10 for i in range(11)]
 
@@ -539,8 +539,8 @@ def r2_histogram(spark, sf_dir):
     return portfolio.r2_histogram(scores)
 
 
-def _decline_panel(spark, sf_dir, top_n: int | None = TOP_WELLS):
-    return forecast.entity_panel(bind.decline_production(spark, sf_dir), top_n)
+def _decline_panel(spark, sf_dir):
+    return forecast.entity_panel(bind.decline_production(spark, sf_dir))
 
 
 def _decline_fits(spark, sf_dir):
@@ -671,7 +671,7 @@ def forecast_calendar(spark, sf_dir):
 
 
 def _forecast(spark, sf_dir):
-    return forecast.forecast_table(bind.decline_production(spark, sf_dir), top_n=TOP_WELLS)
+    return forecast.forecast_table(bind.decline_production(spark, sf_dir))
 
 
 def _forecast_level(level: str) -> Query:
@@ -693,6 +693,19 @@ def forecast_entity(spark, sf_dir):
     return forecast.forecast_entities(panel, 12)
 
 
+@query
+def forecast_table_gaps(spark, sf_dir):
+    """The same future from series that lack every April: time goes by the calendar."""
+    reported = bind.decline_production(spark, sf_dir).filter(F.month("production_month") != 4)
+    return forecast.forecast_table(reported, calendar=True)
+
+
+@query
+def arps_fit_gaps(spark, sf_dir):
+    reported = bind.decline_production(spark, sf_dir).filter(F.month("production_month") != 4)
+    return forecast.arps_fit(forecast.fit_series(forecast.entity_series(forecast.entity_panel(reported), calendar=True)))
+
+
 over_kpi("forecast_band", _forecast, forecast.forecast_band)
 over_kpi("forecast_slice", _forecast, lambda f: portfolio.forecast_slice(f, "operator", OPERATOR))
 over_kpi("forecast_kpis", _forecast, portfolio.forecast_kpis)
@@ -977,6 +990,15 @@ def asof_metadata(spark, sf_dir):
     return temporal.asof_join(facts, _well_versions(spark, sf_dir), "api_number", "production_month", "valid_from", ["status", "rate"])
 
 
+@query
+def enrich_production_asof(spark, sf_dir):
+    """Production with the name and length of the well that were valid in its month."""
+    versions = _well_versions(spark, sf_dir).select(
+        "api_number", "valid_from", F.concat(F.lit("Well "), "status").alias("well_name"), F.col("rate").alias("well_length_ft")
+    )
+    return clean.enrich_production_asof(clean.clean_production(_raw_production(spark, sf_dir)), versions)
+
+
 @query
 def ownership_overlap(spark, sf_dir):
     """Periods of ownership (an order's date and the days its price makes, up to decades) against

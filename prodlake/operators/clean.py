@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prodlake import schemas
 from prodlake.functions import expr
+from prodlake.operators.temporal import asof_join
 
 PRODUCTION_KEY = ["api_number", "production_month", "oil_and_gas_group"]
 
@@ -101,10 +102,25 @@ def enrich_production(production: DataFrame, wells: DataFrame) -> DataFrame:
     metadata = wells.select(
         "api_number", F.col("well_name").alias("_metadata_name"), "well_length_ft"
     )
-    joined = (
-        production.join(metadata, "api_number", "left")
-        .withColumn("well_name", F.coalesce("well_name", "_metadata_name"))
+    return _with_calendar(production.join(metadata, "api_number", "left"))
+
+
+def enrich_production_asof(production: DataFrame, versions: DataFrame) -> DataFrame:
+    """``enrich_production`` with the metadata valid in the month of production.
+
+    ``versions`` holds api_number, valid_from, well_name and well_length_ft; a month before the
+    first version of a well has none.
+    """
+    known = versions.select("api_number", "valid_from", F.col("well_name").alias("_metadata_name"), "well_length_ft")
+    return _with_calendar(
+        asof_join(production, known, "api_number", "production_month", "valid_from", ["_metadata_name", "well_length_ft"])
+    )
+
+
+def _with_calendar(joined: DataFrame) -> DataFrame:
+    named = (
+        joined.withColumn("well_name", F.coalesce("well_name", "_metadata_name"))
         .withColumn("production_year", F.year("production_month"))
         .withColumn("production_quarter", expr.quarter_label("production_month"))
     )
-    return schemas.conform(joined, schemas.SILVER_PRODUCTION)
+    return schemas.conform(named, schemas.SILVER_PRODUCTION)

@@ -137,36 +137,41 @@ SERIES = ("shale_play", "oil_and_gas_group")
 MODES = ("row", "calendar")
 
 
-def previous_production(months: int, mode: str = "row", series: tuple[str, ...] = SERIES):
+def month_number(day: str = "production_month"):
+    """Months since the year 0; neighbouring months differ by one."""
+    return F.year(day) * 12 + F.month(day)
+
+
+def previous_production(months: int, mode: str = "row", series: tuple[str, ...] = SERIES, number=None):
     """``total_production`` that many months earlier in the same series.
 
     ``row`` takes the row so many places earlier, whatever its month.  ``calendar`` takes the
     total of exactly that month and null where the series has no row for it; dates inside a
-    month count for the month, a null date has no previous one.  Frames of all distances range over the
-    same month number, so they share one sort.
+    month count for the month, a null date has no previous one.  ``number`` names a column that
+    holds the month number: frames of all distances that range over it share one sort.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
     window = Window.partitionBy(*series)
     if mode == "row":
         return F.lag("total_production", months).over(window.orderBy("production_month"))
-    number = F.year("production_month") * 12 + F.month("production_month")
-    earlier = F.sum("total_production").over(window.orderBy(number).rangeBetween(-months, -months))
+    by_month = window.orderBy(month_number() if number is None else number)
+    earlier = F.sum("total_production").over(by_month.rangeBetween(-months, -months))
     return F.when(F.col("production_month").isNotNull(), earlier)
 
 
-def with_month_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES) -> DataFrame:
+def with_month_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES, number=None) -> DataFrame:
     """Growth against the month before, see ``previous_production``."""
-    previous = previous_production(1, mode, series)
+    previous = previous_production(1, mode, series, number)
     return monthly.withColumn("prev_month_production", previous).withColumn(
         "mom_growth_pct",
         expr.growth_pct(F.col("total_production"), F.col("prev_month_production")),
     )
 
 
-def with_year_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES) -> DataFrame:
+def with_year_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES, number=None) -> DataFrame:
     """Growth against the month twelve earlier, see ``previous_production``."""
-    previous = previous_production(12, mode, series)
+    previous = previous_production(12, mode, series, number)
     return (
         monthly.withColumn("_previous", previous)
         .withColumn("yoy_growth_pct", expr.growth_pct(F.col("total_production"), F.col("_previous")))
@@ -174,6 +179,13 @@ def with_year_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, .
     )
 
 
+def with_growth(monthly: DataFrame, mode: str = "row", series: tuple[str, ...] = SERIES) -> DataFrame:
+    """Growth against the month and the year before, with one sort for both."""
+    numbered = monthly.withColumn("_number", month_number())
+    both = with_year_growth(with_month_growth(numbered, mode, series, "_number"), mode, series, "_number")
+    return both.drop("_number")
+
+
 def with_month_rank(monthly: DataFrame) -> DataFrame:
     by_month = Window.partitionBy("production_month", "oil_and_gas_group")
     return monthly.withColumn(
@@ -187,7 +199,7 @@ def basin_production_trends(production: DataFrame, mode: str = "row") -> DataFra
     The windows run on aggregated rows: a partition holds one play's months or one
     month's plays.  Both lags share one sort.
     """
-    trends = with_month_rank(with_year_growth(with_month_growth(basin_monthly(production), mode), mode))
+    trends = with_month_rank(with_growth(basin_monthly(production), mode))
     return schemas.conform(trends, schemas.GOLD_BASIN_TRENDS)
 
 
@@ -195,7 +207,7 @@ def well_production_trends(production: DataFrame, mode: str = "calendar") -> Dat
     """Monthly totals per well and commodity with growth rates; wells skip months, so the mode matters."""
     series = ("api_number", "oil_and_gas_group")
     monthly = production.groupBy(*series, "production_month").agg(F.sum("production").alias("total_production"))
-    return with_year_growth(with_month_growth(monthly, mode, series), mode, series)
+    return with_growth(monthly, mode, series)
 
 
 # --- wells -------------------------------------------------------------------

@@ -27,6 +27,7 @@ from prodlake import schemas
 from prodlake.operators import clean, kpi
 from prodlake.plans import stages
 from prodlake.session import checkpoint_root, stored
+from prodlake.sources import feeds
 from prodlake.sources.tables import TablePaths, append_table, path_exists, scan_table, write_table, written_rows
 
 YEAR = "production_year"
@@ -133,6 +134,11 @@ def refresh(spark: SparkSession, paths: TablePaths) -> Refresh:
     return done
 
 
+def land(spark: SparkSession, raw_dir: str, paths: TablePaths) -> list[str]:
+    """Add the feed files of a folder that the raw tables do not hold yet; returns their names."""
+    return [path.rstrip("/").rsplit("/", 1)[-1] for feed, path in feeds.arrived(spark, raw_dir) if feeds.ingest_more(spark, feed, path, paths)]
+
+
 def _or_empty(spark: SparkSession, paths: TablePaths, table: str, schema) -> DataFrame:
     path = paths.of(table)
     return scan_table(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)

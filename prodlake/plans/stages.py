@@ -37,9 +37,16 @@ def _side_by_side(spark: SparkSession, jobs: dict[str, Callable[[], int]]) -> di
         return {name: future.result() for name, future in running.items()}
 
 
-def run_bronze(spark: SparkSession, paths: TablePaths, raw_dir: str) -> dict[str, int]:
-    """Land every feed whose file is present."""
+def run_bronze(
+    spark: SparkSession, paths: TablePaths, raw_dir: str, keep_broken: bool = False
+) -> dict[str, int]:
+    """Land every feed whose file is present; ``keep_broken`` lands lines with a wrong number of
+    fields in tables of their own instead of among the rows."""
     found = feeds.present(spark, raw_dir)
+    if keep_broken:
+        return {
+            table: rows for feed, path in found for table, rows in feeds.ingest_checked(spark, feed, path, paths).items()
+        }
     return _side_by_side(
         spark,
         {
@@ -133,7 +140,8 @@ def run_forecast(
 
 
 def run(
-    spark: SparkSession, raw_dir: str, root: str, stage: str = "all", top_wells: int | None = None
+    spark: SparkSession, raw_dir: str, root: str, stage: str = "all", top_wells: int | None = None,
+    keep_broken: bool = False,
 ) -> dict[str, int]:
     """Run one stage or all of them; returns rows per written table."""
     if stage != "all" and stage not in STAGES:
@@ -141,7 +149,7 @@ def run(
     checkpoint_root(spark)  # fail before any work if the cluster names no shared folder
     paths = TablePaths(root)
     jobs = {
-        "bronze": lambda: run_bronze(spark, paths, raw_dir),
+        "bronze": lambda: run_bronze(spark, paths, raw_dir, keep_broken),
         "silver": lambda: run_silver(spark, paths),
         "gold": lambda: run_gold(spark, paths),
         "forecast": lambda: run_forecast(spark, paths, top_n=top_wells),

@@ -75,6 +75,13 @@ def test_a_stage_runs_on_its_own_and_again(spark, root, raw_dir):
         stages.run(spark, raw_dir, root[0], "platinum")
 
 
+def test_broken_lines_do_not_reach_the_raw_table(spark, raw_dir, tmp_path):
+    for name in ("well_metadata.csv", "flaring.csv"):
+        (tmp_path / name).write_text(open(f"{raw_dir}/{name}").read() + "1,2,3,4\n")
+    counts = stages.run(spark, str(tmp_path), str(tmp_path / "tables"), "bronze", keep_broken=True)
+    assert counts == {"bronze_flaring": 3, "bronze_flaring_broken": 1, "bronze_well_metadata": 3, "bronze_well_metadata_broken": 1}
+
+
 def test_colliding_names_are_refused(spark):
     frame = spark.createDataFrame([(1, 2)], "`Well Name` int, well_name int")
     with pytest.raises(ValueError):
