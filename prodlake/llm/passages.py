@@ -397,9 +397,10 @@ def _open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 PATTERNS = "p bigint, q bigint, doc bigint, class bigint, starts array<bigint>, n int, shared array<bigint>, firsts array<bigint>"
 
 
-def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.ndarray):
-    """What the windows at ``starts`` have in common with other classes, one entry per pattern: its
-    128-bit name, its windows, its number of shingles, the shared ones and the first of these.
+def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.ndarray, known: set[tuple[int, int]]):
+    """What the windows at ``starts`` have in common with other classes: by the 128-bit name of a
+    pattern its windows, its number of shingles, and unless it is ``known`` the shared ones and the
+    first of these.
 
     A shingle that is not ``shared`` meets nothing, so all that matters of a window is which shared
     shingles it holds and how many shingles in all.  Of ``n`` shingles a similar window lacks at
@@ -414,7 +415,7 @@ def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.
     values = side.values.view(np.int64)
     place = by_value[np.minimum(np.searchsorted(by_rank[by_value], values), len(by_rank) - 1)]
     rank = np.where(by_rank[place] == values, place + 1, 0)
-    names = np.stack([_mix(side.values), _mix(side.values ^ _M1)], axis=1)
+    names = [_mix(side.values), _mix(side.values ^ _M1)]
     found: dict[tuple[int, int], list] = {}
     for part in np.array_split(starts, len(starts) // 4096 + 1):
         at = part[:, None] + np.arange(_WINDOW)
@@ -423,17 +424,24 @@ def patterns(side: Shingled, starts: np.ndarray, shared: np.ndarray, n_docs: np.
         first = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
         held = once & (rank[at] > 0)
         reach = first - (n - held.sum(axis=1))
-        for i in np.flatnonzero(reach > 0).tolist():
-            own = at[i][held[i]]
-            p, q = names[own].sum(axis=0, dtype=np.uint64).view(np.int64).tolist()
-            entry = found.get((p, q, int(n[i])))
-            if entry is None:
-                ranks = np.sort(rank[own])
-                found[p, q, int(n[i])] = [[int(part[i])], np.sort(values[own]), by_rank[ranks[: reach[i]] - 1]]
+        some = np.flatnonzero(reach > 0)
+        at, held, n, reach, part = at[some], held[some], n[some], reach[some], part[some]
+        # the number of shingles is part of the name
+        p, q = (np.where(held, name[at], np.uint64(0)).sum(axis=1, dtype=np.uint64).view(np.int64) for name in names)
+        p = p ^ n
+        order = np.lexsort((part, q, p))
+        new = np.flatnonzero(np.concatenate([[True], (p[order[1:]] != p[order[:-1]]) | (q[order[1:]] != q[order[:-1]])])) if len(order) else order
+        for group in np.split(order, new[1:]) if len(order) else ():
+            i = group[0]
+            name = int(p[i]), int(q[i])
+            if name in found:
+                found[name][0] = np.concatenate([found[name][0], part[group]])
+            elif name in known:
+                found[name] = [part[group], int(n[i]), None, None]
             else:
-                entry[0].append(int(part[i]))
-    # the number of shingles is part of the name
-    return [(p ^ n, q, windows, n, held, firsts) for (p, q, n), (windows, held, firsts) in found.items()]
+                own = at[i][held[i]]
+                found[name] = [part[group], int(n[i]), np.sort(values[own]), by_rank[np.sort(rank[own])[: reach[i]] - 1]]
+    return found
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,10 +456,10 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(_reach(max(len(side.values) - _WINDOW + 1, 0), places, _WINDOW))
             if not len(starts):
                 continue
-            for p, q, windows, n, held, firsts in patterns(side, starts, shared[own], n_docs[own]):
-                # the shingles of a pattern go out once a batch
-                rows.append((p, q, doc, own_class, windows, n, *((None, None) if (p, q) in seen else (held, firsts))))
-                seen.add((p, q))
+            # the shingles of a pattern go out once a batch
+            named = patterns(side, starts, shared[own], n_docs[own], seen)
+            rows += [(*name, doc, own_class, *entry) for name, entry in named.items()]
+            seen.update(named)
         columns = zip(*rows, strict=True) if rows else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PATTERNS.split(", ")])
 
@@ -465,8 +473,12 @@ def _pattern_pairs(kinds: DataFrame) -> DataFrame:
     smallest and the largest document of that one and of its own.
 
     Patterns that only one class holds are linked by it already, with themselves and each other.
+    A bit is set for every shared shingle: where too many bits differ, so do too many shingles, and
+    the shingles themselves need not be fetched.
     """
-    within = F.struct("low", "high")
+    bits = F.expr("aggregate(shared, 0L, (bits, x) -> bits | shiftleft(1L, CAST(x & 63 AS INT)))")
+    kinds = kinds.withColumn("m", F.size("shared")).withColumn("bits", bits)
+    within = F.struct("low", "high", "n", "m", "bits")
     several = F.col("class_low") != F.col("class_high")
     # patterns of one class are met together; one that several classes hold is on its own
     cell = F.when(several, F.concat_ws(":", F.col("p").cast("string"), F.col("q").cast("string"))).otherwise(F.col("class_low").cast("string"))
@@ -474,10 +486,14 @@ def _pattern_pairs(kinds: DataFrame) -> DataFrame:
     cells = listed.select("shingle", "cell").distinct()
     beside = cells.join(cells.toDF("shingle", "cell2"), "shingle").filter("cell < cell2")
     met = beside.join(listed, ["shingle", "cell"]).join(listed.toDF("p2", "q2", "in2", "cell2", "shingle"), ["shingle", "cell2"])
+    # the least number of shingles that similar sets of these sizes have in common
+    least = (F.col("in.n") + F.col("in2.n")) * (SIMILARITY / (1 + SIMILARITY))
+    differ = F.bit_count(F.col("in.bits").bitwiseXOR(F.col("in2.bits")))
+    met = met.filter(differ <= F.col("in.m") + F.col("in2.m") - 2 * least + 1e-6)
     met = met.select("p", "q", "p2", "q2", "in", "in2").distinct()
-    sides = kinds.select("p", "q", "n", "shared")
-    both = met.join(sides, ["p", "q"]).join(sides.toDF("p2", "q2", "n2", "shared2"), ["p2", "q2"])
-    alike = both.filter(_similar(F.size(F.array_intersect("shared", "shared2")), F.col("n"), F.col("n2")))
+    sides = kinds.select("p", "q", "shared")
+    both = met.join(sides, ["p", "q"]).join(sides.toDF("p2", "q2", "shared2"), ["p2", "q2"])
+    alike = both.filter(_similar(F.size(F.array_intersect("shared", "shared2")), F.col("in.n"), F.col("in2.n")))
     alike = stored(alike.select("p", "q", "in", "p2", "q2", "in2"), "alike")
     own = kinds.filter(several & _similar(F.size("shared"), F.col("n"), F.col("n")))
     sides = [alike.select("p", "q", "in2", "in"), alike.select("p2", "q2", "in", "in2"), own.select("p", "q", within, within)]
