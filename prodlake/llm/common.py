@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans now.
 
     They go when the driver's JVM collects its garbage, which may be long after the tables made
-    from them are stored; until then they hold the executors' disks.
+    from them are stored; until then they hold the executors' disks.  A plan is let go in two
+    steps (Python's handle first, then what the JVM kept behind it), so garbage is collected twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # handles are given back in the background
 
 
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
