@@ -7,6 +7,7 @@ the rows.  The text of the matching SQL is in ``oracles``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -899,15 +900,15 @@ def sketch_wells(spark, sf_dir):
         "operator_quarter": (F.col("operator"), quarter), "operator_year": (F.col("operator"), year),
         "play_year": (F.col("shale_play"), year), "all": (F.lit("all"), F.lit("all")),
     }
-    out = None
+    keys = ["level", "entity", "period"]
+    estimated, exact = [], []
     for level, (entity, period) in levels.items():
-        keys = [entity.alias("entity"), period.alias("period")]
-        estimated = sketches.estimates(sketches.roll_up(table, *keys), {}).select("entity", "period", F.col("wells").alias("estimate"))
-        exact = production.groupBy(*keys).agg(F.count_distinct("api_number").alias("wells"))
-        near = F.abs(F.col("estimate") - F.col("wells")) <= F.greatest(F.col("wells") * sketches.COUNT_ERROR, F.lit(1.0))
-        part = exact.join(estimated, ["entity", "period"]).select(F.lit(level).alias("level"), "entity", "period", "wells", near.alias("within"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        own = [F.lit(level).alias("level"), entity.alias("entity"), period.alias("period")]
+        estimated.append(sketches.estimates(sketches.roll_up(table, *own), {}).select(*keys, F.col("wells").alias("estimate")))
+        exact.append(production.groupBy(*own).agg(F.count_distinct("api_number").alias("wells")))
+    both = reduce(DataFrame.unionByName, exact).join(reduce(DataFrame.unionByName, estimated), keys)
+    near = F.abs(F.col("estimate") - F.col("wells")) <= F.greatest(F.col("wells") * sketches.COUNT_ERROR, F.lit(1.0))
+    return both.select(*keys, "wells", near.alias("within"))
 
 
 # --- reconciliation and broken lines -----------------------------------------------------
