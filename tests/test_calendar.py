@@ -125,3 +125,28 @@ def test_the_calendar_fit_is_as_good_as_the_grid(spark):
     grid = forecast.arps_grid_fit(series, "oil", [i / 100 for i in range(1, 16)], [i / 10 for i in range(11)]).select("entity_type", "entity_id", F.col("r2").alias("grid"))
     both = forecast.fit_series(series).join(grid, ["entity_type", "entity_id"]).select(F.col("oil_fit.r2").alias("r2"), "grid").collect()
     assert both and all(r.r2 >= r.grid - 1e-9 for r in both)
+
+
+def test_the_grid_is_laid_over_series_once_and_keeps_sql_rules(spark):
+    days = [month(n) for n in (0, 1, 3, 4, 7, 8)]
+    series = {
+        "hyper": [100 / (1 + 0.4 * 0.05 * t) ** (1 / 0.4) for t in (0, 1, 3, 4, 7, 8)],
+        "flat": [5.0] * 6, "blank": [None, 7.0, 6.0, None, 4.0, 0.0], "nan": [1.0, float("nan"), 2.0, 3.0, 4.0, 5.0],
+        "endless": [float("inf"), 3.0, 2.0, 2.0, 1.0, 1.0],
+    }
+    panel = spark.createDataFrame(
+        [("well", name, m, q, 0.0) for name, rates in series.items() for m, q in zip(days, rates, strict=True)],
+        "entity_type string, entity_id string, production_month date, oil_production double, gas_production double",
+    )
+    made = forecast.arps_grid_fit(
+        forecast.entity_series(panel, calendar=True), "oil", [i / 100 for i in range(1, 16)], [i / 10 for i in range(11)]
+    )
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan  # no loop over cells in expressions
+    got = {r.entity_id: r for r in made.collect()}
+    assert (got["hyper"].model, got["hyper"].b, got["hyper"].di) == ("hyperbolic", 0.4, 0.05) and abs(got["hyper"].r2 - 1) < 1e-12
+    assert got["flat"].r2 == 0.0
+    # null and zero rates count as the floor, the first of which limits qi
+    assert abs(got["blank"].qi - 0.01) < 1e-15
+    for name in ("nan", "endless"):
+        assert got[name].r2 != got[name].r2 and (got[name].b, got[name].di) == (0.0, 0.01)
