@@ -1,11 +1,14 @@
 """Growth and fits by the calendar, for series that skip months."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import fact, month, production, rows
 from prodlake.functions import fit
+from prodlake.harness import bindings as bind
 from prodlake.operators import forecast, kpi
 
 
@@ -150,3 +153,10 @@ def test_the_grid_is_laid_over_series_once_and_keeps_sql_rules(spark):
     assert abs(got["blank"].qi - 0.01) < 1e-15
     for name in ("nan", "endless"):
         assert got[name].r2 != got[name].r2 and (got[name].b, got[name].di) == (0.0, 0.01)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_no_task_makes_the_months_of_all_wells(spark):
+    made = bind.decline_production(spark, "/root/testdata/sf0.01")
+    of_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(of_task) > 1 and max(of_task) < 0.5 * sum(of_task)
