@@ -141,3 +141,16 @@ def test_the_facts_of_other_years_are_not_read(spark, tmp_path):
     touched = stages.silver_production(spark, load.paths).filter("production_year IN (2019)")
     plan = touched._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [production_year" in plan or "PartitionFilters: [isnotnull(production_year" in plan
+
+
+def test_rows_of_a_feed_file_are_not_dealt_by_their_file(spark, tmp_path):
+    load = Load(spark, tmp_path)
+    load.land("bronze_well_production", "synthetic_well_production.csv", FIRST)
+    load.land("bronze_well_production", "second.csv", SECOND)
+    files = refresh._unseen(spark, load.paths, "bronze_well_production").collect()
+    first = [f for f in files if f.source_file != "second.csv"]
+    for wanted, lines in ((files, len(FIRST) + len(SECOND)), (first, len(FIRST))):
+        found = refresh._new_rows(spark, load.paths, "bronze_well_production", wanted)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert found.count() == lines
