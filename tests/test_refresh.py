@@ -145,10 +145,10 @@ def test_the_facts_of_other_years_are_not_read(spark, tmp_path):
 
 def test_rows_of_a_feed_file_are_not_dealt_by_their_file(spark, tmp_path):
     load = Load(spark, tmp_path)
-    load.land("bronze_well_production", "synthetic_well_production.csv", FIRST)
-    load.land("bronze_well_production", "second.csv", SECOND)
+    load.land("bronze_well_production", "synthetic_well_production.csv", [HEADER, *FIRST])
+    load.land("bronze_well_production", "synthetic_well_production_2.csv", [HEADER, *SECOND])
     files = refresh._unseen(spark, load.paths, "bronze_well_production").collect()
-    first = [f for f in files if f.source_file != "second.csv"]
+    first = [f for f in files if f.source_file == "synthetic_well_production.csv"]
     for wanted, lines in ((files, len(FIRST) + len(SECOND)), (first, len(FIRST))):
         found = refresh._new_rows(spark, load.paths, "bronze_well_production", wanted)
         plan = found._jdf.queryExecution().executedPlan().toString()
