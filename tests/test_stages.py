@@ -1,7 +1,10 @@
+import os
+
 import pytest
 
 from helpers import rows
 from prodlake import schemas
+from prodlake.harness import bindings as bind
 from prodlake.plans import stages
 from prodlake.sources import feeds, tables
 from prodlake.sources.tables import TablePaths
@@ -149,3 +152,17 @@ def test_checkpoint_folder_must_be_shared(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_root(Session())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+@pytest.mark.parametrize("feed", ["raw_production", "raw_shale_production"])
+def test_line_items_of_a_feed_are_summed_after_their_shuffle(spark, monkeypatch, feed):
+    """Sums before it held nearly every row of a split of the file, however large, and spilled them."""
+    made = getattr(bind, feed)(spark, "/root/testdata/sf0.01")
+    lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next((i for i, line in enumerate(lines) if "hashpartitioning(l_suppkey" in line and "REPARTITION_BY_NUM" in line), None)
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "l_extendedprice" in line)
+    assert dealt is not None and not any("Aggregate" in line for line in lines[dealt:scan])
+    monkeypatch.setattr(bind, "TASK_BYTES", 50_000)
+    tasks = bind._shipped(spark, "/root/testdata/sf0.01", dealt=True).rdd.getNumPartitions()
+    assert tasks == -(-os.path.getsize("/root/testdata/sf0.01/lineitem.parquet") // 50_000)
