@@ -55,6 +55,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# which of the places of a reach lie in each of its windows
+_INSIDE = np.triu(np.ones((_WINDOW, 2 * _WINDOW - 1), np.float32)) * np.tril(np.ones((_WINDOW, 2 * _WINDOW - 1), np.float32), _WINDOW - 1)
+
+
 def _hashed(shingles: np.ndarray, function: int) -> np.ndarray:
     return _mix(shingles + np.uint64(_STEP * (function + 1) % (1 << 64)))
 
@@ -133,9 +137,19 @@ def _led(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
     return lead, other, met[lead] & (lead != np.arange(n))
 
 
+def _order(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The order by key, document and place; few keys repeat, and only these rows are compared further."""
+    order = np.argsort(key)
+    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]]) if len(key) else np.empty(0, bool)
+    at = np.flatnonzero(~new | np.concatenate([~new[1:], [False]])) if len(key) else np.empty(0, np.int64)
+    tied = order[at]
+    order[at] = tied[np.lexsort((place[tied], doc[tied], np.cumsum(new)[at]))]
+    return order
+
+
 def _combined(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Link windows of one key to the first of them; only its document goes on to meet others."""
-    order = np.lexsort((place, doc, key))
+    order = _order(key, doc, place)
     key, doc, place = key[order], doc[order], place[order]
     lead, other, linked = _led(key, doc, place)
     yield _rows(key[~other], doc[~other], place[~other])
@@ -222,9 +236,10 @@ def similar_windows(left: Shingled, x: int, right: Shingled, y: int) -> np.ndarr
     b, its_first = right.reach(y)
     same = a[:, None] == b
     sizes, its_sizes = first.sum(axis=1), its_first.sum(axis=1)
-    # a window with too few shingles anywhere in the other reach needs no look at its windows
-    if not (first @ same.any(axis=1).astype(np.float32) >= SIMILARITY * sizes).any():
-        return np.zeros((len(first), len(its_first)), bool)
+    # windows with too few shingles anywhere in the other reach need no look at its windows
+    for rows, meets, n in ((first, same.any(axis=1), sizes), (its_first, same.any(axis=0), its_sizes)):
+        if not (rows @ meets.astype(np.float32) >= SIMILARITY * n).any():
+            return np.zeros((len(first), len(its_first)), bool)
     counts = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
     held = (counts[:, _WINDOW:] > counts[:, :-_WINDOW]).astype(np.float32)
     common = first @ held
@@ -263,15 +278,17 @@ class Shingled:
         """The shingles of the windows that start in the ``_WINDOW`` places from ``start``, and for
         each window (rows) which of them it holds, repeats counted once."""
         values = self.values[start : start + 2 * _WINDOW - 1]
-        at = np.arange(len(values))
-        window = at[: len(values) - _WINDOW + 1, None]
-        held = (at >= window) & (at < window + _WINDOW) & (self.before[start : start + len(values)] < window + start)
-        return values, held.astype(np.float32)
-
-    def anchor(self, start: int, band: int) -> int:
+        inside = _INSIDE[: len(values) - _WINDOW + 1, : len(values)]
+        before = self.before[start : start + len(values)]
+        if before.max() < start:
+            return values, inside
+        window = np.arange(len(inside))[:, None]
+        return values, inside * (before < window + start)
+
+    def anchors(self, starts: np.ndarray, band: int) -> np.ndarray:
         if band not in self._hashed:
             self._hashed[band] = _hashed(self.values, 2 * band)
-        return start + int(self._hashed[band][start : start + _WINDOW].argmin())
+        return starts + self._hashed[band][starts[:, None] + np.arange(_WINDOW)].argmin(axis=1)
 
 
 def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
@@ -281,30 +298,31 @@ def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
     in one.  Windows are compared along the diagonal of a seed's minimum; where that has none, as
     with words inserted or left out, every window of the one run with every window of the other.
     """
-    a, b = left.values, right.values
     spans: tuple[list, list] = ([], [])
-    along: dict[int, np.ndarray] = {}
-    good_ones = []
-    for at, other, band in seeds:
-        i = left.anchor(at, band)
-        shift = right.anchor(other, band) - i
-        if shift not in along:
-            along[shift] = starts = _diagonal(a, b, shift)
-            if len(starts):
-                cut = np.flatnonzero(np.diff(starts) > 1)
-                for x, y in zip(starts[[0, *(cut + 1)]].tolist(), starts[[*cut, -1]].tolist(), strict=True):
-                    spans[0].append((x, y + LENGTH))
-                    spans[1].append((x + shift, y + shift + LENGTH))
-        starts = along[shift]
-        near = int(starts.searchsorted(i - _WINDOW, side="right")) if len(starts) else 0
-        good = near < len(starts) and bool(starts[near] <= i)
-        if not good:
-            alike = similar_windows(left, at, right, other)
-            good = bool(alike.any())
-            spans[0].extend((at + x, at + x + LENGTH) for x in np.flatnonzero(alike.any(axis=1)).tolist())
-            spans[1].extend((other + y, other + y + LENGTH) for y in np.flatnonzero(alike.any(axis=0)).tolist())
-        good_ones.append(good)
-    return merged(spans[0]), merged(spans[1]), good_ones
+    good_ones = np.zeros(len(seeds), bool)
+    at, other, bands = np.array(seeds, np.int64).reshape(-1, 3).T
+    i, j = np.empty_like(at), np.empty_like(at)
+    for band in np.unique(bands).tolist():
+        own = bands == band
+        i[own], j[own] = left.anchors(at[own], band), right.anchors(other[own], band)
+    for shift in np.unique(j - i).tolist():
+        starts = _diagonal(left.values, right.values, shift)
+        if len(starts):
+            cut = np.flatnonzero(np.diff(starts) > 1)
+            for x, y in zip(starts[[0, *(cut + 1)]].tolist(), starts[[*cut, -1]].tolist(), strict=True):
+                spans[0].append((x, y + LENGTH))
+                spans[1].append((x + shift, y + shift + LENGTH))
+            own = np.flatnonzero(j - i == shift)
+            near = starts.searchsorted(i[own] - _WINDOW, side="right")
+            good_ones[own] = (near < len(starts)) & (starts[np.minimum(near, len(starts) - 1)] <= i[own])
+    for seed in np.flatnonzero(~good_ones).tolist():
+        x, y = seeds[seed][:2]
+        alike = similar_windows(left, x, right, y)
+        if alike.any():
+            good_ones[seed] = True
+            spans[0].extend((x + k, x + k + LENGTH) for k in np.flatnonzero(alike.any(axis=1)).tolist())
+            spans[1].extend((y + k, y + k + LENGTH) for k in np.flatnonzero(alike.any(axis=0)).tolist())
+    return merged(spans[0]), merged(spans[1]), good_ones.tolist()
 
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"

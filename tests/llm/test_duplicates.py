@@ -352,3 +352,28 @@ def test_every_document_has_a_class(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.class_id, r.n_links, r.spans) for r in passages.document_classes(docs).collect())
     assert got == [(3, 3, 1, "0:60"), (4, 3, 1, "9:69"), (5, 5, 0, ""), (6, 6, 0, "")]
+
+
+def test_windows_are_ordered_as_by_a_sort_of_all_three_columns():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 5000):
+        key = r.integers(0, 2**63, n).astype(np.uint64)
+        key[: n // 2] = key[r.integers(0, max(n // 20, 1), n // 2)]
+        doc, place = r.integers(0, 40, n), r.permutation(n)
+        assert passages._order(key, doc, place).tolist() == np.lexsort((place, doc, key)).tolist()
+
+
+def test_windows_of_a_reach_count_a_shingle_once():
+    width = passages._WINDOW
+    words = [f"w{i}" for i in range(90)]
+    for text in (words, words[:60] * 3, words[:12] + ["x"] * 60 + words):
+        side = passages.Shingled(" ".join(text))
+        for start in range(0, len(side.values) - width + 1, 7):
+            values, held = side.reach(start)
+            assert values.tolist() == side.values[start : start + 2 * width - 1].tolist()
+            for k, row in enumerate(held):
+                window = values[k : k + width]
+                assert row.sum() == len(set(window.tolist())) and set(values[row > 0].tolist()) == set(window.tolist())
+        starts = np.arange(0, len(side.values) - width + 1, 5)
+        hashed = passages._hashed(side.values, 2)
+        assert side.anchors(starts, 1).tolist() == [s + int(hashed[s : s + width].argmin()) for s in starts.tolist()]
