@@ -27,7 +27,7 @@ same doc_id are one document; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ LENGTH = 50  # words of the shortest passage
 SIMILARITY = 0.8
 BANDS = 4  # pairs of hash functions
 CHUNK = 1 << 19  # shingles hashed at a time
+PAIRS = 16  # whose texts are cut into shingles together
 
 _WINDOW = LENGTH - SHINGLE + 1  # shingles
 _STEP = 0x9E3779B97F4A7C15
@@ -63,28 +64,86 @@ def _hashed(shingles: np.ndarray, function: int) -> np.ndarray:
     return _mix(shingles + np.uint64(_STEP * (function + 1) % (1 << 64)))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every five words in a row; white space and letter case do not count."""
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+BYTES = 1 << 18  # of texts whose words are hashed at a time
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 of words given as stretches of ``raw``; all words of up to 31 bytes go step by step together."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()
-    if len(words) < LENGTH:
-        return np.empty(0, np.uint64)
-    of_word = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
+    h = sizes.astype(np.uint64) + _P5
+
+    def taken(which: np.ndarray, offset: np.ndarray | int, width: int) -> np.ndarray:
+        at = (starts + offset)[which][:, None] + np.arange(width)
+        return raw[at].view(f"<u{width}").ravel().astype(np.uint64)
+
+    short = sizes < 32
+    for k in range(3):
+        which = np.flatnonzero(short & (sizes >= 8 * k + 8))
+        part = _turned(taken(which, 8 * k, 8) * _P2, 31) * _P1
+        h[which] = _turned(h[which] ^ part, 27) * _P1 + _P4
+    which = np.flatnonzero(short & (sizes & 4 > 0))
+    h[which] = _turned(h[which] ^ taken(which, sizes & ~7, 4) * _P1, 23) * _P2 + _P3
+    for k in range(3):
+        which = np.flatnonzero(short & (sizes & 3 > k))
+        h[which] = _turned(h[which] ^ taken(which, (sizes & ~3) + k, 1) * _P5, 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]].tobytes())
+    return h
+
+
+def _shingles_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    raw = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
+    blank = _BLANK[raw]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    of_word = _word_hashes(raw, starts, np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - starts)
+    n = max(len(of_word) - SHINGLE + 1, 0)
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out = (out ^ of_word[k : k + n]) * _M2 + np.uint64(k)
-    return _mix(out)
+    out = _mix(out)
+    last = np.searchsorted(starts, ends)
+    for a, b in zip(np.concatenate([[0], last[:-1]]).tolist(), last.tolist(), strict=True):
+        yield out[a : b - SHINGLE + 1] if b - a >= LENGTH else np.empty(0, np.uint64)
+
+
+def all_shingles(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """A 64-bit hash of every five words in a row of each text; white space and letter case do not count."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= BYTES:
+            yield from _shingles_of(held)
+            held, size = [], 0
+    if held:
+        yield from _shingles_of(held)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(all_shingles([text]))
 
 
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` values in a row, from running minima of blocks both ways."""
-    n = len(values) - width + 1
-    blocks = np.concatenate([values, np.full(-len(values) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    """Minimum of each ``width`` values in a row, from those of half as many."""
+    done = 1
+    while 2 * done <= width:
+        values = np.minimum(values[:-done], values[done:])
+        done *= 2
+    rest = width - done
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
 def signature_runs(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,8 +228,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pieces(batch: pa.RecordBatch):
         """Shingles of whole texts; a text longer than a chunk in overlapping parts."""
         docs, bases, parts, held = [], [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = shingles(text.as_py())
+        for doc, values in zip(batch.column(0).to_pylist(), all_shingles(x.as_py() for x in batch.column(1)), strict=True):
             for base in range(0, max(len(values) - _WINDOW + 1, 0), CHUNK):
                 part = values[base : base + CHUNK + _WINDOW - 1]
                 docs.append(doc), bases.append(base), parts.append(part)
@@ -234,15 +292,12 @@ def similar_windows(left: Shingled, x: int, right: Shingled, y: int) -> np.ndarr
     in the ``_WINDOW`` places from ``x`` and every one of ``right`` from ``y``."""
     a, first = left.reach(x)
     b, its_first = right.reach(y)
-    same = a[:, None] == b
+    same = (a[:, None] == b).astype(np.float32)
     sizes, its_sizes = first.sum(axis=1), its_first.sum(axis=1)
     # windows with too few shingles anywhere in the other reach need no look at its windows
-    for rows, meets, n in ((first, same.any(axis=1), sizes), (its_first, same.any(axis=0), its_sizes)):
-        if not (rows @ meets.astype(np.float32) >= SIMILARITY * n).any():
-            return np.zeros((len(first), len(its_first)), bool)
-    counts = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
-    held = (counts[:, _WINDOW:] > counts[:, :-_WINDOW]).astype(np.float32)
-    common = first @ held
+    if not (first @ same.max(axis=1) >= SIMILARITY * sizes).any() or not (its_first @ same.max(axis=0) >= SIMILARITY * its_sizes).any():
+        return np.zeros((len(first), len(its_first)), bool)
+    common = first @ same @ its_first.T  # each window holds a shingle once
     return common >= SIMILARITY * (sizes[:, None] + its_sizes - common) - 1e-4
 
 
@@ -259,8 +314,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Shingled:
     """A document's shingles and, once asked for, the place of each band's first minimum."""
 
-    def __init__(self, text: str | None) -> None:
-        self.values = shingles(text)
+    def __init__(self, text: str | None, values: np.ndarray | None = None) -> None:
+        self.values = shingles(text) if values is None else values
         self._hashed: dict[int, np.ndarray] = {}
         self._before: np.ndarray | None = None
 
@@ -301,6 +356,9 @@ def compare(left: Shingled, right: Shingled, seeds: list[tuple[int, int, int]]):
     spans: tuple[list, list] = ([], [])
     good_ones = np.zeros(len(seeds), bool)
     at, other, bands = np.array(seeds, np.int64).reshape(-1, 3).T
+    if seeds and left is right and (at == other).all():  # copies
+        whole = [(0, len(left.values) + SHINGLE - 1)]
+        return whole, whole, [True] * len(seeds)
     i, j = np.empty_like(at), np.empty_like(at)
     for band in np.unique(bands).tolist():
         own = bands == band
@@ -335,12 +393,14 @@ class _Cut:
     def __init__(self) -> None:
         self._held: dict[str, Shingled] = {}
 
-    def __call__(self, text: str) -> Shingled:
-        if text not in self._held:
-            if len(self._held) >= 64:
-                self._held.clear()
-            self._held[text] = Shingled(text)
-        return self._held[text]
+    def __call__(self, texts: list[str]) -> list[Shingled]:
+        new = [t for t in dict.fromkeys(texts) if t not in self._held]
+        if len(self._held) + len(new) > PAIRS * 4:
+            self._held.clear()
+            new = list(dict.fromkeys(texts))
+        for text, values in zip(new, all_shingles(new), strict=True):
+            self._held[text] = Shingled(text, values)
+        return [self._held[t] for t in texts]
 
 
 def _verified_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -360,7 +420,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = batch.column(4).offsets.to_numpy()
         groups, places, led = (batch.column(4).values.field(n).to_numpy(zero_copy_only=False) for n in ("group", "place", "leader_place"))
         for i, (doc, leader) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            sides = [cut(batch.column(c)[i].as_py()) for c in (2, 3)]
+            if i % PAIRS == 0:
+                near = [batch.column(c)[i : i + PAIRS].to_pylist() for c in (2, 3)]
+                near = [cut(near[0] + near[1])[k :: len(near[0])] for k in range(len(near[0]))]
+            sides = near[i % PAIRS]
             own = slice(offsets[i], offsets[i + 1])
             # of rows with the same doc_id, only the ones that are long enough can hold the window
             fits = (places[own] // 8 + _WINDOW <= len(sides[0].values)) & (led[own] // 8 + _WINDOW <= len(sides[1].values))
@@ -406,8 +469,7 @@ def _open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """The shingles of a document's open windows."""
     for batch in batches:
         found = []
-        for doc, places, text in zip(batch.column(0).to_pylist(), _places(batch, 1), batch.column(2), strict=True):
-            values = shingles(text.as_py())
+        for doc, places, values in zip(batch.column(0).to_pylist(), _places(batch, 1), all_shingles(x.as_py() for x in batch.column(2)), strict=True):
             found.append((doc, np.unique(values[_reach(len(values), places, 2 * _WINDOW - 1)]).view(np.int64)))
         yield _held_batch(found)
 
@@ -469,8 +531,9 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, seen = [], set()
         offsets = batch.column(4).offsets.to_numpy()
         shared, n_docs = (batch.column(4).values.field(n).to_numpy(zero_copy_only=False) for n in ("shingle", "n"))
-        for i, (doc, own_class, places, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _places(batch, 2), batch.column(3), strict=True)):
-            side, own = Shingled(text.as_py()), slice(offsets[i], offsets[i + 1])
+        texts = all_shingles(x.as_py() for x in batch.column(3))
+        for i, (doc, own_class, places, values) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _places(batch, 2), texts, strict=True)):
+            side, own = Shingled(None, values), slice(offsets[i], offsets[i + 1])
             starts = np.flatnonzero(_reach(max(len(side.values) - _WINDOW + 1, 0), places, _WINDOW))
             if not len(starts):
                 continue
@@ -486,6 +549,43 @@ def _similar(common: Column, n: Column, other: Column) -> Column:
     return common >= SIMILARITY * (n + other - common) - 1e-9
 
 
+def _least(n: Column, other: Column) -> Column:
+    """How many shingles similar sets of these sizes have in common at least."""
+    return F.ceil((n + other) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+
+
+def _met(kinds: DataFrame) -> DataFrame:
+    """``p, q, in, p2, q2, in2``: patterns of different cells that are listed under the same shingle.
+
+    Of two similar sets each lacks at most ``n - least`` of its shingles in the other, so the first
+    one that both hold is among the first ``n - least + 1`` of each.  How many these are depends on
+    both sizes: nearly all windows have the same, for which 6 will do where 10 serve every size.  So a
+    list is named by its shingle and by the size of the smaller pattern; a pattern is on the lists of
+    its own size, and on those of a smaller size that some pattern opened.
+    """
+    m, n = F.size("shared"), F.col("n")
+    bits = F.expr("aggregate(shared, 0L, (bits, x) -> bits | shiftleft(1L, CAST(x & 63 AS INT)))")
+    # patterns of one class are met together; one that several classes hold is on its own
+    several = F.col("class_low") != F.col("class_high")
+    cell = F.when(several, F.concat_ws(":", F.col("p").cast("string"), F.col("q").cast("string"))).otherwise(F.col("class_low").cast("string"))
+    within = F.struct("low", "high", "n", m.alias("m"), bits.alias("bits"))
+    kept = ["p", "q", "in", "cell"]
+    base = kinds.select("p", "q", within.alias("in"), cell.alias("cell"), "n", m.alias("m"), "firsts")
+    own = F.greatest(F.col("m") + 1 - _least(n, n), F.lit(0)).cast("int")
+    own = base.select(*kept, F.explode(F.slice("firsts", F.lit(1), own)).alias("shingle"), F.col("n").alias("size"))
+    opened = own.select("shingle", "size").distinct()
+    every = base.select(*kept, "n", "m", F.posexplode("firsts").alias("at", "shingle")).join(opened, "shingle")
+    smaller = (F.col("size") < n) & (F.col("size") >= SIMILARITY * n - 1e-9) & (F.col("at") < F.col("m") + 1 - _least(n, F.col("size")))
+    listed = own.withColumn("home", F.lit(True)).union(every.filter(smaller).select(*kept, "shingle", "size", F.lit(False)))
+    cells = listed.select("shingle", "size", "cell", "home").distinct()
+    beside = cells.filter("home").drop("home").join(cells.toDF("shingle", "size", "cell2", "home2"), ["shingle", "size"])
+    beside = beside.filter("IF(home2, cell < cell2, cell != cell2)")
+    one = listed.filter("home").drop("home")
+    other = listed.toDF("p2", "q2", "in2", "cell2", "shingle", "size", "home2")
+    met = beside.join(one, ["shingle", "size", "cell"]).join(other, ["shingle", "size", "cell2", "home2"])
+    return met.select("p", "q", "in", "p2", "q2", "in2")
+
+
 def _pattern_pairs(kinds: DataFrame) -> DataFrame:
     """``p, q, low, high, of_low, of_high``: every pattern beside each one it is similar to, with the
     smallest and the largest document of that one and of its own.
@@ -494,26 +594,17 @@ def _pattern_pairs(kinds: DataFrame) -> DataFrame:
     A bit is set for every shared shingle: where too many bits differ, so do too many shingles, and
     the shingles themselves need not be fetched.
     """
-    bits = F.expr("aggregate(shared, 0L, (bits, x) -> bits | shiftleft(1L, CAST(x & 63 AS INT)))")
-    kinds = kinds.withColumn("m", F.size("shared")).withColumn("bits", bits)
-    within = F.struct("low", "high", "n", "m", "bits")
-    several = F.col("class_low") != F.col("class_high")
-    # patterns of one class are met together; one that several classes hold is on its own
-    cell = F.when(several, F.concat_ws(":", F.col("p").cast("string"), F.col("q").cast("string"))).otherwise(F.col("class_low").cast("string"))
-    listed = kinds.select("p", "q", within.alias("in"), cell.alias("cell"), F.explode("firsts").alias("shingle"))
-    cells = listed.select("shingle", "cell").distinct()
-    beside = cells.join(cells.toDF("shingle", "cell2"), "shingle").filter("cell < cell2")
-    met = beside.join(listed, ["shingle", "cell"]).join(listed.toDF("p2", "q2", "in2", "cell2", "shingle"), ["shingle", "cell2"])
-    # the least number of shingles that similar sets of these sizes have in common
-    least = (F.col("in.n") + F.col("in2.n")) * (SIMILARITY / (1 + SIMILARITY))
+    met = _met(kinds)
+    least = _least(F.col("in.n"), F.col("in2.n"))
     differ = F.bit_count(F.col("in.bits").bitwiseXOR(F.col("in2.bits")))
-    met = met.filter(differ <= F.col("in.m") + F.col("in2.m") - 2 * least + 1e-6)
-    met = met.select("p", "q", "p2", "q2", "in", "in2").distinct()
+    met = met.filter(differ <= F.col("in.m") + F.col("in2.m") - 2 * least).distinct()
     sides = kinds.select("p", "q", "shared")
     both = met.join(sides, ["p", "q"]).join(sides.toDF("p2", "q2", "shared2"), ["p2", "q2"])
     alike = both.filter(_similar(F.size(F.array_intersect("shared", "shared2")), F.col("in.n"), F.col("in2.n")))
-    alike = stored(alike.select("p", "q", "in", "p2", "q2", "in2"), "alike")
-    own = kinds.filter(several & _similar(F.size("shared"), F.col("n"), F.col("n")))
+    ends = [F.struct(f"{side}.low", f"{side}.high").alias(side) for side in ("in", "in2")]
+    alike = stored(alike.select("p", "q", "p2", "q2", *ends), "alike")
+    within = F.struct("low", "high")
+    own = kinds.filter((F.col("class_low") != F.col("class_high")) & _similar(F.size("shared"), F.col("n"), F.col("n")))
     sides = [alike.select("p", "q", "in2", "in"), alike.select("p2", "q2", "in", "in2"), own.select("p", "q", within, within)]
     sides = [side.toDF("p", "q", "with", "of") for side in sides]
     return sides[0].union(sides[1]).union(sides[2]).select(
@@ -521,9 +612,8 @@ def _pattern_pairs(kinds: DataFrame) -> DataFrame:
     )
 
 
-def _open_texts(docs: DataFrame, found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc, class, places`` of the documents with open windows, and these with their texts."""
-    classes = stored(components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b"))), "classes")
     spots = members.groupBy("doc").agg(F.collect_set((F.col("place") / 8).cast("bigint")).alias("places"))
     spots = spots.join(classes, F.col("doc") == F.col("node"), "left").select("doc", "places", F.coalesce("root", "doc").alias("class"))
     spots = stored(spots, "open_places")
@@ -539,15 +629,15 @@ def _open_patterns(spots: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(texts.join(known, "doc").select("doc", "class", "places", "text", "shared").mapInArrow(_patterns, PATTERNS), "open_patterns")
 
 
-def _left_open(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
-    """The links between ``members`` (doc, place) whose documents ``found`` does not link yet.
+def _left_open(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """The links between ``members`` (doc, place) whose documents are not in one of ``classes`` yet.
 
     Windows of one pattern are one from here on, however many documents hold them; every two
     patterns that are similar are met, by a shingle that is rare among the open windows.  A document
     of a pattern is linked to one of a similar pattern, and any two similar patterns by a pair of their
     documents, which joins the same documents as all of their pairs would.
     """
-    spots, texts = _open_texts(docs, found, members)
+    spots, texts = _open_texts(docs, classes, members)
     release(docs.sparkSession)
     rows = _open_patterns(spots, texts)
     release(docs.sparkSession)
@@ -588,8 +678,24 @@ def _open_members(pairs: DataFrame, verified: DataFrame) -> DataFrame:
     return seeds.select("doc", "place").union(seeds.select(F.col("leader").alias("doc"), F.col("leader_place").alias("place"))).distinct()
 
 
-def passage_links(docs: DataFrame) -> DataFrame:
-    """``doc, leader, spans, leader_spans`` for pairs of documents with a passage in common.
+def _classes(links: DataFrame) -> DataFrame:
+    return stored(components(links.select(F.col("doc").alias("a"), F.col("leader").alias("b"))), "classes")
+
+
+def _merged_classes(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, root`` after further links: these join whole classes, of which they are few."""
+    for end in ("doc", "leader"):
+        roots = classes.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        more = more.select("doc", "leader").join(roots, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_root", end))
+    merged = _classes(more.select("doc", "leader").filter("doc != leader").distinct())
+    moved = classes.join(merged.toDF("_root", "to"), F.col("root") == F.col("_root"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    # documents that only the further links name
+    return moved.union(merged.join(classes, "node", "left_anti").select("node", "root"))
+
+
+def passage_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc, leader, spans, leader_spans`` for pairs of documents with a passage in common, and
+    ``node, root``: the smallest document of the class of each.
 
     ``spans`` are those of ``doc`` in it, ``leader_spans`` those of ``leader`` unless its own rows
     name them.  Each step leaves a stored table and nothing else, so that the shuffles of the steps
@@ -603,7 +709,9 @@ def passage_links(docs: DataFrame) -> DataFrame:
     verified = stored(_beside(pairs.filter("doc != leader"), docs, "seeds").mapInArrow(_verify, VERIFIED), "verified")
     release(spark)
     found = verified.filter(F.size("spans") > 0).drop("failed")
-    return found.union(_left_open(docs, found, _open_members(pairs, verified)))
+    classes = _classes(found)
+    left = _left_open(docs, classes, _open_members(pairs, verified))
+    return found.union(left), _merged_classes(classes, left)
 
 
 def _joined(spans: Column) -> Column:
@@ -627,14 +735,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     many documents it was found to share one with (leaders of its passages, or all their members
     for a leader), ``n_repeated_words`` and ``spans`` which words they are, as ``start:end``.
     """
-    links = stored(passage_links(docs), "links")
+    links, classes = passage_links(docs)
     both = links.select("doc", F.col("leader").alias("other"), "spans").union(
         links.select(F.col("leader").alias("doc"), F.col("doc").alias("other"), F.col("leader_spans").alias("spans"))
     )
     partners = both.select("doc", "other").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     single = both.select("doc", F.explode("spans").alias("span")).distinct()
     per = single.groupBy("doc").agg(_joined(F.collect_list("span")).alias("spans"))
-    classes = components(links.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
     words = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     spelled = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return per.join(partners, "doc").join(classes, F.col("doc") == F.col("node")).select(

@@ -377,3 +377,77 @@ def test_windows_of_a_reach_count_a_shingle_once():
         starts = np.arange(0, len(side.values) - width + 1, 5)
         hashed = passages._hashed(side.values, 2)
         assert side.anchors(starts, 1).tolist() == [s + int(hashed[s : s + width].argmin()) for s in starts.tolist()]
+
+
+def test_words_are_hashed_as_one_by_one():
+    """All words of a text at once, of every length, beside the library's hash of each."""
+    rng = random.Random(25)
+    texts = [None, "", " \n", " ".join("x" * n for n in range(1, 80))]
+    for _ in range(40):
+        made = ["".join(rng.choice("aZé日9\x1c\x85") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(120))]
+        texts.append(rng.choice(["", " ", "\n\n"]) + rng.choice(["\t", " ", "\x0b\x0c"]).join(made) + rng.choice(["", "\r\n"]))
+    for text, got in zip(texts, passages.all_shingles(texts), strict=True):
+        words = (text or "").encode().lower().split()
+        of_word = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+        want = np.zeros(max(len(words) - 4, 0), np.uint64)
+        for k in range(5):
+            want = (want ^ of_word[k : k + len(want)]) * passages._M2 + np.uint64(k)
+        want = passages._mix(want) if len(words) >= 50 else want[:0]
+        assert got.tolist() == want.tolist() == passages.shingles(text).tolist()
+
+
+def open_patterns(spark, sets, shared):
+    """The patterns of sets of shingles, each a class of its own; all of them are in ``shared`` order."""
+    place = {s: i for i, s in enumerate(shared)}
+    rows = []
+    for i, (held, alone) in enumerate(sets):
+        n = len(held) + alone
+        reach = n - -(-4 * n // 5) + 1 - alone
+        if reach > 0:
+            rows.append((i, i, n, sorted(held), sorted(held, key=place.get)[:reach], i, i, i, i))
+    return spark.createDataFrame(rows, "p bigint, q bigint, n int, shared array<bigint>, firsts array<bigint>, low bigint, high bigint, class_low bigint, class_high bigint")
+
+
+def test_patterns_of_near_copies_meet_seldom(spark):
+    """Windows of 400 near copies, an edit in each, and some of other sizes: few pairs that are not similar are made."""
+    rng = random.Random(26)
+    base = list(range(140))
+    sets = []
+    for _ in range(400):
+        start, cut = rng.randrange(95), rng.randrange(42)
+        sets.append((base[start : start + cut] + base[start + cut + 5 : start + 46], 5))
+    for _ in range(40):
+        start = rng.randrange(95)
+        sets.append((rng.sample(base[start : start + 46], rng.randrange(36, 47)), rng.randrange(4)))
+    kinds = open_patterns(spark, sets, rng.sample(range(140), 140))
+    listed = kinds.selectExpr("p", "explode(firsts) shingle")
+    before = listed.alias("a").join(listed.alias("b"), "shingle").filter("a.p < b.p").count()
+    want = set()
+    for (i, (a, x)), (j, (b, y)) in itertools.combinations(enumerate(sets), 2):
+        common, m, n = len(set(a) & set(b)), len(a) + x, len(b) + y
+        if common and 5 * common >= 4 * (m + n - common):
+            want.add((i, j))
+    pairs = passages._pattern_pairs(kinds).collect()
+    got = {tuple(sorted((r.p, r.low))) for r in pairs}
+    assert got == want and len(want) > 30
+    assert passages._met(kinds).count() < before / 4
+
+
+def test_further_links_join_classes(spark):
+    rng = random.Random(27)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)]
+    found, more = edges[:35], edges[35:] + [(200, 201), (202, 3)]
+    made = [spark.createDataFrame(e, "doc bigint, leader bigint") for e in (found, more)]
+    got = {r.node: r.root for r in passages._merged_classes(passages._classes(made[0]), made[1]).collect()}
+    links = [p for p in found + more if p[0] != p[1]]
+    want = classes({x for p in links for x in p}, links)
+    assert {d: got.get(d, d) for d in want} == want
+
+
+def test_copies_are_compared_at_once():
+    words = [f"w{i}" for i in range(70)]
+    side = passages.Shingled(" ".join(words))
+    assert passages.compare(side, side, [(0, 0, 1), (5, 5, 2)]) == ([(0, 70)], [(0, 70)], [True, True])
+    other = passages.Shingled(" ".join(words))
+    for seeds in ([], [(0, 0, 1), (5, 5, 2)], [(0, 20, 1)]):
+        assert passages.compare(side, side, seeds) == passages.compare(side, other, seeds)
